@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, jaccard, licenses, mixing, quality, secrets
 
@@ -34,7 +35,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "position")
+    return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", F.round("position", 9).alias("position"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +56,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.scan_sql(),
+    "op9_source_mixing": mixing.mix_sql(),
 }
