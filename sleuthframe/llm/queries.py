@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, licenses, mixing, quality, secrets
+from . import decontam, jaccard, licenses, mixing, quality, secrets, tokencount, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.digests(spark))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urlfilter.evaluate(urlfilter.captures_of(_table(spark, sf_dir, "pages")), urlfilter.entries_table(spark))
+    return found.withColumn("fetched", F.col("fetched").cast("string"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", F.round("position", 9).alias("position"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -46,15 +55,18 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_quality_rules": op5_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
+    "op10_token_counts": op10_token_counts,
     "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.scan_sql(),
+    "op4_url_filter": urlfilter.evaluate_sql(),
     "op9_source_mixing": mixing.mix_sql(),
 }
