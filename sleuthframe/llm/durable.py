@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,13 +32,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later step reads."""
-    files = df.inputFiles()
-    for spark, path in list(_written):
-        if any(path.split("://")[-1].lstrip("/") in f for f in files[:1]):
-            _delete(spark, path)
-            _written.remove((spark, path))
+def free(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps now: it does so only when the driver collects garbage, by default twice an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

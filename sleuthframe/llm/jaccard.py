@@ -10,8 +10,9 @@ skipped by relations between sets:
 * answers are derived from those of highly similar sets: neighbours in the lists are
   joined first, and two sets that already hang together through them need no comparison.
   What is asked for is who reaches whom, so no link between different texts is lost;
-* pairs that are left meet a bound from 512-bit parity signatures (the symmetric difference
-  is at least the number of differing bits) before sets are compared exactly.
+* pairs that are left meet a bound from parity signatures (the symmetric difference is at
+  least the number of differing bits; a bit or more for each shingle, and a fold of them to
+  512 bits inside the lists) before sets are compared exactly.
 
 The order needs counts of shingles over all documents.  They are kept in a sketch of
 ``SLOTS`` counters of 8 bits on a log scale: one megabyte whatever the corpus, so it may be
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .durable import materialize
+from .durable import free, materialize
 
 SHINGLE = 5
 THRESHOLD = (80, 100)
@@ -87,14 +88,23 @@ def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = np.bincount((s & np.uint64(64 * _SIGNATURE_WORDS - 1)).astype(np.int64), minlength=64 * _SIGNATURE_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def _signature(s: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash slot, in words: a power of two of at least a bit a shingle, 512 at least."""
+    bits = 64 * _SIGNATURE_WORDS
+    while bits < len(s):
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def _fold(signature: np.ndarray, words: int = _SIGNATURE_WORDS) -> np.ndarray:
+    """The signature at fewer slots: slots that fall together add their parities."""
+    return np.bitwise_xor.reduce(signature.reshape(-1, words), axis=0)
 
 
 def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_key, key, n, s0..s7) of each document: its set's digest, size and parity signature."""
-    names = ["doc_id", "text_key", "key", "n", *(f"s{i}" for i in range(_SIGNATURE_WORDS))]
+    """(doc_id, text_key, key, n, signature, s0..s7) of each document: its set's digest, size, parity signature and the fold of that."""
+    names = ["doc_id", "text_key", "key", "n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,12 +114,12 @@ def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
                     keys.append(_key(s))
                     sizes.append(len(s))
                     signs.append(_signature(s))
-            words = np.frombuffer(b"".join(signs), np.int64).reshape(-1, _SIGNATURE_WORDS)
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(words[:, i]) for i in range(_SIGNATURE_WORDS))]
+            words = np.array([_fold(x) for x in signs], np.uint64).reshape(-1, _SIGNATURE_WORDS).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in signs], pa.binary()), *(pa.array(words[:, i]) for i in range(_SIGNATURE_WORDS))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key binary, key binary, n long, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)))
+    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key binary, key binary, n long, signature binary, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)))
 
 
 def _text_key() -> Column:
@@ -295,12 +305,21 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs whose sizes and signatures allow a link (the same bounds as in ``_pairs``, in the JVM)."""
-    t, of = threshold
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(_SIGNATURE_WORDS)])
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, _SIGNATURE_WORDS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    total = F.col("na") + F.col("nb")
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter((of + t) * F.floor((total - differ) / 2) >= t * total).select("a", "b")
+    """Pairs whose sizes and whole signatures allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(p), len(q))
+                differ = int(np.bitwise_count(_fold(p, words) ^ _fold(q, words)).sum())
+                keep.append((na + nb - differ) // 2 >= _need(na, nb, threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x"))
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -314,25 +333,37 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     takes part but is never the smallest; a component of nothing else has a null id.
     Columns other than doc_id and text are not read.  An empty table gives no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     nodes = materialize(_nodes(docs, shingle), "nodes")
-    classes = materialize(nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))]), "classes")
+    classes = materialize(nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))]), "classes")
     prefixes = _prefixes(docs, _count_sketch(docs, shingle), shingle, threshold)
     lists = materialize(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared, prefixes.schema), "lists")
+    del prefixes
+    free(spark)
 
     # Neighbours in the lists, by size and in two other orders: answers from which the rest are derived.
-    before = lambda *order: F.lag("key").over(Window.partitionBy("token").orderBy(*order))
-    near = lists.select("key", F.array(before("np", "key"), before(F.xxhash64("key", F.lit(1)), "key"), before(F.xxhash64("key", F.lit(2)), "key")).alias("others"))
-    near = near.select(F.explode("others").alias("other"), "key").filter("other is not null and other <> key")
-    near = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    first = materialize(_verify(docs, materialize(_possible(near, classes, threshold), "near"), classes, shingle, threshold), "links")
+    t, of = threshold
+    before = lambda *order: F.lag(F.struct("key", "np")).over(Window.partitionBy("token").orderBy(*order))
+    near = lists.select("key", "np", F.array(before("np", "key"), before(F.xxhash64("key", F.lit(1)), "key"), before(F.xxhash64("key", F.lit(2)), "key")).alias("others"))
+    near = near.select(F.explode("others").alias("other"), "key", "np").filter("other is not null and other.key <> key")
+    size, place = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))
+    total = size(F.col("np")) + size(F.col("other.np"))
+    most = F.least(size(F.col("np")) - place("np"), size(F.col("other.np")) - place("other.np"))
+    near = near.filter(most * (of + t) >= total * t)
+    near = near.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
+    near = materialize(_possible(near, classes, threshold), "near")
+    free(spark)
+    first = materialize(_verify(docs, near, classes, shingle, threshold), "links")
     roots = components(first)
 
     known = lists.join(roots, lists["key"] == roots["node"], "left").select("token", "key", "np", F.coalesce("root", "key").alias("root"))
     mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
     signs = classes.select("key", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))
     rest = known.join(mixed, "token").join(signs, "key").repartition("token").sortWithinPartitions("token", "np", "key")
-    pairs = materialize(rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct(), "pairs")
+    pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
+    pairs = materialize(_possible(pairs, classes, threshold), "pairs")
+    free(spark)
     second = materialize(_verify(docs, pairs, classes, shingle, threshold), "links")
     final = components(first.union(second))
 
