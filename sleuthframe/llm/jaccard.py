@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,21 +172,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that hold two sets or more, repeated rows once."""
-    for table in _groups(batches):
-        token, place = table.column("token").to_numpy(), table.column("np").to_numpy()
-        key = table.column("key").to_pylist()
-        same = np.zeros(len(token), bool)
-        near = np.flatnonzero((token[1:] == token[:-1]) & (place[1:] == place[:-1])) + 1
-        for i in near.tolist():
-            same[i] = key[i] == key[i - 1]
-        at = np.flatnonzero(~same)
-        token = token[at]
-        twin = np.zeros(len(at), bool)
-        twin[1:] |= token[1:] == token[:-1]
-        twin[:-1] |= token[1:] == token[:-1]
-        yield from table.take(pa.array(at[twin])).to_batches()
+def _shared(threshold: tuple[int, int]):
+    """Rows of lists that hold two sets or more, repeated rows once, each with its ``others``.
+
+    Others are the set's neighbours in the list in three orders (size, and two by digest) that
+    sizes and positions allow to link: a few a set, however long the list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            token, place = table.column("token").to_numpy(), table.column("np").to_numpy()
+            key = pc.fill_null(table.column("key"), b"").to_pylist()
+            same = np.zeros(len(token), bool)
+            for i in (np.flatnonzero((token[1:] == token[:-1]) & (place[1:] == place[:-1])) + 1).tolist():
+                same[i] = key[i] == key[i - 1]
+            at = np.flatnonzero(~same)
+            token = token[at]
+            twin = np.zeros(len(at), bool)
+            twin[1:] |= token[1:] == token[:-1]
+            twin[:-1] |= token[1:] == token[:-1]
+            at, token = at[twin], token[twin]
+            key, size, left = [key[i] for i in at.tolist()], place[at] >> 32, (place[at] >> 32) - (place[at] & 0xFFFFFFFF)
+            others: list[list[bytes] | None] = [None] * len(at)
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+            # Neighbours by size of all lists at once, then by digest in lists of three sets and more.
+            pairs = [(np.flatnonzero(token[1:] == token[:-1]),) * 2]
+            pairs[0] = (pairs[0][0], pairs[0][1] + 1)
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if hi - lo > 2:
+                    for cut in (0, 8):
+                        order = np.array(sorted(range(lo, hi), key=lambda i: key[i][cut:]))
+                        pairs.append((order[:-1], order[1:]))
+            x, y = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            ok = np.minimum(left[x], left[y]) >= _need(size[x], size[y], threshold)
+            for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                if others[i] is None:
+                    others[i] = []
+                others[i].append(key[j])
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key, pa.binary()), pa.array(place[at]), pa.array(others, pa.list_(pa.binary()))], names=["token", "key", "np", "others"])
+
+    return run
 
 
 def _pairs(threshold: tuple[int, int]):
@@ -338,29 +364,20 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     nodes = materialize(_nodes(docs, shingle), "nodes")
     classes = materialize(nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))]), "classes")
     prefixes = _prefixes(docs, _count_sketch(docs, shingle), shingle, threshold)
-    lists = materialize(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared, prefixes.schema), "lists")
+    lists = materialize(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared(threshold), "token long, key binary, np long, others array<binary>"), "lists")
     del prefixes
     free(spark)
 
-    # Neighbours in the lists, by size and in two other orders: answers from which the rest are derived.
-    t, of = threshold
-    before = lambda *order: F.lag(F.struct("key", "np")).over(Window.partitionBy("token").orderBy(*order))
-    near = lists.select("key", "np", F.array(before("np", "key"), before(F.xxhash64("key", F.lit(1)), "key"), before(F.xxhash64("key", F.lit(2)), "key")).alias("others"))
-    near = near.select(F.explode("others").alias("other"), "key", "np").filter("other is not null and other.key <> key")
-    size, place = lambda x: F.shiftright(x, 32), lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF))
-    total = size(F.col("np")) + size(F.col("other.np"))
-    most = F.least(size(F.col("np")) - place("np"), size(F.col("other.np")) - place("other.np"))
-    near = near.filter(most * (of + t) >= total * t)
-    near = near.select(F.least("key", "other.key").alias("a"), F.greatest("key", "other.key").alias("b")).distinct()
+    # Neighbours in the lists come first: answers from which the rest are derived.
+    near = lists.filter("others is not null").select("key", F.explode("others").alias("other")).filter("key <> other")
+    near = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
     near = materialize(_possible(near, classes, threshold), "near")
     free(spark)
     first = materialize(_verify(docs, near, classes, shingle, threshold), "links")
     roots = components(first)
 
-    known = lists.join(roots, lists["key"] == roots["node"], "left").select("token", "key", "np", F.coalesce("root", "key").alias("root"))
-    mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
-    signs = classes.select("key", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))
-    rest = known.join(mixed, "token").join(signs, "key").repartition("token").sortWithinPartitions("token", "np", "key")
+    sides = classes.join(roots, classes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), *(f"s{i}" for i in range(_SIGNATURE_WORDS)))
+    rest = lists.select("token", "key", "np").join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
     pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
     pairs = materialize(_possible(pairs, classes, threshold), "pairs")
     free(spark)
