@@ -133,7 +133,8 @@ def filetime(ticks: Column) -> Column:
 
 def little_endian(content: Column, offset: int, size: int) -> Column:
     """Unsigned little-endian integer of up to 7 bytes at a byte offset."""
-    return F.conv(F.hex(F.reverse(F.substring(content, offset + 1, size))), 16, 10).cast("long")
+    digits = F.hex(F.substring(content, offset + 1, size))
+    return F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]), 16, 10).cast("long")
 
 
 def mask_secret(value: Column) -> Column:

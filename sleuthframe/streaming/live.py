@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,7 +27,9 @@ def inbox_ignored(name):
 
 def case_of(path, inbox: str):
     """Case of a dropped file: the first folder below the inbox; loose files share one case."""
-    below = F.regexp_extract(path, f"{inbox.rstrip('/')}/(.*)$", 1)
+    # Spark writes file:/x for file:///x, so the scheme stays out of it.
+    folder = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "", inbox).rstrip("/")
+    below = F.element_at(F.split(path, re.escape(folder) + "/", 2), -1)
     return F.when(below.contains("/"), F.split(below, "/")[0]).otherwise(F.lit("inbox"))
 
 
