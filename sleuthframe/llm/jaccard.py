@@ -388,7 +388,8 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     least = own.groupBy("root").agg(F.min("doc_id").alias("__least"))
     found = final.join(least, "root").select(F.col("node").alias("__key"), "__least")
     alone = classes.select(F.col("key").alias("__key"), F.col("doc_id").alias("__own"))
-    labels = alone.join(found, "__key", "left").select("__key", F.coalesce("__least", "__own").alias("__c"))
+    # A table of its own: a join of two plain shuffles is one whose hot keys (copies) Spark can split.
+    labels = materialize(alone.join(found, "__key", "left").select("__key", F.coalesce("__least", "__own").alias("__c")), "labels")
     return nodes.join(labels, nodes["key"] == F.col("__key"), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("__c")).alias("component_id"))
 
 

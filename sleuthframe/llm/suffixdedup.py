@@ -266,7 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     whole = materialize(docs.select("doc_id", _text_key().alias("text_key"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("sha")), "texts")
     occurrences = materialize(_occurrences(docs, length, anchor), "anchors")
     common = occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    shared = materialize(occurrences.join(common, "anchor").distinct(), "shared-anchors")
+    # A text's blocks can stand here once for each task that met a copy of it, which only says that it is repeated.
+    shared = materialize(occurrences.join(common, "anchor"), "shared-anchors")
     wanted = materialize(shared.select("text_key").distinct(), "text-keys")
     texts = _bloom_hits(docs, wanted).join(wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
     texts = materialize(texts, "shared-texts")
