@@ -44,6 +44,7 @@ _CLOSES_P = frozenset("address article aside blockquote center details dialog di
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set()}
 _CELLS = frozenset(("td", "th"))
+_ROWS = frozenset(("tr", "table", "tbody", "thead", "tfoot"))
 #: Words of class, id or role that mark what isn't the article.
 _BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner banners navigation navbar nav menu menus breadcrumb breadcrumbs"
@@ -52,6 +53,10 @@ _BOILER_WORDS = frozenset(
     " complementary contentinfo search skip outbrain taboola paywall legal copyright hidden".split()
 )
 _ARTICLE_WORDS = frozenset("article post entry story content main body text page".split())
+#: Of those, words of the article's own element, whose header is part of the article.
+_OWN_WORDS = frozenset("article post entry story".split())
+#: Words that turn a class into a remark on something else: has-sidebar, no-comments.
+_REMARKS = frozenset("no not has have with without is".split())
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -62,6 +67,8 @@ class Node:
     path: str
     boiler: bool
     article: bool
+    #: Whether it stands in the article's own element.
+    inside: bool = False
     score: float = 0.0
 
 
@@ -77,6 +84,20 @@ def _words(value: str) -> list[str]:
     return [w.lower() for w in _NAMES.findall(value)]
 
 
+def _is_boiler(mark: frozenset[str], root: bool, inside: bool) -> bool:
+    """Whether one class, id or role marks what isn't the article; the article's own element only if it is a comment."""
+    if mark & _REMARKS:
+        return False
+    found = mark & _BOILER_WORDS
+    if root:
+        return bool(found & {"comment", "comments", "reply"})
+    return bool(found - {"header"} if inside else found)
+
+
+def _hidden(names: dict[str, str]) -> bool:
+    return "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in re.sub(r"\s", "", names.get("style", "")).lower()
+
+
 def _label(tag: str, classes: str, name: str) -> str:
     """Generalised step of a path: the tag and its sorted classes (or id), digits as #."""
     own = sorted({re.sub(r"\d+", "#", c) for c in classes.split()}) or ([re.sub(r"\d+", "#", name)] if name else [])
@@ -87,14 +108,22 @@ def parse(html: str) -> Page:
     """Containers and text blocks of a page; tolerant of unclosed and stray tags."""
     page = Page([Node("html", -1, "html", False, False)])
     stack, pieces, links, depth, at, end = [0], [], 0, 0, 0, len(html)
+    cell: tuple[int, int] | None = None
+
+    def emit(parts: list[str], node: int) -> None:
+        text = " ".join("".join(parts).split())
+        if text:
+            page.blocks.append((node, text, min(links, len(text))))
 
     def flush() -> None:
-        nonlocal pieces, links
-        if pieces:
-            text = " ".join("".join(pieces).split())
-            if text:
-                page.blocks.append((stack[-1], text, min(links, len(text))))
-        pieces, links = [], 0
+        """Ends a block.  Cells of a row are one block, but not those before a cell that holds blocks itself."""
+        nonlocal pieces, links, cell
+        if cell is not None:
+            emit(pieces[: cell[0]], cell[1])
+            emit(pieces[cell[0] :], stack[-1])
+        elif pieces:
+            emit(pieces, stack[-1])
+        pieces, links, cell = [], 0, None
 
     def pop_to(level: int) -> None:
         del stack[level:]
@@ -129,6 +158,7 @@ def parse(html: str) -> Page:
                 if tag in _CELLS:
                     pieces.append(" ")
                 else:
+                    cell = None if tag in _ROWS else cell
                     flush()
                     depth = 0
                 if level and not (tag == "p" and any(page.nodes[n].tag in _CONTAINERS for n in stack[level + 1 :])):
@@ -153,6 +183,7 @@ def parse(html: str) -> Page:
         if tag in _CELLS:
             pieces.append(" ")
         else:
+            cell = None if tag in _ROWS else cell
             flush()
             depth = 0
         if tag in _CLOSES_P:
@@ -176,16 +207,20 @@ def parse(html: str) -> Page:
                     pop_to(i)
         if tag == "body":
             pop_to(1)
+        if tag in _CELLS:
+            cell = (len(pieces), stack[-1])
         parent = page.nodes[stack[-1]]
         names = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        words = {w for k in ("class", "id", "role") for w in _words(names.get(k, ""))}
-        inner = parent.article or parent.tag in ("article", "main")
+        marks = [frozenset(_words(x)) for k in ("class", "id", "role") for x in names.get(k, "").split()]
+        words = frozenset().union(*marks)
+        inside = parent.inside or parent.tag == "main"
         root = tag in ("html", "body", "article", "main")
-        boiler = parent.boiler or tag in _BOILER_TAGS or not root and bool(words & _BOILER_WORDS) or bool(words & {"comment", "comments", "reply", "sidebar", "footer"}) and tag not in ("html", "body")
-        boiler = boiler or tag == "header" and not inner or "hidden" in names or re.sub(r"\s", "", names.get("style", "")).lower().find("display:none") >= 0 or names.get("aria-hidden") == "true"
-        good = tag in ("article", "main") or "articlebody" in names.get("itemprop", "").lower() or bool(words & _ARTICLE_WORDS) and tag != "body"
+        boiler = parent.boiler or tag in _BOILER_TAGS or tag == "header" and not inside or _hidden(names)
+        boiler = boiler or tag not in ("html", "body") and any(_is_boiler(w, root, inside) for w in marks)
+        own = tag == "article" or "articlebody" in names.get("itemprop", "").lower() or bool(words & _OWN_WORDS) and tag != "body"
+        good = tag in ("article", "main") or own or bool(words & _ARTICLE_WORDS) and tag != "body"
         path = f"{parent.path}>{_label(tag, names.get('class', ''), names.get('id', ''))}" if tag in _CONTAINERS and tag != "html" else parent.path
-        page.nodes.append(Node(tag, stack[-1], path, boiler, good or inner and tag == "header"))
+        page.nodes.append(Node(tag, stack[-1], path, boiler, good, inside or own))
         stack.append(len(page.nodes) - 1)
     flush()
     return page

@@ -250,3 +250,17 @@ def test_consensus_path_of_a_host(spark):
     rows = [(i, "http://h.com", good.format(i=i, t=long, u=short)) for i in range(5)] + [(9, "http://h.com", good.format(i=9, t=short, u=long))]
     got = {r["page_id"]: r["text"] for r in htmlextract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == long.strip() and got[9] == short
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="has-sidebar"><header><h1>Site</h1></header><article class="post no-sidebar"><header class="entry-header"><h1>T</h1></header><div><p>Body text here long enough.</p><aside>pull</aside></div><div class="share-buttons">Share</div><footer>by X</footer></article><div class="sidebar">bla bla bla</div></body>', "T\nBody text here long enough."),
+        ('<div id="page"><div id="header">Site name</div><div class="main-nav"><a href=x>a</a></div><table><tr><td class="left">menu <a>x</a></td><td class="story"><h2>T</h2><p>Some text of the story.</p><p>More.</p></td></tr></table><div id="disqus_thread">c c c</div><div class="notice">n</div></div>', "T\nSome text of the story.\nMore."),
+        ("<article><p>One.</p><table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table></article>", "One.\na b\nc d"),
+        ("<article><p>5 < 6 &lt; 7<!-- x --></p><p hidden>no</p><div style='display: none'>no</div><blockquote>Q&nbsp;A</blockquote></article>", "5 < 6 < 7\nQ A"),
+    ],
+)
+def test_layouts(page, text):
+    found = htmlextract.votes(htmlextract.parse(page))
+    assert htmlextract.text_of(htmlextract.parse(page), max(found, key=found.get)) == text
