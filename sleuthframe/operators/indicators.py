@@ -51,3 +51,22 @@ def across_sources(found: DataFrame, source: str = "artifact", least: int = 2) -
 def counts_by(df: DataFrame, column: str) -> DataFrame:
     """(column, count), largest first; ties by name."""
     return df.groupBy(column).agg(F.count("*").alias("count")).orderBy(F.desc("count"), column)
+
+
+def of_events(events: DataFrame, mode: str = "cell", keys: Sequence[str] = ("source_file",), namespaces: bool = False) -> DataFrame:
+    """Indicators of event envelopes (keys, type, value, source).
+
+    ``cell`` looks at each data value by itself, at the message where there are none; ``joined`` at the values of a row
+    joined with commas, so that a URL takes what follows it along.  Schema namespaces of
+    event XML count only with ``namespaces``.
+    """
+    cells = F.coalesce(F.map_values("data"), F.array().cast("array<string>"))
+    values = F.array_compact(F.when(F.size(cells) > 0, cells).otherwise(F.array("message")))
+    text = F.explode(F.array_distinct(values)) if mode == "cell" else F.array_join(cells, ",")
+    found = extract(events.select(*keys, text.alias("__text")), "__text", keys)
+    return found if namespaces else found.filter(~F.col("value").contains("schemas.microsoft.com"))
+
+
+def known_addresses(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """Rows whose column is one of the known values (one column)."""
+    return rows.join(known.select(F.col(known.columns[0]).alias("__known")), F.col(column) == F.col("__known"), "left_semi")

@@ -579,6 +579,126 @@ def secret_mask(spark, d):
     return R.table(spark, d, "part").select("p_partkey", C.mask_secret(F.col("p_name")).alias("masked"))
 
 
+# --- further scalar functions, joins and filters ---------------------------------------
+
+
+@query("SELECT DISTINCT CAST(event_code AS INTEGER) AS event_code FROM " + R.EVENTS_SQL)
+def evtx_distinct_codes(spark, d):
+    return R.events(spark, d).select("event_code").distinct().orderBy("event_code")
+
+
+@query("SELECT event_id, split_part(line, ' ', 1) AS first_word, left(line, 30) AS cut FROM (SELECT event_id, trim(replace('  ' || event_type || ' of ' || user_id || repeat('x', 40), 'zz', '')) AS line FROM events)")
+def sanitized_text(spark, d):
+    line = F.concat(F.lit("  \x00"), "event_type", F.lit(" of "), F.col("user_id").cast("string"), F.repeat(F.lit("x"), 40))
+    e = R.table(spark, d, "events").select("event_id", C.sanitize(line, 30).alias("cut"))
+    return e.select("event_id", F.split("cut", " ")[0].alias("first_word"), "cut")
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '9.9.9.9' ELSE '10.1.0.' || (user_id % 200) END AS client FROM events")
+def client_addresses(spark, d):
+    e = R.table(spark, d, "events")
+    forwarded = F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit(" 10.1.0."), (F.col("user_id") % 200).cast("string"), F.lit(" , 8.8.8.8")))
+    return e.select("event_id", C.client_ip(forwarded, F.lit("9.9.9.9")).alias("client"))
+
+
+@query("SELECT c_custkey, 'new' AS url, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE c_mktsegment END AS api_key, c_name AS note FROM customer")
+def config_merge(spark, d):
+    c = R.table(spark, d, "customer")
+    old = F.create_map(F.lit("url"), F.lit("was"), F.lit("api_key"), F.lit("old"), F.lit("note"), F.col("c_name"))
+    new = F.create_map(F.lit("url"), F.lit("new"), F.lit("api_key"), F.when(F.col("c_custkey") % 2 == 0, F.lit("***xold")).otherwise(F.col("c_mktsegment")), F.lit("note"), F.lit(""))
+    merged = C.merge_config(old, new)
+    return c.select("c_custkey", *[F.element_at(merged, F.lit(k)).alias(k) for k in ("url", "api_key", "note")])
+
+
+@query("SELECT event_id, 'event_type=' || event_type || ', user_id=' || user_id AS rendered, CASE lower(event_type) WHEN 'error' THEN 'info' ELSE CASE user_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'info' END END AS severity FROM events")
+def csv_rows(spark, d):
+    e = R.table(spark, d, "events")
+    raw = F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.element_at(F.array(F.lit("CRIT"), F.lit("Warning"), F.lit("high"), F.lit("notice")), (F.col("user_id") % 4 + 1).cast("int")))
+    cells = F.create_map(F.lit("event_type"), "event_type", F.lit("user_id"), F.col("user_id").cast("string"))
+    return e.select("event_id", C.key_values(cells).alias("rendered"), C.csv_severity(raw).alias("severity"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, 'info' AS severity FROM events")
+def json_fields(spark, d):
+    v = F.try_parse_json("props")
+    return R.table(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "string").alias("k"), F.coalesce(F.try_variant_get(v, "$.severity", "string"), F.lit("info")).alias("severity"))
+
+
+@query("SELECT name, name NOT LIKE '.%' AND NOT ends_with(name, '.part') AND name <> 'LISEZMOI.txt' AS taken FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'LISEZMOI.txt' WHEN 1 THEN '.hidden' || doc_id WHEN 2 THEN 'x' || doc_id || '.part' ELSE 'x' || doc_id || '.log' END AS name FROM documents)")
+def inbox_filter(spark, d):
+    from ..streaming import live
+
+    n = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 4 == 0, "LISEZMOI.txt").when(F.col("doc_id") % 4 == 1, F.concat(F.lit(".hidden"), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("x"), n, F.lit(".part"))).otherwise(F.concat(F.lit("x"), n, F.lit(".log")))
+    return R.table(spark, d, "documents").select(name.alias("name")).withColumn("taken", ~live.inbox_ignored(F.col("name")))
+
+
+@query(f"SELECT doc_id, value FROM {ioc_sql(R.EVIDENCE_SQL, 'doc_id', 'line', ['ip'])} WHERE value IN (SELECT '198.51.100.' || s_suppkey FROM supplier)")
+def known_addresses(spark, d):
+    known = R.table(spark, d, "supplier").select(F.concat(F.lit("198.51.100."), F.col("s_suppkey").cast("string")).alias("address"))
+    return indicators.known_addresses(_iocs(R.evidence_text(spark, d), "line", "doc_id", types=["ip"]), "value", known).select("doc_id", "value")
+
+
+@query(f"SELECT tactic, technique, CAST(count(*) AS BIGINT) AS n, min(value) AS first_value FROM {ioc_sql('pages', 'page_id', 'url')} i JOIN {_IOC_DIM} ON i.type = m.kind GROUP BY 1, 2")
+def attack_ioc_matrix(spark, d):
+    rows = attack.ioc_matrix(_iocs(R.table(spark, d, "pages"), "url", "page_id"))
+    return rows.select("tactic", "technique", F.size("indicators").cast("long").alias("n"), F.array_min(F.transform("indicators", lambda i: i["value"])).alias("first_value"))
+
+
+_ANSWERS_SQL = f"(SELECT value, CAST(doc_id % 101 AS INTEGER) AS confidence_level, 'fam' || (doc_id % 3) AS malware FROM {ioc_sql(R.EVIDENCE_SQL, 'doc_id', 'line', ['ip'])})"
+
+
+@query(f"SELECT DISTINCT i.value, a.confidence_level, a.families FROM {ioc_sql(R.EVIDENCE_SQL, 'doc_id', 'line', ['ip'])} i JOIN (SELECT value, max(confidence_level) AS confidence_level, string_agg(DISTINCT malware, ',' ORDER BY malware) AS families FROM {_ANSWERS_SQL} GROUP BY value) a ON i.value = a.value")
+def connector_reductions(spark, d):
+    from ..operators.connectors import REGISTRY
+
+    found = _iocs(R.evidence_text(spark, d), "line", "doc_id", types=["ip"])
+    answers = found.select("value", (F.col("doc_id") % 101).cast("int").alias("confidence_level"), F.lit("2024-01-01").alias("first_seen"), F.concat(F.lit("fam"), (F.col("doc_id") % 3).cast("string")).alias("malware"))
+    out = REGISTRY["threatfox"].enrich(found.select("type", "value").distinct(), answers)
+    return out.select("value", "confidence_level", F.array_join("families", ",").alias("families"))
+
+
+@query("SELECT CASE p_size % 4 WHEN 0 THEN 'ip' WHEN 1 THEN 'registry_key' ELSE 'cve' END AS type, p_name AS value, 'misp' AS source FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 100) WHERE p_size % 4 <> 3")
+def misp_pull(spark, d):
+    from ..operators.connectors import pull_misp
+
+    names = F.element_at(F.array(F.lit("ip-dst"), F.lit("regkey"), F.lit("vulnerability"), F.lit("yara")), (F.col("p_size") % 4 + 1).cast("int"))
+    return pull_misp(R.table(spark, d, "part").select(F.col("p_partkey").alias("seq"), names.alias("type"), F.col("p_name").alias("value")), 100)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS connector_id, s_suppkey IS NOT NULL AND s_suppkey % 2 = 0 AS enabled, CASE WHEN s_suppkey IS NULL THEN '' WHEN length(s_name) > 4 THEN '***' || right(s_name, 4) ELSE '***' END AS api_key FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def connector_settings(spark, d):
+    from ..operators.connectors import overlay_configs
+
+    names = R.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("connector_id"))
+    saved = R.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("connector_id"), (F.col("s_suppkey") % 2 == 0).alias("enabled"), F.create_map(F.lit("api_key"), "s_name").alias("config"))
+    return overlay_configs(names, saved).select("connector_id", "enabled", F.coalesce(F.try_element_at("config", F.lit("api_key")), F.lit("")).alias("api_key"))
+
+
+@query("SELECT 's' || c_custkey AS investigation_id, 'ip' AS type, c_name AS value, 'migration' AS source FROM customer UNION ALL SELECT 's' || c_custkey, 'domain', c_mktsegment, 'migration' FROM customer")
+def migrated_sessions(spark, d):
+    c = R.table(spark, d, "customer")
+    iocs = F.create_map(F.lit("ips"), F.array(F.to_json(F.struct(F.col("c_name").alias("valeur")))), F.lit("domaines"), F.array("c_mktsegment"), F.lit("notes"), F.array(F.lit("x")))
+    return casestore.migrate_sessions(c.select(F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id"), iocs.alias("iocs")))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active FROM {R.INVESTIGATIONS_SQL} WHERE name ILIKE '%1%'")
+def investigations_total(spark, d):
+    found = casestore.search(R.investigations(spark, d), "1", ("name",))
+    return found.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "active").alias("active"))
+
+
+@query("SELECT event_id, 'GreyNoise: ' || c || CASE WHEN noise THEN ' (noise)' ELSE ' (targeted)' END AS message, CASE WHEN user_id >= 75 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT *, CASE user_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'benign' ELSE 'malicious' END AS c, user_id % 2 = 1 AS noise FROM events)")
+def verdict_messages(spark, d):
+    kind = F.when(F.col("user_id") % 3 == 1, "benign").when(F.col("user_id") % 3 == 2, "malicious")
+    return R.table(spark, d, "events").select("event_id", C.greynoise_message(kind, F.col("user_id") % 2 == 1).alias("message"), C.threatfox_severity(F.col("user_id")).alias("severity"))
+
+
+@query("SELECT DISTINCT l_orderkey, l_quantity FROM lineitem")
+def files_by_name_and_size(spark, d):
+    return R.table(spark, d, "lineitem").select("l_orderkey", "l_quantity").dropDuplicates(["l_orderkey", "l_quantity"])
+
+
 # --- streams --------------------------------------------------------------------------
 
 

@@ -37,6 +37,32 @@ def inventory(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return files.select("path", "name", C.file_type(F.col("name")).alias("type"), F.col("length").alias("size_bytes"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256")).orderBy("path")
 
 
+#: Extensions that may be added to a case.
+ALLOWED = tuple(sorted(fixed.FILE_TYPES))
+
+
+def ingest(files: DataFrame, investigation_id: str, at: Column, uploaded_by: int | None = None) -> DataFrame:
+    """Rows for the artifacts table of files with an allowed extension; names are made unique by the time of upload."""
+    content, ext = F.col("content"), C.extension(F.col("name"))
+    rows = files.filter(ext.isin(*ALLOWED))
+    unique = F.concat(F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.regexp_replace("name", r"[^A-Za-z0-9._-]", "_"))
+    return rows.select(
+        F.xxhash64("path", F.lit(investigation_id)).alias("id"),
+        F.lit(investigation_id).alias("investigation_id"),
+        unique.alias("filename"),
+        F.col("name").alias("original_filename"),
+        F.col("path").alias("file_path"),
+        F.col("length").alias("file_size"),
+        F.md5(content).alias("file_hash_md5"),
+        F.sha1(content).alias("file_hash_sha1"),
+        F.sha2(content, 256).alias("file_hash_sha256"),
+        F.ltrim(ext, F.lit(".")).alias("file_type"),
+        F.lit(None).cast("string").alias("analysis_result"),
+        F.lit(uploaded_by).cast("long").alias("uploaded_by"),
+        at.cast("timestamp_ntz").alias("uploaded_at"),
+    )
+
+
 def prefetch(files: DataFrame) -> DataFrame:
     """(path, executable, hash, run_count, version, compressed, error) of Prefetch files."""
     content = F.col("content")

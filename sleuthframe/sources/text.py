@@ -176,3 +176,10 @@ def read_event_xml(spark: SparkSession, path: str | Sequence[str], codes: str |
 
         events = events.withColumn("__n", F.row_number().over(Window.partitionBy("source_file").orderBy("seq"))).filter(F.col("__n") <= max_records).drop("__n")
     return events
+
+
+def read_tool_output(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
+    """Rows of CSV files that an external forensic tool has written, non-empty cells only, as envelopes."""
+    rows = read_csv(spark, path, ",", True, max_rows)
+    clean = F.transform_keys("data", lambda k, v: F.regexp_replace(k, "^\ufeff", ""))
+    return rows.withColumn("data", F.map_filter(clean, lambda k, v: F.trim(v) != "")).withColumn("message", C.key_values(F.col("data")))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions import columns as C
 from ..functions import fixed
@@ -91,3 +92,25 @@ def ttl_counters(events: DataFrame, key: str, at: str, ttl_seconds: int, late: s
     kind = events.schema[key].dataType.simpleString()
     rows = events.withWatermark(at, late).select(F.col(key).alias("key"), F.col(at).alias("event_time"), F.unix_micros(at).alias("at"))
     return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, at long, counter long", "until long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the latest progress of each query and hands it to ``tell`` (name, batch, rows)."""
+
+    def __init__(self, tell: Callable[[str, int, int], None]):
+        self.tell = tell
+        self.latest: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.tell(event.name or str(event.id), -1, 0)
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        self.latest[progress.name or str(progress.id)] = progress.batchId
+        self.tell(progress.name or str(progress.id), progress.batchId, progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
