@@ -230,7 +230,7 @@ def _repeats(shared: DataFrame, texts: DataFrame, length: int, anchor: int, buck
     """Tables (anchor, origin, from, to): window starts, counted from the anchor, of blocks (origin) that stand elsewhere too."""
     kinds = shared.groupBy("anchor", "block").agg(F.count("*").alias("weight"), F.min(F.struct("text_key", "start", "lead", "windows")).alias("r")).select("anchor", "block", "weight", "r.*")
     kinds = materialize(kinds, "blocks")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
+    several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "mixed-anchors")
     out = [kinds.filter("weight > 1").select("anchor", F.col("block").alias("origin"), (-F.col("lead")).alias("from"), (F.col("windows") - F.col("lead")).alias("to"))]
     raw = F.expr(f"substring(encode(text, 'UTF-8'), cast(start + 1 as int), windows + {length - 1})")
     state = kinds.join(several, "anchor").join(texts, "text_key").select("anchor", F.lit(anchor - length).alias("lo"), F.lit(1).alias("hi"), F.lit(0).cast("long").alias("core"), "block", raw.alias("data"), "lead", F.col("block").alias("origin"), "weight")
@@ -239,7 +239,7 @@ def _repeats(shared: DataFrame, texts: DataFrame, length: int, anchor: int, buck
         # Blocks of different origins may be the same once cut: counted together, and sorted once.
         same = state.groupBy(*_BUCKET_KEY, "block").agg(F.sum("weight").alias("times"), F.first("data").alias("data"), F.first("lead").alias("lead"))
         same = materialize(same, "cut-blocks")
-        size = same.groupBy(*_BUCKET_KEY).agg(F.count("*").alias("kinds"))
+        size = materialize(same.groupBy(*_BUCKET_KEY).agg(F.count("*").alias("kinds")), "bucket-sizes")
         fits = size.filter((F.col("kinds") > 1) & (F.col("kinds") <= bucket)).drop("kinds")
         found = same.join(fits, _BUCKET_KEY).select(*_BUCKET_KEY, "block", "data", "lead").repartition(*_BUCKET_KEY).sortWithinPartitions(*_BUCKET_KEY, "block")
         ranges = found.mapInArrow(_sorted_buckets(length), "anchor long, lo int, hi int, core long, block long, `from` int, `to` int")
@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     own = F.coalesce("text", F.lit(""))
     whole = materialize(docs.select("doc_id", _text_key().alias("text_key"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("sha")), "texts")
     occurrences = materialize(_occurrences(docs, length, anchor), "anchors")
-    common = occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written, as are the other key tables below: a join of two plain shuffles is one whose hot keys Spark can split.
+    common = materialize(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common-anchors")
     # A text's blocks can stand here once for each task that met a copy of it, which only says that it is repeated.
     shared = materialize(occurrences.join(common, "anchor"), "shared-anchors")
     wanted = materialize(shared.select("text_key").distinct(), "text-keys")
@@ -279,12 +280,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     work = spans.join(texts, "text_key").select("text_key", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
-            for key, text, starts in zip(*(batch.column(c).to_pylist() for c in ("text_key", "text", "spans")), strict=True):
-                data = text.encode()
+            for key, text, starts in zip(*(batch.column(c) for c in ("text_key", "text", "spans")), strict=True):
+                data = text.as_py().encode()
                 merged: list[list[int]] = []
-                for a, b in sorted((s["from"], s["to"] - 1 + length) for s in starts):
+                for a, b in sorted((s["from"], s["to"] - 1 + length) for s in starts.as_py()):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
@@ -294,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     left.append(data[last:a])
                     last = b
                 kept = b"".join([*left, data[last:]])
-                out.append((key, sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept if texts_too else None))
+                out.append((key.as_py(), sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept if texts_too else None))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["__key", "__removed", "__spans", "__sha", "kept"])
