@@ -144,7 +144,7 @@ def hits(data: np.ndarray, off: np.ndarray, items: Items, threshold: Fraction =
         where = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]))
         where = where[(where >= 0) & (where + size <= len(hashed))]
         where = where[of[where] == of[where + size - 1]]
-        for part in np.array_split(where, max(1, len(where) * m // 200_000)):
+        for part in np.array_split(where, max(1, len(where) * m // 20_000)):
             if not len(part):
                 continue
             inside = grams[k][part[:, None] + np.arange(m)]
@@ -163,8 +163,8 @@ def hits(data: np.ndarray, off: np.ndarray, items: Items, threshold: Fraction =
 def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[Items]:
     """The benchmark as blocks of bounded size, fetched one at a time."""
     sized = benchmark.select("item_id", "text").filter("text is not null")
-    total = sized.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    blocks = max(1, -(-2 * (total[0] or 0) // limit))
+    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // limit))
     if blocks == 1:
         rows = sized.collect()
         yield Items([r[0] for r in rows], [r[1] for r in rows])

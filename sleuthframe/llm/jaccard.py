@@ -45,6 +45,8 @@ SLOTS = 1 << 20
 BLOOM_BITS = 1 << 25
 _SIGNATURE_WORDS = 8
 _BLOCK = 256
+#: Most rows of one list that a task holds at once; longer lists are cut, their pairs dealt over cells of parts.
+LIST_ROWS = 100_000
 _SEEN = 500_000
 
 
@@ -154,8 +156,8 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, threshold: tupl
     return docs.select("text").mapInArrow(run, "token long, key binary, np long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by ``token``, cut so that no list is split."""
+def _groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """Batches sorted by ``token``, cut between lists; with ``most`` also inside a list of more rows, whose last row is then repeated."""
     rest = None
     for batch in batches:
         if not batch.num_rows:
@@ -168,6 +170,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if cut:
             yield table.slice(0, cut)
         rest = table.slice(cut)
+        if most is not None and rest.num_rows > most:
+            yield rest
+            rest = rest.slice(rest.num_rows - 1)
     if rest is not None:
         yield rest
 
@@ -176,11 +181,11 @@ def _shared(threshold: tuple[int, int]):
     """Rows of lists that hold two sets or more, repeated rows once, each with its ``others``.
 
     Others are the set's neighbours in the list in three orders (size, and two by digest) that
-    sizes and positions allow to link: a few a set, however long the list.
+    sizes and positions allow to link: a few a set, however long the list.  Long lists pass in parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in _groups(batches, LIST_ROWS):
             token, place = table.column("token").to_numpy(), table.column("np").to_numpy()
             key = pc.fill_null(table.column("key"), b"").to_pylist()
             same = np.zeros(len(token), bool)
@@ -224,7 +229,7 @@ def _pairs(threshold: tuple[int, int]):
             size, pos = place >> 32, place & 0xFFFFFFFF
             root = np.unique(np.array(table.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
             sign = np.stack([table.column(f"s{i}").to_numpy() for i in range(_SIGNATURE_WORDS)], 1).view(np.uint64)
-            key = table.column("key").to_pylist()
+            key, part, cross = table.column("key").to_pylist(), table.column("part").to_numpy(), table.column("crossed").to_numpy()
             edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
             fresh = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -241,6 +246,8 @@ def _pairs(threshold: tuple[int, int]):
                         if most < _need(int(size[a[0]]), int(size[b[0]]), threshold):
                             continue
                         ok = (root[a][:, None] != root[b][None, :]) & (b[None, :] > a[:, None])
+                        if cross[lo]:
+                            ok &= part[a][:, None] != part[b][None, :]
                         x, y = np.nonzero(ok)
                         x, y = a[x], b[y]
                         need = _need(size[x], size[y], threshold)
@@ -259,6 +266,24 @@ def _pairs(threshold: tuple[int, int]):
     return run
 
 
+def _cells(lists: DataFrame, most: int) -> DataFrame:
+    """Lists as (token, key, np, part, crossed) of bounded length.
+
+    A list of more than ``most`` rows is dealt by digest into parts of half that, and each two
+    parts (and each by itself) are a list of their own, so that no pair is lost and no task
+    holds the whole list.
+    """
+    whole = lists.withColumns({"part": F.lit(0), "crossed": F.lit(False)})
+    long = materialize(lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > most), "long-lists")
+    if long.isEmpty():
+        return whole
+    parts = long.select("token", F.ceil(F.col("rows") * 2 / most).cast("int").alias("parts"))
+    dealt = lists.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cells = dealt.withColumn("other", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "key", "np", "part", (F.col("part") != F.col("other")).alias("crossed"))
+    return whole.join(long.select("token"), "token", "left_anti").unionByName(cells)
+
+
 def _bloom_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text_key, text) of documents whose text may be wanted, by a Bloom filter of fixed size."""
     bits = BLOOM_BITS
@@ -348,7 +373,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
-def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, rows: int = LIST_ROWS) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id.
 
     Two documents link when ``threshold[1]`` * |intersection| >= ``threshold[0]`` * |union| of
@@ -377,7 +402,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     roots = components(first)
 
     sides = classes.join(roots, classes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), *(f"s{i}" for i in range(_SIGNATURE_WORDS)))
-    rest = lists.select("token", "key", "np").join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
+    rest = _cells(lists.select("token", "key", "np"), rows).join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
     pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
     pairs = materialize(_possible(pairs, classes, threshold), "pairs")
     free(spark)

@@ -117,9 +117,9 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), kind))
     for m in _HEX_ANY.finditer(text):
         kind = _key_kind(bytes.fromhex(m[0])) if (m.end() - m.start()) % 2 == 0 else None
-        if kind is not None and (m.start(), m.end(), kind) not in out:
+        if kind is not None:
             out.append((m.start(), m.end(), kind))
-    return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2], x[1]))]
+    return [(s, e, KINDS[k]) for s, e, k in sorted(set(out), key=lambda x: (x[0], x[2], x[1]))]
 
 
 def _key_kind(data: bytes | None) -> int | None:

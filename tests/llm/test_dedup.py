@@ -77,6 +77,10 @@ def test_jaccard(spark, odd, none):
     got = sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard.join(docs).collect())
     assert got == linked([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert jaccard.join(none).count() == 0
+    # Lists dealt over cells of parts lose no pair.
+    cut = jaccard.join(docs.filter("doc_id >= 1000 and doc_id < 5000"), rows=3)
+    few = docs.filter("doc_id >= 1000 and doc_id < 5000").collect()
+    assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in cut.collect()) == linked([(r["doc_id"], r["text"]) for r in few])
 
 
 def test_deduplicate_keeps_one_of_a_group_and_all_columns(spark, odd):
