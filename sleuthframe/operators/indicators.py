@@ -32,9 +32,10 @@ def import_accounting(rows: DataFrame, existing: DataFrame, keys: Sequence[str]
     judged = classify(rows)
     fresh = insert_or_ignore(judged.filter("outcome = 'valid'"), existing, keys, order)
     counts = judged.groupBy("outcome").agg(F.count("*").alias("n"))
-    imported = fresh.agg(F.count("*").alias("n")).select(F.lit("imported").alias("outcome"), "n")
-    duplicate = counts.filter("outcome = 'valid'").crossJoin(F.broadcast(imported.select(F.col("n").alias("m")))).select(F.lit("duplicate").alias("outcome"), (F.col("n") - F.col("m")).alias("n"))
-    return counts.filter("outcome <> 'valid'").unionByName(imported).unionByName(duplicate).filter("n > 0")
+    imported = fresh.agg(F.count("*").alias("n"))
+    # Of the valid rows, what isn't imported is a duplicate.
+    duplicate = counts.filter("outcome = 'valid'").select(F.lit("duplicate").alias("outcome"), (F.col("n") - imported.scalar()).alias("n"))
+    return counts.filter("outcome <> 'valid'").unionByName(imported.select(F.lit("imported").alias("outcome"), "n")).unionByName(duplicate).filter("n > 0")
 
 
 def insert_or_ignore(rows: DataFrame, existing: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -12,12 +12,10 @@ from ..functions import fixed
 
 
 def overview(investigations: DataFrame, others: Mapping[str, DataFrame]) -> DataFrame:
-    """One row: investigations by status and rows of the other tables.  Each table is one partial aggregate; one-row results are crossed."""
+    """One row: investigations by status and rows of the other tables, each a scalar subquery of one partial aggregate."""
     by_status = [F.count_if(F.col("status") == s).alias(f"investigations_{s}") for s in fixed.STATUSES]
     out = investigations.agg(F.count("*").alias("investigations"), *by_status)
-    for name, df in others.items():
-        out = out.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))
-    return out
+    return out.withColumns({name: df.agg(F.count("*")).scalar() for name, df in others.items()})
 
 
 def daily(rows: DataFrame, at: str, last_day: Column, days: int = 7) -> DataFrame:

@@ -423,8 +423,7 @@ def _last_day(spark, d):
 
 
 def _daily(spark, d, kind):
-    events = R.table(spark, d, "events").filter(F.col("event_type") == kind).crossJoin(F.broadcast(_last_day(spark, d)))
-    return stats.daily(events, "ts", F.col("last_day"))
+    return stats.daily(R.table(spark, d, "events").filter(F.col("event_type") == kind), "ts", _last_day(spark, d).scalar())
 
 
 @query(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events WHERE event_type = 'error' AND CAST(ts AS DATE) > {_LAST} - 7 GROUP BY 1")
@@ -435,7 +434,7 @@ def stats_daily_7d(spark, d):
 @query(f"SELECT CAST(CAST(g.day AS DATE) AS VARCHAR) AS day, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'signup' AND user_id < 3) AS rare FROM (SELECT unnest(generate_series({_LAST} - 6, {_LAST}, INTERVAL 1 DAY)) AS day) g LEFT JOIN events ON CAST(ts AS DATE) = CAST(g.day AS DATE) GROUP BY 1")
 def stats_dense_series(spark, d):
     last = _last_day(spark, d)
-    rare = stats.daily(R.table(spark, d, "events").filter("event_type = 'signup' and user_id < 3").crossJoin(F.broadcast(last)), "ts", F.col("last_day"))
+    rare = stats.daily(R.table(spark, d, "events").filter("event_type = 'signup' and user_id < 3"), "ts", last.scalar())
     return stats.dense_series(last, {"errors": _daily(spark, d, "error"), "rare": rare}).select(F.col("day").cast("string").alias("day"), "errors", "rare")
 
 
