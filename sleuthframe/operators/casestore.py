@@ -62,7 +62,8 @@ class CaseStore:
         shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMAS[table]).schema])
         if table in CHILDREN:
             shaped = shaped.withColumn("slot", F.pmod(F.hash("investigation_id"), F.lit(SLOTS)))
-            shaped.write.partitionBy("slot").parquet(f"{self.root}/{table}/v={version}")
+            # One file a slot, more where a slot is large: the rebalance splits skewed ones.
+            shaped.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/{table}/v={version}")
         else:
             shaped.write.parquet(f"{self.root}/{table}/v={version}")
 

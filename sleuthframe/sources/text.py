@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -21,18 +21,31 @@ def envelope(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(source_file, seq, value): lines in order.  A file is one split, as line numbers need what is before them."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
-    return raw.select("source_file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("seq", "value"))
+def _order() -> Column:
+    """A number that grows with the place in the file, for rows straight from a splittable scan.
+
+    It is the megabyte in which the row's split starts, then the row's number in its task:
+    unique and in file order without a shuffle, but not dense.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(F.floor(F.col("_metadata.file_block_start") / (1 << 20)).cast("long"), 33) + row
+
+
+def _first_rows(rows: DataFrame, most: int) -> DataFrame:
+    """The first rows of each file."""
+    nth = F.row_number().over(Window.partitionBy("source_file").orderBy("seq"))
+    return rows.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
+
+
+def _lines(spark: SparkSession, path: str | Sequence[str], most: int | None = None) -> DataFrame:
+    """(source_file, seq, value): lines; files are split over tasks.  ``most`` keeps the first lines of each file."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"), "value")
+    return rows if most is None else _first_rows(rows, most)
 
 
 def read_log(spark: SparkSession, path: str | Sequence[str], max_lines: int | None = None) -> DataFrame:
     """Envelope of log lines: syslog fields where they parse, else the line itself; blank lines are left out."""
-    lines = _lines(spark, path)
-    if max_lines is not None:
-        lines = lines.filter(F.col("seq") < max_lines)
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).filter("line <> ''").withColumn("s", C.syslog(F.col("line")))
+    lines = _lines(spark, path, max_lines).withColumn("line", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).filter("line <> ''").withColumn("s", C.syslog(F.col("line")))
     plain = F.col("s").isNull()
     return envelope(
         lines,
@@ -68,28 +81,28 @@ def _first(names: Sequence[str], words: Sequence[str]) -> str | None:
     return next((n for n in names if any(w in n.lower() for w in words)), None)
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, max_rows: int | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, max_rows: int | None = None, multiline: bool = False) -> DataFrame:
     """Envelope of CSV rows: cells stay strings, time and severity columns are found by name.
 
-    ``data`` holds the cells that a row has; short rows have fewer.  Rows are numbered in file
-    order by their place in the file.
+    ``data`` holds the cells that a row has; short rows have fewer.  Files are split over
+    tasks; with ``multiline`` cells may hold line ends, and a file is one task.
     """
     found = sniff(spark, path) if delimiter is None or header is None else (delimiter, header)
     delimiter, header = delimiter or found[0], found[1] if header is None else header
-    raw = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", True).csv(path)
+    raw = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline).csv(path)
     names = raw.columns if header else [f"col_{i}" for i in range(len(raw.columns))]
     rows = raw.toDF(*[f"c{i}" for i in range(len(names))]) if names else raw
-    cells = rows.select("*", F.col("_metadata.file_path").alias("__f"), F.monotonically_increasing_id().alias("__seq"))
+    cells = rows.select("*", F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"))
     if max_rows is not None:
-        cells = cells.filter(F.col("__seq") < max_rows)
+        cells = _first_rows(cells, max_rows)
     at = {n: F.col(f"c{i}") for i, n in reversed(list(enumerate(names)))}
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), at[n].alias("value")) for n in dict.fromkeys(names)])
     data = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
     time, severity = (_first(names, fixed.TIME_WORDS), _first(names, fixed.SEVERITY_COLUMN_WORDS)) if header else (names[0] if names else None, None)
     return envelope(
         cells,
-        source_file=F.col("__f"),
-        seq=F.col("__seq"),
+        source_file=F.col("source_file"),
+        seq=F.col("seq"),
         ts_raw=F.coalesce(at[time], F.lit("")) if time else F.lit(""),
         severity=C.csv_severity(F.coalesce(at[severity], F.lit("info"))) if severity else F.lit("info"),
         message=C.key_values(data),
@@ -167,15 +180,9 @@ def read_event_xml(spark: SparkSession, path: str | Sequence[str], codes: str |
     ``max_records`` gives the capped reading: five times as many raw records are looked at,
     before the code filter, and so many events returned.
     """
-    lines = _lines(spark, path).filter(F.col("value").contains("<Event")).withColumnRenamed("value", "xml")
-    if max_records is not None:
-        lines = lines.filter(F.col("seq") < 5 * max_records)
+    lines = _lines(spark, path, None if max_records is None else 5 * max_records).filter(F.col("value").contains("<Event")).withColumnRenamed("value", "xml")
     events = filter_codes(parse_event_xml(lines, unnamed=unnamed), codes)
-    if max_records is not None:
-        from pyspark.sql import Window
-
-        events = events.withColumn("__n", F.row_number().over(Window.partitionBy("source_file").orderBy("seq"))).filter(F.col("__n") <= max_records).drop("__n")
-    return events
+    return events if max_records is None else _first_rows(events, max_records)
 
 
 def read_tool_output(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:

@@ -144,3 +144,17 @@ def test_drop_folder(spark, tmp_path):
     run = live.watch(live.drop_folder(spark, f"file://{inbox}"), lambda df, i: seen.extend((r["name"], r["case_name"]) for r in df.collect()), f"file://{tmp_path}/cp", once=True)
     run.awaitTermination(60)
     assert sorted(seen) == [("a.log", "incident-web"), ("evidence.log", "inbox")]
+
+
+def test_line_order_over_splits(spark, tmp_path):
+    (tmp_path / "big.log").write_text("".join(f"line {i:07d} {'x' * (i % 50)}\n" for i in range(90_000)))
+    (tmp_path / "small.log").write_text("line 0\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        lines = text.read_log(spark, f"{tmp_path}/big.log")
+        assert lines.rdd.getNumPartitions() > 2
+        rows = lines.orderBy("seq").select("message").collect()
+        assert [r["message"][5:12] for r in rows] == [f"{i:07d}" for i in range(90_000)]
+        assert text.read_log(spark, [f"{tmp_path}/big.log", f"{tmp_path}/small.log"], max_lines=3).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
