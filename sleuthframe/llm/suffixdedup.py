@@ -305,7 +305,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         result = result.drop("kept")
     # A text that stands twice goes as a whole.
     copied = whole.filter(F.col("n_bytes") >= length).groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("text_key").alias("__copied"))
-    joined = whole.join(result, whole["text_key"] == F.col("__key"), "left").join(copied, whole["text_key"] == F.col("__copied"), "left")
+    cuts = result.join(copied, F.col("__key") == F.col("__copied"), "full").withColumn("__text", F.coalesce("__key", "__copied"))
+    joined = whole.join(materialize(cuts, "cuts"), whole["text_key"] == F.col("__text"), "left")
     gone = F.col("__copied").isNotNull()
     none = F.lit(0).cast("long")
     columns = [
