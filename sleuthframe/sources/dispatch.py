@@ -22,18 +22,18 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Events of all files below ``path``.
 
     Files are listed once, without their content.  Text readers take their paths; CSV files
-    are sniffed one by one.  Binary event logs need an optional package.
+    are sniffed where they are read.  Binary event logs need an optional package.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", reader_of(C.base_name(F.col("path"))).alias("reader"))
     by_reader: dict[str, list[str]] = {}
     for row in listed.collect():
         by_reader.setdefault(row["reader"], []).append(row["path"])
-    parts = [text.read_csv(spark, p) for p in by_reader.get("csv", [])]
+    parts = []
     if "log" in by_reader:
         parts.append(text.read_log(spark, by_reader["log"]))
     if "json" in by_reader:
         parts.append(text.read_json(spark, by_reader["json"]))
-    for reader, fn in (("prefetch", binary.prefetch_events), ("lnk", binary.shortcut_events), ("browser", binary.history_events), ("evtx", binary.read_evtx)):
+    for reader, fn in (("csv", binary.csv_events), ("prefetch", binary.prefetch_events), ("lnk", binary.shortcut_events), ("browser", binary.history_events), ("evtx", binary.read_evtx)):
         if reader in by_reader:
             parts.append(fn(binary.read_files(spark, by_reader[reader])))
     out = text.envelope(spark.createDataFrame([], "x int"))

@@ -28,6 +28,17 @@ def test_csv(spark, tmp_path):
     assert {r["value"] for r in found.collect()} == {"8.8.8.8", "1.1.1.1"}
 
 
+def test_csv_files_of_several_shapes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Event_Time;Level;x\n" + "2024-01-01;WARN;1\n" * 30 + "2024-01-02;error;2;9\n2024-01-03\n")
+    (tmp_path / "b.csv").write_text('time,note\n1,"two\nlines, and a comma"\n')
+    (tmp_path / "c.csv").write_text("1|2\n3|4\n5|6\n")
+    rows = {(r["source_file"][-5:], r["seq"]): r for r in binary.csv_events(binary.read_files(spark, str(tmp_path), "*.csv")).collect()}
+    assert [(rows["a.csv", i]["ts_raw"], rows["a.csv", i]["severity"]) for i in (0, 30, 31)] == [("2024-01-01", "medium"), ("2024-01-02", "info"), ("2024-01-03", "info")]
+    assert rows["a.csv", 30]["data"] == {"Event_Time": "2024-01-02", "Level": "error", "x": "2"} and rows["a.csv", 31]["data"] == {"Event_Time": "2024-01-03"}
+    assert rows["b.csv", 0]["data"]["note"] == "two\nlines, and a comma"
+    assert rows["c.csv", 0]["data"] == {"col_0": "1", "col_1": "2"} and rows["c.csv", 0]["ts_raw"] == "1"
+
+
 def test_json(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"timestamp": "t1", "event": "e", "severity": "high"}, {"@timestamp": "t2", "message": "m", "level": "low"}, {"n": 1}]')
     (tmp_path / "o.json").write_text('{"events": [1]}')
