@@ -136,3 +136,13 @@ def test_pipeline_equals_brute_force(spark):
     assert taken == {s: math.floor(t + 1e-9) for s, t in want.items() if t >= 1}
     assert [r["mix_position"] for r in rows] == sorted(r["mix_position"] for r in rows)
     assert len(corpus_pipeline.STAGES) == 5 and decontam.THRESHOLD == Fraction(4, 5)
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        for docs in (odd, none):
+            out = stage(spark, docs, SMALL)
+            assert out.columns[: len(docs.columns)] == docs.columns
+            assert out.count() <= docs.count()
