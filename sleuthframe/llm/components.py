@@ -48,7 +48,8 @@ def components(links: DataFrame) -> DataFrame:
     while count:
         # Large star: each node links its larger neighbours to its smallest one.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        # Written, so that Spark can split the join at the centre of a large star.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, both["a"] == least["n"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: each node links its smaller neighbours to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
