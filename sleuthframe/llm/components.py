@@ -44,8 +44,10 @@ def components(links: DataFrame) -> DataFrame:
     shared folder.
     """
     edges = materialize(links.select("a", "b").filter("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), "edges")
-    count = edges.count()
-    while count:
+    # The same rows, by number and sum of hashes: nothing has changed.
+    summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    last = summary(edges)
+    while last[0]:
         # Large star: each node links its larger neighbours to its smallest one.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that Spark can split the join at the centre of a large star.
@@ -55,9 +57,9 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, large["a"] == low["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         after = materialize(small, "edges")
-        summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if summary(after) == summary(edges):
+        now = summary(after)
+        if now == last:
             break
-        edges = after
+        edges, last = after, now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -274,9 +274,10 @@ def _cells(lists: DataFrame, most: int) -> DataFrame:
     holds the whole list.
     """
     whole = lists.withColumns({"part": F.lit(0), "crossed": F.lit(False)})
-    long = materialize(lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > most), "long-lists")
+    long = lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
     if long.isEmpty():
         return whole
+    long = materialize(long, "long-lists")
     parts = long.select("token", F.ceil(F.col("rows") * 2 / most).cast("int").alias("parts"))
     dealt = lists.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
