@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +31,13 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every assignment holds one of these; texts without them skip the slower pattern.
 _ASSIGN_HINT = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
-#: Base64 candidates: 40 characters or more, line ends inside as in PEM bodies.
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+#: Base64 candidates, of either alphabet: a line of 40 characters or more, and lines after it as in PEM bodies.
+_BASE64_LINE = 40
+_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*(?:\r?\n(?==))?={0,2}")
+_BASE64URL = re.compile(r"[A-Za-z0-9_-]{40,}(?:\r?\n[A-Za-z0-9_-]+)*(?:\r?\n(?==))?={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_URL_SIGNS = str.maketrans("-_", "+/")
+_OPENSSH = b"openssh-key-v1\x00"
 _HEX_ANY = re.compile(r"[0-9a-fA-F]{48,}")
 _SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
@@ -74,7 +81,7 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private-key container, or a known key type and length-prefixed fields to the end."""
-    if data.startswith(b"openssh-key-v1\x00"):
+    if data.startswith(_OPENSSH):
         return True
     at, fields = 0, []
     while at + 4 <= len(data):
@@ -112,9 +119,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     if "eyJ" in text or "ey" in text and "." in text:
         out += [(m.start(), m.end(), 3) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     for m in _BASE64.finditer(text):
-        kind = _key_kind(_unbase64(re.sub(r"\s", "", m[0])))
-        if kind is not None:
-            out.append((m.start(), m.end(), kind))
+        out += _base64_keys(text, m.start(), m.end())
+    for m in _BASE64URL.finditer(text):
+        if "-" in m[0] or "_" in m[0]:
+            out += _base64_keys(text, m.start(), m.end())
     for m in _HEX_ANY.finditer(text):
         kind = _key_kind(bytes.fromhex(m[0])) if (m.end() - m.start()) % 2 == 0 else None
         if kind is not None:
@@ -128,6 +136,63 @@ def _key_kind(data: bytes | None) -> int | None:
     return 4 if is_der_key(data) else 5 if is_ssh_key(data) else None
 
 
+def _ends(take: Callable[[int, int], bytes], size: int) -> list[int] | None:
+    """Where a key at the start of ``size`` bytes may end, longest first; empty: no key; None: its fields don't tell."""
+    head = take(0, 24)
+    number = lambda at: int.from_bytes(take(at, 4), "big")
+    if head[:1] == b"\x30":
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return [2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+    if head.startswith(_OPENSSH):
+        # Cipher, key derivation and its options; a number of public keys; these, and the private part.
+        at, left = len(_OPENSSH), 3
+        for last in (False, True):
+            while left and at + 4 <= size:
+                at, left = at + 4 + number(at), left - 1
+            if not last and at + 4 <= size:
+                at, left = at + 4, number(at) + 1
+        return [at] if not left and at <= size else None
+    if head[4 : 4 + int.from_bytes(head[:4], "big")] not in _SSH_KINDS:
+        return []
+    at, ends = 0, []
+    while at + 4 <= size and (at := at + 4 + number(at)) <= size:
+        ends.append(at)
+    return ends[:0:-1]
+
+
+def _base64_keys(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the keys in a candidate.
+
+    A key starts with a line and ends with one; which one follows from the lengths inside
+    it, so that words on the lines after a key, or another key, are no part of it.
+    """
+    lines = [(m.start(), m.end()) for m in _LINE.finditer(text, start, stop)]
+    chars = "".join(text[a:b] for a, b in lines).translate(_URL_SIGNS)
+    upto = list(itertools.accumulate((b - a for a, b in lines), initial=0))
+    out, i = [], 0
+    while i < len(lines):
+        if lines[i][1] - lines[i][0] < _BASE64_LINE:
+            i += 1
+            continue
+        first = upto[i]
+
+        def take(at: int, n: int, first: int = first) -> bytes:
+            lo = at // 3
+            part = chars[first + 4 * lo : first + 4 * -(-(at + n) // 3)]
+            return (_unbase64(part[: len(part) - (len(part) % 4 == 1)]) or b"")[at - 3 * lo :][:n]
+
+        ends = _ends(take, (upto[-1] - first) * 3 // 4)
+        wanted = [upto[k] - first for k in range(len(lines), i, -1) if (upto[k] - first) % 4 != 1] if ends is None else [-(-4 * e // 3) for e in ends]
+        i += 1
+        for n in wanted:
+            k = bisect.bisect_left(upto, first + n)
+            if k < len(upto) and upto[k] == first + n and (kind := _key_kind(_unbase64(chars[first : first + n]))) is not None:
+                out.append((lines[i - 1][0], stop if k == len(lines) else lines[k - 1][1], kind))
+                i = k
+                break
+    return out
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
