@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-Each document is slid over in windows of as many words as an item has.  Windows get a
+Each document is slid over in windows of as many words as an item has; a document with
+fewer words is one window.  Windows get a
 128-bit SimHash of their weighted word shingles; a multi-index (the fingerprint cut into
 more blocks than the radius, so that any fingerprint within the radius agrees on a whole
 block) finds the items of that size within the Hamming radius, and the exact weighted
@@ -8,7 +9,7 @@ Jaccard similarity of the shingles decides.
 
 Windows that can't reach the threshold are left out beforehand without loss: an overlap of
 o of m shingles gives at most o / (2m - o), so a window needs t*2m / (1 + t) positions whose
-shingle stands in some item.
+shingle stands in some item (t*(m + n) / (1 + t) if the window is a document of n shingles).
 
 Scale: one pass over the texts, no shuffle of them.  Items are worked on in blocks of
 ``ITEM_BYTES`` of text: a block, whose size is therefore bounded, goes to every task; a
@@ -32,6 +33,8 @@ THRESHOLD = Fraction(4, 5)
 BITS = 128
 #: At similarity 0.8 two fingerprints differ in 19.4 of 128 bits on average, deviation 4.1: 5 deviations more.
 RADIUS = 40
+#: For documents shorter than the item, of which there are few: half the bits, as few or repeated shingles differ in more.
+SHORT_RADIUS = 64
 #: Most bytes of item texts in one block.
 ITEM_BYTES = 16 << 20
 
@@ -79,6 +82,11 @@ class MultiIndex:
         return [p for p, k in zip(pairs, ok.tolist(), strict=True) if k]
 
 
+    def scan(self, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+        """As ``near`` for any radius, by a look at each fingerprint."""
+        return [(i, j) for i, p in enumerate(prints) for j in np.flatnonzero(np.bitwise_count(self.prints ^ p).sum(1) <= radius).tolist()]
+
+
 class Items:
     """A block of benchmark items: shingles, and an index of fingerprints for each size in words."""
 
@@ -129,11 +137,24 @@ def hits(data: np.ndarray, off: np.ndarray, items: Items, threshold: Fraction =
         at = at[np.isin(g[at], items.known)]
         seeds[k] = at[of[at] == of[at + k - 1]]
     need_share = 2 * threshold / (1 + threshold)
+    n_words = np.diff(first)
+    n_seeds = {k: np.bincount(of[at], minlength=len(off) - 1) for k, at in seeds.items()}
     for size, (ids, shingles, index) in items.by_size.items():
         k = min(size, items.shingle)
         m = size - k + 1
         need = -(-need_share.numerator * m // need_share.denominator)
         seed = seeds[k]
+        # Texts with fewer words than the item are one window, with the same bound for unequal sizes.
+        shorter = (n_words >= k) & (n_words < size)
+        shorter &= n_seeds[k] * need_share.denominator * 2 >= need_share.numerator * (m + n_words - k + 1)
+        for d in np.flatnonzero(shorter).tolist():
+            inside = grams[k][first[d] : first[d] + n_words[d] - k + 1]
+            for _, j in index.scan(simhash(_bits(inside).sum(0)[None]), SHORT_RADIUS):
+                sim = _similarity(np.sort(inside), shingles[j])
+                if sim >= threshold:
+                    key, found = (d, ids[j]), (sim, 0, int(n_words[d]))
+                    if key not in best or found > best[key]:
+                        best[key] = found
         if len(seed) < need:
             continue
         # Windows [s, s + m) of shingle positions with enough seeds: from runs of ``need`` seeds in a row.
@@ -180,7 +201,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: Fraction = T
 
     Clean documents have no row.  Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; items of
     fewer than five words are one shingle; null, empty and blank items and texts match
-    nothing.  Items with equal texts are all reported; of windows with equal similarity the
+    nothing.  A text with fewer words than an item is one window.  Items with equal texts are all reported; of windows with equal similarity the
     first counts.  Repeated documents each get their rows.  Only doc_id, text, item_id are read.
     """
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
