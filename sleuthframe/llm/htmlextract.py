@@ -4,7 +4,8 @@ Pages of a host share a template, so the place of the article is voted on.  Each
 containers are scored (text, less links, more for article elements); a container's path is
 the tag and classes of itself and its ancestors with numbers generalised; votes are summed
 by (host, path) in Spark, and every page is extracted anew from the winning path of its host.
-A page without that path falls back to its own best container.
+A page without that path falls back to the path of its own best container.  All containers
+at the path are the article, which adverts may have cut into parts.
 
 Scale: the first pass emits a few short rows a page, which are pre-aggregated before the
 shuffle, so a host with a third of all pages is a few rows a task.  Winners are one row a
@@ -261,15 +262,18 @@ def votes(page: Page) -> dict[str, float]:
 
 
 def text_of(page: Page, path: str | None) -> str:
-    """Blocks of the best container at ``path``, or of the page's best container, one line each."""
+    """Blocks of the containers at ``path``, or at the path of the page's best container, in page order, one line each.
+
+    A container whose text is all links is a menu and left out, unless the page has nothing else.
+    """
     score(page)
     containers = [i for i, n in enumerate(page.nodes) if n.tag in _CONTAINERS and not n.boiler]
     among = [i for i in containers if page.nodes[i].path == path and page.nodes[i].score] or containers
     if not among:
         return ""
-    best = max(among, key=lambda i: (page.nodes[i].score, -i))
-    inside = {best}
-    for i in range(best + 1, len(page.nodes)):
+    best = page.nodes[max(among, key=lambda i: (page.nodes[i].score, -i))]
+    inside = {i for i in among if page.nodes[i].path == best.path and (page.nodes[i].score or not best.score)}
+    for i in range(min(inside) + 1, len(page.nodes)):
         n = page.nodes[i]
         if n.parent in inside and not n.boiler:
             inside.add(i)
