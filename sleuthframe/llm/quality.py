@@ -1,9 +1,12 @@
 """Quality rules: repetition and symbol counts, then tokeniser fertility bands.
 
-Public vocabularies measure each text in three ways: characters per token, share of
-byte-fallback tokens, and entropy of the token distribution.  A text outside the band of
-its language (or of the default where the language has none) is rejected.  Prose in a
-language that a vocabulary covers has a steady fertility; mojibake, symbol noise, encoded
+Two public vocabularies measure each text: letters and digits per token under a piece
+vocabulary and under a multilingual byte-level one, share of tokens that are parts of a
+character, share of tokens of no script, and entropy of windows of a fixed number of
+tokens, which doesn't depend on the text's length.  A text outside the band of its
+language (or of the default where the language has none) is rejected; a text that is mostly
+of another than Latin script has the band of that script.  Prose in a language that a
+vocabulary covers has a steady fertility; mojibake, symbol noise, random letters, encoded
 data and tables of fragments don't.
 
 One pass, no shuffle.  Distinct words of a chunk are tokenised once and remembered by
@@ -13,6 +16,7 @@ nothing but speed.
 
 from __future__ import annotations
 
+import base64
 import functools
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -25,35 +29,52 @@ from . import bytesops as B
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
+MULTI = "byte_bpe_multi_50k.tiktoken"
+#: Tokens of a window of which entropy is taken: no text of 50 words has fewer.
+WINDOW = 50
 CACHED_WORDS = 400_000
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[list(b"#*$%&|<>")] = 1
+#: Letters and digits by first byte, a script each: none; Latin; other alphabets of two bytes; those of India and South-East Asia; Chinese, Japanese, Korean.
+_SCRIPT = np.full(256, -1, np.int8)
+_SCRIPT[48:58] = 4
+_SCRIPT[65:91] = _SCRIPT[97:123] = _SCRIPT[0xC3:0xCA] = 0
+_SCRIPT[0xCD:0xE0] = 1
+_SCRIPT[0xE0:0xE2] = 2
+_SCRIPT[0xE3:0xEE] = 3
 
 
 @dataclass(frozen=True)
 class Band:
     """Limits of a clean text.
 
-    Characters per token; share of byte-fallback tokens; share of tokens of no script (no
-    letter or digit in the piece); token entropy as a share of the most that the text's
-    token count allows.
+    Letters and digits per token under the piece vocabulary and under the multilingual one
+    (least and most); share of tokens of the latter that are parts of a character; share of
+    tokens of no script (no letter or digit in the piece) under the former; and least mean
+    entropy, in bits, of windows of ``WINDOW`` multilingual tokens.
     """
 
-    chars_per_token: tuple[float, float]
+    piece: tuple[float, float]
+    multi: tuple[float, float]
     byte_share: float
     common_share: float
-    entropy_share: float
+    entropy: float
 
 
-#: Bands by language; "" is for languages without one and null.
+#: Bands by language of Latin script; "" is for languages without one and null, and "script N" for texts mostly of another script.
 BANDS: dict[str, Band] = {
-    "": Band((1.2, 6.0), 0.20, 0.17, 0.35),
-    "de": Band((1.2, 6.0), 0.05, 0.175, 0.35),
-    "en": Band((1.2, 6.0), 0.05, 0.17, 0.35),
-    "es": Band((1.2, 6.0), 0.05, 0.19, 0.35),
-    "fr": Band((1.2, 6.0), 0.05, 0.15, 0.35),
+    "": Band((1.58, 5.5), (1.70, 5.5), 0.05, 0.17, 4.70),
+    "de": Band((1.93, 5.5), (2.00, 5.5), 0.05, 0.175, 4.85),
+    "en": Band((1.75, 5.5), (1.87, 5.5), 0.05, 0.17, 4.87),
+    "es": Band((1.72, 5.5), (1.80, 5.5), 0.05, 0.19, 4.70),
+    "fr": Band((1.58, 5.5), (1.72, 5.5), 0.05, 0.15, 4.82),
+    "script 1": Band((0.0, 99.0), (1.0, 5.5), 0.20, 0.50, 4.40),
+    "script 2": Band((0.0, 99.0), (0.3, 5.5), 0.80, 0.60, 3.60),
+    "script 3": Band((0.0, 99.0), (0.4, 4.0), 0.60, 0.60, 4.40),
 }
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "n_common_tokens", "token_entropy")
+#: Measures of the multilingual vocabulary, and letters and script.
+MORE = ("n_letters", "script", "n_multi_tokens", "n_multi_byte_tokens", "window_entropy")
 
 
 class Fertility:
@@ -68,6 +89,9 @@ class Fertility:
         self.is_common = np.array([not any(map(str.isalnum, p)) for p in pieces]) & ~self.is_byte
         self.clear()
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return self.model.encode(words, num_threads=1)
+
     def clear(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
@@ -80,7 +104,7 @@ class Fertility:
         got = list(map(self.known.get, hashes.tolist()))
         new = [i for i, x in enumerate(got) if x is None]
         if new:
-            tokens = self.model.encode(texts(new), num_threads=1)
+            tokens = self.encode(texts(new))
             base = len(self.known)
             for k, i in enumerate(new):
                 got[i] = base + k
@@ -94,9 +118,31 @@ class Fertility:
         return np.array(got, np.int64)
 
 
-@functools.lru_cache(maxsize=2)
+class ByteFertility(Fertility):
+    """The same under a byte-level vocabulary of ranks; words are tokenised as after a space.  Byte tokens are those that are no whole characters."""
+
+    def __init__(self, path: str):
+        import tiktoken
+        from public_tokenizers import PATTERN
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.is_byte, self.is_common = np.zeros(max(ranks.values()) + 1, bool), np.zeros(max(ranks.values()) + 1, bool)
+        for piece, i in ranks.items():
+            try:
+                self.is_common[i] = not any(map(str.isalnum, piece.decode()))
+            except UnicodeDecodeError:
+                self.is_byte[i] = True
+        self.clear()
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        return [self.model.encode_ordinary(" " + w) for w in words]
+
+
+@functools.lru_cache(maxsize=4)
 def fertility(path: str) -> Fertility:
-    return Fertility(path)
+    return ByteFertility(path) if path.endswith(".tiktoken") else Fertility(path)
 
 
 def _per_text(cumulated: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -117,6 +163,9 @@ def base_features(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarr
     lead = B._IS_WORD[data] & ((data & 0xC0) != 0x80)
     out["word_chars"] = _per_text(_sums(lead), off)
     out["n_symbols"] = _per_text(_sums(_SYMBOL[data]), off)
+    kind = _SCRIPT[data]
+    out["n_letters"] = _per_text(_sums(kind >= 0), off)
+    out["script"] = np.argmax(np.stack([_per_text(_sums(kind == k), off) for k in range(4)]), axis=0)
     ls, le, lfirst = B.lines(data, off)
     worded = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     doc = np.repeat(np.arange(n), np.diff(lfirst))[worded]
@@ -168,32 +217,54 @@ def token_features(data: np.ndarray, spans: tuple, n: int, vocabulary: Fertility
     total = out["n_tokens"].astype(float)
     share = count / total[of] if len(of) else count
     out["token_entropy"] = np.bincount(of, weights=-share * np.log2(share), minlength=n) if len(of) else np.zeros(n)
+    out["window_entropy"] = _window_entropy(ids, out["n_tokens"])
     return out
 
 
+def _window_entropy(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean entropy (bits) of each text's windows of ``WINDOW`` tokens, the last of which ends with the text; fewer tokens are one window."""
+    ends = np.cumsum(sizes)
+    n = -(-sizes // WINDOW)
+    of = np.repeat(np.arange(len(sizes)), n)
+    start = (ends - sizes)[of] + np.minimum((np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW, np.maximum(sizes[of] - WINDOW, 0))
+    width = np.minimum(sizes[of], WINDOW)
+    number = np.repeat(np.arange(len(of)), width)
+    at = np.arange(len(number)) + np.repeat(start - (np.cumsum(width) - width), width)
+    key, count = np.unique((number << 20) + ids[at], return_counts=True)
+    window = key >> 20
+    share = count / width[window]
+    total = np.bincount(of[window], weights=-share * np.log2(share), minlength=len(sizes)) if len(of) else np.zeros(len(sizes))
+    return total / np.maximum(n, 1)
+
+
 def verdicts(f: Mapping[str, np.ndarray], langs: list, bands: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept)."""
     failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
     default = bands[""]
-    own = [bands.get(x or "", default) for x in langs]
-    tokens = np.maximum(f["n_tokens"], 1)
-    fertile = f["word_chars"] / tokens
-    most = np.log2(np.maximum(f["n_tokens"], 2))
-    good = np.array([b.chars_per_token[0] for b in own]) <= fertile
-    good &= fertile <= np.array([b.chars_per_token[1] for b in own])
-    good &= f["n_byte_tokens"] / tokens <= np.array([b.byte_share for b in own])
-    good &= f["n_common_tokens"] / tokens <= np.array([b.common_share for b in own])
-    good &= f["token_entropy"] / most >= np.array([b.entropy_share for b in own])
+    own = [bands.get(f"script {k}", default) if k else bands.get(x or "", default) for x, k in zip(langs, f["script"].tolist(), strict=True)]
+    tokens, multi = np.maximum(f["n_tokens"], 1), np.maximum(f["n_multi_tokens"], 1)
+    limit = lambda name: np.array([getattr(b, name) for b in own], float)
+    good = np.ones(len(own), bool)
+    for name, count in (("piece", tokens), ("multi", multi)):
+        low, high = limit(name).reshape(-1, 2).T
+        good &= (low <= f["n_letters"] / count) & (f["n_letters"] / count <= high)
+    good &= f["n_multi_byte_tokens"] / multi <= limit("byte_share")
+    good &= f["n_common_tokens"] / tokens <= limit("common_share")
+    good &= f["window_entropy"] >= limit("entropy")
     return failed, ~failed & good
 
 
-def features(column: pa.Array, vocabulary: Fertility) -> dict[str, np.ndarray]:
-    """All features of a column of texts; a null text has no words."""
-    parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in FEATURES}
+def features(column: pa.Array, vocabulary: Fertility, multi: Fertility | None = None) -> dict[str, np.ndarray]:
+    """All features of a column of texts, those of ``MORE`` if there is a multilingual vocabulary; a null text has no words."""
+    parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in FEATURES + (MORE if multi else ())}
     for lo, hi, data, off in B.chunks(column):
-        base, spans = base_features(data, off)
-        for k, v in (base | token_features(data, spans, hi - lo, vocabulary)).items():
-            parts[k].append(v)
+        found, spans = base_features(data, off)
+        found |= token_features(data, spans, hi - lo, vocabulary)
+        if multi:
+            more = token_features(data, spans, hi - lo, multi)
+            found |= {"n_multi_tokens": more["n_tokens"], "n_multi_byte_tokens": more["n_byte_tokens"], "window_entropy": more["window_entropy"]}
+        for k in parts:
+            parts[k].append(found[k])
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
@@ -208,27 +279,27 @@ def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCAB
     language takes the default band; so does a table without ``lang``.  Repeated rows each
     get their row; other columns, whatever their names, are not read.
     """
-    path, bands = f"{tokenizers}/{vocabulary}", dict(bands)
+    path, multi, bands = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = features(batch.column("text"), fertility(path))
+            f = features(batch.column("text"), fertility(path), fertility(multi))
             failed, kept = verdicts(f, _langs(batch), bands)
-            columns = [batch.column("doc_id"), *(pa.array(f[k], pa.int64()) for k in FEATURES[:5]), pa.array(failed), pa.array(kept), *(pa.array(f[k], pa.int64()) for k in FEATURES[5:8]), pa.array(f["token_entropy"], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FEATURES[:5], "base_failed", "kept", *FEATURES[5:]])
+            columns = [batch.column("doc_id"), *(pa.array(f[k], pa.int64()) for k in FEATURES[:5]), pa.array(failed), pa.array(kept), *(pa.array(f[k], pa.int64()) for k in FEATURES[5:8]), pa.array(f["token_entropy"], pa.float64()), *(pa.array(f[k], pa.int64()) for k in MORE[:-1]), pa.array(f["window_entropy"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FEATURES[:5], "base_failed", "kept", *FEATURES[5:], *MORE])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"{k} long" for k in FEATURES[:5])
-    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, n_tokens long, n_byte_tokens long, n_common_tokens long, token_entropy double")
+    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, n_tokens long, n_byte_tokens long, n_common_tokens long, token_entropy double, " + ", ".join(f"{k} long" for k in MORE[:-1]) + ", window_entropy double")
 
 
 def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] = BANDS) -> DataFrame:
     """Rows of ``docs`` whose verdict is kept, all columns as they are."""
-    path, bands = f"{tokenizers}/{vocabulary}", dict(bands)
+    path, multi, bands = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = features(batch.column("text"), fertility(path))
+            f = features(batch.column("text"), fertility(path), fertility(multi))
             yield batch.filter(pa.array(verdicts(f, _langs(batch), bands)[1]))
 
     return docs.mapInArrow(run, docs.schema)
