@@ -375,7 +375,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, rows: int = LIST_ROWS) -> DataFrame:
-    """One row per document: doc_id, text_key, n_shingles, component_id.
+    """One row per document: doc_id, text_key, n_shingles, component_id, component.
 
     Two documents link when ``threshold[1]`` * |intersection| >= ``threshold[0]`` * |union| of
     their sets of distinct ``shingle``-word shingles (A-Z lower-cased); ``component_id`` is the
@@ -383,6 +383,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     null, empty and blank texts have an empty set and link with nothing: component_id is
     their own doc_id.  Repeated rows and equal texts link (similarity 1).  A null doc_id
     takes part but is never the smallest; a component of nothing else has a null id.
+    component_id is reported only: components may share one, where ids are null or repeated.
+    ``component``, the digest of the component's root set, tells them apart; it is null for
+    empty sets.
     Columns other than doc_id and text are not read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -412,11 +415,11 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
 
     own = classes.select("key", "doc_id").join(final.withColumnRenamed("node", "key"), "key")
     least = own.groupBy("root").agg(F.min("doc_id").alias("__least"))
-    found = final.join(least, "root").select(F.col("node").alias("__key"), "__least")
+    found = final.join(least, "root").select(F.col("node").alias("__key"), F.col("root").alias("__root"), "__least")
     alone = classes.select(F.col("key").alias("__key"), F.col("doc_id").alias("__own"))
     # A table of its own: a join of two plain shuffles is one whose hot keys (copies) Spark can split.
-    labels = materialize(alone.join(found, "__key", "left").select("__key", F.coalesce("__least", "__own").alias("__c")), "labels")
-    return nodes.join(labels, nodes["key"] == F.col("__key"), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("__c")).alias("component_id"))
+    labels = materialize(alone.join(found, "__key", "left").select("__key", F.coalesce("__root", "__key").alias("__root"), F.coalesce("__least", "__own").alias("__c")), "labels")
+    return nodes.join(labels, nodes["key"] == F.col("__key"), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("__c")).alias("component_id"), F.col("__root").alias("component"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -426,7 +429,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     without words are no duplicates of anything and all stay.
     """
     labels = join(docs, **options)
-    best = labels.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("k.*")
+    best = labels.filter("n_shingles > 0").groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k")).select("k.*")
     best = best.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t"))
     keyed = docs.withColumn("__key", _text_key())
     match = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t"))
