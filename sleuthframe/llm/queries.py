@@ -19,7 +19,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.digests(spark))
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known(spark))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
