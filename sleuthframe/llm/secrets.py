@@ -1,10 +1,11 @@
 """Secret scans with structural confirmation.
 
 Three base kinds are matched as written in their patterns.  On top of them, base64 and hex
-candidates are *decoded* and reported only if what is inside parses: a DER key (nested
-lengths that add up), an SSH wire key (length-prefixed fields that fill the blob), an
-OpenSSH private-key container, or a signed token whose header and payload are JSON with an
-algorithm.  Candidates that merely look random are not reported.
+candidates are *decoded* and reported only if what is inside parses as something secret: a
+DER private key (PKCS#1, PKCS#8 plain or encrypted, SEC1 or DSA, with nested lengths that add
+up), an OpenSSH private-key container whose fields fill it, or a signed token whose header and
+payload are JSON with an algorithm.  Public keys and certificates parse too, but not as one of
+those, and are not reported; nor are candidates that merely look random.
 
 One pass, no shuffle; memory is one Arrow batch.
 """
@@ -31,15 +32,23 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Every assignment holds one of these; texts without them skip the slower pattern.
 _ASSIGN_HINT = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
-#: Base64 candidates, of either alphabet: a line of 40 characters or more, and lines after it as in PEM bodies.
+#: Base64 candidates, of either alphabet: a line of 40 characters or more, and lines after it as in PEM bodies, indented or with breaks written as \\n.
 _BASE64_LINE = 40
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]+)*(?:\r?\n(?==))?={0,2}")
-_BASE64URL = re.compile(r"[A-Za-z0-9_-]{40,}(?:\r?\n[A-Za-z0-9_-]+)*(?:\r?\n(?==))?={0,2}")
-_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = r"(?:\r?\n[\x20\t]*|(?:\\r)?\\n)"
+_BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*(?:{_BREAK}(?==))?={{0,2}}")
+_BASE64URL = re.compile(rf"[A-Za-z0-9_-]{{40,}}(?:{_BREAK}[A-Za-z0-9_-]+)*(?:{_BREAK}(?==))?={{0,2}}")
+_LINE = re.compile(r"(?<=\\)[nr]([A-Za-z0-9+/_-]+)|(?<!\\)([A-Za-z0-9+/_-]+)")
+#: A key inside a line starts after a sign of paths, with the base64 of a SEQUENCE or of the OpenSSH magic.
+_INNER = re.compile(r"(?<=[/_-])(?:M[A-P]|b3BlbnNzaC1r)")
 _URL_SIGNS = str.maketrans("-_", "+/")
 _OPENSSH = b"openssh-key-v1\x00"
 _HEX_ANY = re.compile(r"[0-9a-fA-F]{48,}")
-_SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+_SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
+#: Public keys in one OpenSSH container (its own tools write one), and the private part.
+_MOST_KEYS = 17
+# DER tags, and object identifiers of password-based encryption (PKCS#5, PKCS#12).
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+_ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def _unbase64(text: str) -> bytes | None:
@@ -71,26 +80,77 @@ def _der_ends(data: bytes, start: int, stop: int) -> int | None:
     return at + size
 
 
+def _der_children(data: bytes, start: int, stop: int) -> list[tuple[int, int, int]]:
+    """(tag, first byte of the content, end) of the elements in a content whose lengths hold together."""
+    out = []
+    while start < stop:
+        first = data[start + 1]
+        content = start + 2 + (first & 0x7F if first & 0x80 else 0)
+        end = content + (int.from_bytes(data[start + 2 : content], "big") if first & 0x80 else first)
+        out.append((data[start], content, end))
+        start = end
+    return out
+
+
 def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, with an INTEGER or a SEQUENCE first, and 32 bytes or more."""
+    """A DER private key that fills the data: PKCS#1, DSA, SEC1, or PKCS#8, plain or encrypted.
+
+    Public keys (of PKCS#1 or with an algorithm and a BIT STRING) and certificates are none.
+    """
     try:
-        return len(data) >= 32 and data[0] == 0x30 and _der_ends(data, 0, len(data)) == len(data) and data[(2 if data[1] < 0x80 else 2 + (data[1] & 0x7F))] in (0x02, 0x30)
+        if len(data) < 32 or data[0] != _SEQUENCE or _der_ends(data, 0, len(data)) != len(data):
+            return False
     except (IndexError, RecursionError):
         return False
+    ((_, at, stop),) = _der_children(data, 0, len(data))
+    parts = _der_children(data, at, stop)
+    tags = [t for t, _, _ in parts]
+    numbers = [data[a:b] for _, a, b in parts]
+    if tags[:1] == [_INTEGER]:
+        version = int.from_bytes(numbers[0], "big")
+        if all(t == _INTEGER for t in tags[:9]) and len(tags) in (9, 10):
+            return version == len(tags) - 9 and (len(tags) == 9 or tags[9] == _SEQUENCE)
+        if tags == [_INTEGER] * 6:
+            return version == 0
+        if tags[1:2] == [_OCTETS]:
+            return version == 1 and all(t in (0xA0, 0xA1) for t in tags[2:])
+        if tags[1:3] == [_SEQUENCE, _OCTETS]:
+            inner = _der_children(data, *parts[1][1:])
+            return version in (0, 1) and bool(inner) and inner[0][0] == _OID and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+        return False
+    if tags == [_SEQUENCE, _OCTETS]:
+        inner = _der_children(data, *parts[0][1:])
+        return bool(inner) and inner[0][0] == _OID and data[inner[0][1] : inner[0][2]].startswith(_ENCRYPTIONS)
+    return False
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private-key container, or a known key type and length-prefixed fields to the end."""
-    if data.startswith(_OPENSSH):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        fields.append(data[at + 4 : at + 4 + size])
-        at += 4 + size
-        if len(fields) == 1 and fields[0] not in _SSH_KINDS:
-            return False
-    return at == len(data) and len(fields) >= 2
+    """An OpenSSH private-key container: cipher, key derivation, its options, public keys of known kinds and the private part fill it.
+
+    An SSH public key is none.
+    """
+    if not data.startswith(_OPENSSH):
+        return False
+
+    def fields(at: int, n: int) -> tuple[int, list[bytes]]:
+        out = []
+        while n and at + 4 <= len(data):
+            size = int.from_bytes(data[at : at + 4], "big")
+            out.append(data[at + 4 : at + 4 + size])
+            at, n = at + 4 + size, n - 1
+        return (at if not n else len(data) + 1), out
+
+    at, head = fields(len(_OPENSSH), 3)
+    if at + 4 > len(data) or not head[0] or not head[1]:
+        return False
+    n = int.from_bytes(data[at : at + 4], "big")
+    at, body = fields(at + 4, n + 1)
+    if at != len(data) or not n:
+        return False
+    private = body[-1]
+    kinds = [k[4 : 4 + int.from_bytes(k[:4], "big")] for k in body[:-1]]
+    # The private part starts with a number given twice, unless it is encrypted.
+    return all(k in _SSH_KINDS for k in kinds) and len(private) >= 8 and (head[0] != b"none" or private[:4] == private[4:8])
 
 
 def is_signed_token(token: str) -> bool:
@@ -136,60 +196,61 @@ def _key_kind(data: bytes | None) -> int | None:
     return 4 if is_der_key(data) else 5 if is_ssh_key(data) else None
 
 
-def _ends(take: Callable[[int, int], bytes], size: int) -> list[int] | None:
-    """Where a key at the start of ``size`` bytes may end, longest first; empty: no key; None: its fields don't tell."""
-    head = take(0, 24)
-    number = lambda at: int.from_bytes(take(at, 4), "big")
-    if head[:1] == b"\x30":
+def _end(take: Callable[[int, int], bytes], size: int) -> int | None:
+    """Where a key at the start of ``size`` bytes ends by its own lengths, or None if it can't be one."""
+    head = take(0, 16)
+    if head[:1] == b"\x30" and len(head) >= 6:
         n = head[1] & 0x7F if head[1] & 0x80 else 0
-        return [2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
-    if head.startswith(_OPENSSH):
-        # Cipher, key derivation and its options; a number of public keys; these, and the private part.
-        at, left = len(_OPENSSH), 3
-        for last in (False, True):
-            while left and at + 4 <= size:
-                at, left = at + 4 + number(at), left - 1
-            if not last and at + 4 <= size:
-                at, left = at + 4, number(at) + 1
-        return [at] if not left and at <= size else None
-    if head[4 : 4 + int.from_bytes(head[:4], "big")] not in _SSH_KINDS:
-        return []
-    at, ends = 0, []
-    while at + 4 <= size and (at := at + 4 + number(at)) <= size:
-        ends.append(at)
-    return ends[:0:-1]
+        return None if n > 4 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]
+    if not head.startswith(_OPENSSH):
+        return None
+    # Cipher, key derivation and its options; a number of public keys; these, and the private part.
+    at, left = len(_OPENSSH), 3
+    for last in (False, True):
+        while left and at + 4 <= size:
+            at, left = at + 4 + int.from_bytes(take(at, 4), "big"), left - 1
+        if not last:
+            left = int.from_bytes(take(at, 4), "big") + 1 if at + 4 <= size else _MOST_KEYS
+            at += 4
+            if left > _MOST_KEYS:
+                return None
+    return at if not left else None
 
 
 def _base64_keys(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the keys in a candidate.
 
-    A key starts with a line and ends with one; which one follows from the lengths inside
-    it, so that words on the lines after a key, or another key, are no part of it.
+    A key starts a line, or stands in one after a path; it ends with a line, which one follows
+    from the lengths inside it, so that words on the lines after a key, or another key, are no
+    part of it.
     """
-    lines = [(m.start(), m.end()) for m in _LINE.finditer(text, start, stop)]
+    lines = [m.span(m.lastindex) for m in _LINE.finditer(text, start, stop)]
     chars = "".join(text[a:b] for a, b in lines).translate(_URL_SIGNS)
     upto = list(itertools.accumulate((b - a for a, b in lines), initial=0))
     out, i = [], 0
     while i < len(lines):
-        if lines[i][1] - lines[i][0] < _BASE64_LINE:
-            i += 1
-            continue
-        first = upto[i]
-
-        def take(at: int, n: int, first: int = first) -> bytes:
-            lo = at // 3
-            part = chars[first + 4 * lo : first + 4 * -(-(at + n) // 3)]
-            return (_unbase64(part[: len(part) - (len(part) % 4 == 1)]) or b"")[at - 3 * lo :][:n]
-
-        ends = _ends(take, (upto[-1] - first) * 3 // 4)
-        wanted = [upto[k] - first for k in range(len(lines), i, -1) if (upto[k] - first) % 4 != 1] if ends is None else [-(-4 * e // 3) for e in ends]
-        i += 1
-        for n in wanted:
+        a, b = lines[i]
+        found = None
+        for s in [a, *(m.start() for m in _INNER.finditer(text, a, b))] if b - a >= _BASE64_LINE else ():
+            first = upto[i] + s - a
+
+            def take(at: int, n: int, first: int = first) -> bytes:
+                lo = at // 3
+                part = chars[first + 4 * lo : first + 4 * -(-(at + n) // 3)]
+                return (_unbase64(part[: len(part) - (len(part) % 4 == 1)]) or b"")[at - 3 * lo :][:n]
+
+            end = _end(take, (upto[-1] - first) * 3 // 4)
+            if end is None:
+                continue
+            n = -(-4 * end // 3)
             k = bisect.bisect_left(upto, first + n)
-            if k < len(upto) and upto[k] == first + n and (kind := _key_kind(_unbase64(chars[first : first + n]))) is not None:
-                out.append((lines[i - 1][0], stop if k == len(lines) else lines[k - 1][1], kind))
-                i = k
+            if i < k < len(upto) and upto[k] == first + n and (kind := _key_kind(_unbase64(chars[first : first + n]))) is not None:
+                found = k, (s, stop if k == len(lines) else lines[k - 1][1], kind)
                 break
+        i += 1
+        if found:
+            i = found[0]
+            out.append(found[1])
     return out
 
 
