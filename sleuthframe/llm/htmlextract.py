@@ -7,6 +7,11 @@ by (host, path) in Spark, and every page is extracted anew from the winning path
 A page without that path falls back to the path of its own best container.  All containers
 at the path are the article, which adverts may have cut into parts.
 
+Pages are hostile input: each is read once from left to right.  As in browsers, elements
+deeper than ``DEPTH`` count as siblings; a long path is kept as a digest; closing tags of
+elements whose content is passed over are paired once a page, and an element that is never
+closed drops nothing (but for scripts, styles and text areas, whose text is no markup).
+
 Scale: the first pass emits a few short rows a page, which are pre-aggregated before the
 shuffle, so a host with a third of all pages is a few rows a task.  Winners are one row a
 host: broadcast under a checked bound, otherwise joined by shuffle with adaptive skew splits.
@@ -14,8 +19,10 @@ host: broadcast under a checked bound, otherwise joined by shuffle with adaptive
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,16 +38,22 @@ VOTE_SHARE = 0.5
 #: Share of its text that a block passes on to each further ancestor's score.
 DECAY = 0.7
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+|[^>]*+)>""", re.DOTALL)
+#: A tag with whole quoted values, and one up to the next > where quotes don't pair.
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the article.
+#: Elements whose content is never text of the article, and those of them whose content is no markup.
 _DROPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title datalist".split())
+_RAW = frozenset("script style textarea".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _CONTAINERS = frozenset("article body div main section td html".split())
 _BOILER_TAGS = frozenset("nav footer aside form dialog menu head".split())
-#: Of those, elements that are passed over whole where they are closed in balance.
-_PASSED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.IGNORECASE) for t in ("nav", "footer", "aside", "dialog", "menu", "head")}
+#: Of those, elements that are passed over whole where they are closed.
+_PASSED = frozenset("nav footer aside dialog menu head".split())
+#: Elements open at once, as in browsers; and most characters of a path that is kept as it is.
+DEPTH = 512
+_PATH = 300
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set()}
@@ -105,10 +118,33 @@ def _label(tag: str, classes: str, name: str) -> str:
     return ".".join([tag, *own])
 
 
+def _step(path: str, label: str) -> str:
+    """The path one container deeper; a long one starts with a digest of the rest."""
+    path = f"{path}>{label}"
+    return path if len(path) <= _PATH else f"#{hashlib.md5(path.encode('utf-8', 'replace')).hexdigest()}"
+
+
+def _pairs(html: str, tag: str) -> dict[int, int]:
+    """End of the closing tag by end of the opening tag, of the elements of that name that are closed."""
+    out, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*+>", html, re.IGNORECASE):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def parse(html: str) -> Page:
-    """Containers and text blocks of a page; tolerant of unclosed and stray tags."""
+    """Containers and text blocks of a page; tolerant of unclosed and stray tags.  Takes time in proportion to the page."""
     page = Page([Node("html", -1, "html", False, False)])
     stack, pieces, links, depth, at, end = [0], [], 0, 0, 0, len(html)
+    #: How many open elements have a name; closing tags by name, found when the name is met first; steps of paths.
+    opened: Counter[str] = Counter()
+    closings: dict[str, dict[int, int]] = {}
+    steps: dict[tuple[str, str], str] = {}
+    quoted, cdata, last = True, True, html.rfind(">")
     cell: tuple[int, int] | None = None
 
     def emit(parts: list[str], node: int) -> None:
@@ -127,6 +163,8 @@ def parse(html: str) -> Page:
         pieces, links, cell = [], 0, None
 
     def pop_to(level: int) -> None:
+        for n in stack[level:]:
+            opened[page.nodes[n].tag] -= 1
         del stack[level:]
 
     def say(raw: str) -> None:
@@ -136,26 +174,55 @@ def parse(html: str) -> Page:
         if depth:
             links += len(text.strip())
 
+    def closing(tag: str) -> dict[int, int]:
+        if tag not in closings:
+            closings[tag] = _pairs(html, tag)
+        return closings[tag]
+
     while at < end:
-        m = _MARKUP.search(html, at)
-        if m is None:
+        lt = html.find("<", at)
+        if lt < 0:
             say(html[at:])
             break
-        if m.start() > at:
-            say(html[at : m.start()])
-        at, tag = m.end(), m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3].replace("&", "&amp;"))
+        if lt > at:
+            say(html[at:lt])
+        if html.startswith("<!--", lt):
+            close = html.find("-->", lt + 4)
+            at = close + 3 if close >= 0 else end
             continue
-        tag = tag.lower()
+        if cdata and html.startswith("<![CDATA[", lt):
+            close = html.find("]]>", lt)
+            cdata = close >= 0
+            if cdata:
+                say(html[lt + 9 : close].replace("&", "&amp;"))
+                at = close + 3
+                continue
+        if lt > last:
+            # No tag ends after this: the rest is text, up to a comment.
+            comment = html.find("<!--", lt)
+            at = comment if comment >= 0 else end
+            say(html[lt:at])
+            continue
+        if html[lt + 1] in "!?":
+            at = html.find(">", lt) + 1
+            continue
+        m = _QUOTED.match(html, lt) if quoted else None
+        if m is None:
+            m = _PLAIN.match(html, lt)
+            # Quotes that don't pair up to the page's end are looked for once.
+            quoted = quoted and m is None
+        if m is None:
+            say("<")
+            at = lt + 1
+            continue
+        at, tag = m.end(), m[2].lower()
         if m[1]:
             if tag in _INLINE:
                 depth = max(0, depth - 1) if tag == "a" else depth
             elif tag == "br":
                 pieces.append(" ")
             elif tag not in _VOID:
-                level = next((i for i in range(len(stack) - 1, 0, -1) if page.nodes[stack[i]].tag == tag), 0)
+                level = next((i for i in range(len(stack) - 1, 0, -1) if page.nodes[stack[i]].tag == tag), 0) if opened[tag] > 0 else 0
                 if tag in _CELLS:
                     pieces.append(" ")
                 else:
@@ -169,9 +236,12 @@ def parse(html: str) -> Page:
             pieces.append(" " if tag == "br" else "")
             continue
         if tag in _DROPPED:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+            if tag in _RAW:
+                # The first closing tag ends it, whatever stands before.
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.IGNORECASE).search(html, at)
                 at = close.end() if close else end
+            else:
+                at = closing(tag).get(at, at)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -187,19 +257,13 @@ def parse(html: str) -> Page:
             cell = None if tag in _ROWS else cell
             flush()
             depth = 0
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and opened["p"] > 0:
             level = next((i for i in range(len(stack) - 1, 0, -1) if page.nodes[stack[i]].tag == "p" or page.nodes[stack[i]].tag in _CONTAINERS), 0)
             if level and page.nodes[stack[level]].tag == "p":
                 pop_to(level)
-        if tag in _PASSED:
-            close, open_ = None, 1
-            for close in _PASSED[tag].finditer(html, at):
-                open_ += -1 if close[1] else 1
-                if not open_:
-                    break
-            if not open_:
-                at = close.end()
-                continue
+        if tag in _PASSED and at in closing(tag):
+            at = closing(tag)[at]
+            continue
         if tag in _SIBLINGS:
             for i in range(len(stack) - 1, 0, -1):
                 if page.nodes[stack[i]].tag in _SCOPES[tag]:
@@ -208,6 +272,8 @@ def parse(html: str) -> Page:
                     pop_to(i)
         if tag == "body":
             pop_to(1)
+        if len(stack) > DEPTH:
+            pop_to(DEPTH)
         if tag in _CELLS:
             cell = (len(pieces), stack[-1])
         parent = page.nodes[stack[-1]]
@@ -220,9 +286,13 @@ def parse(html: str) -> Page:
         boiler = boiler or tag not in ("html", "body") and any(_is_boiler(w, root, inside) for w in marks)
         own = tag == "article" or "articlebody" in names.get("itemprop", "").lower() or bool(words & _OWN_WORDS) and tag != "body"
         good = tag in ("article", "main") or own or bool(words & _ARTICLE_WORDS) and tag != "body"
-        path = f"{parent.path}>{_label(tag, names.get('class', ''), names.get('id', ''))}" if tag in _CONTAINERS and tag != "html" else parent.path
+        path = parent.path
+        if tag in _CONTAINERS and tag != "html":
+            step = (path, _label(tag, names.get("class", ""), names.get("id", "")))
+            path = steps[step] = steps.get(step) or _step(*step)
         page.nodes.append(Node(tag, stack[-1], path, boiler, good, inside or own))
         stack.append(len(page.nodes) - 1)
+        opened[tag] += 1
     flush()
     return page
 
@@ -239,7 +309,7 @@ def score(page: Page) -> None:
         if page.nodes[node].boiler:
             continue
         gain, at = float(max(0, len(text) - 2 * links)), _container(page, node)
-        while at >= 0 and gain:
+        while at >= 0 and gain > 0.01:
             page.nodes[at].score += gain
             gain *= DECAY
             at = page.nodes[at].parent
