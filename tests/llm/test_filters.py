@@ -124,14 +124,35 @@ def test_decontamination_in_blocks_of_items(spark):
     assert len(blocks) > 1 and sum(len(b[0]) for x in blocks for b in x.by_size.values()) == sum(len(b[0]) for b in whole.by_size.values())
 
 
-def test_multi_index_finds_all_within_the_radius():
+def test_multi_index_finds_all_that_agree_on_a_block():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    prints = rng.integers(0, 256, (40, 16)).astype(np.uint8)
-    probes = prints[rng.integers(0, 40, 60)] ^ np.packbits(rng.random((60, 128)) < 0.2, axis=1)
-    found = set(decontam.MultiIndex(prints, 30).near(probes))
-    assert found == {(i, j) for i in range(60) for j in range(40) if int(np.bitwise_count(probes[i] ^ prints[j]).sum()) <= 30}
+    prints = rng.integers(0, 1 << decontam.WIDTH, (40, decontam.BLOCKS))
+    flips = rng.random((60, decontam.BLOCKS, decontam.WIDTH)) < rng.choice([0.02, 0.08, 0.2, 0.5], (60, 1, 1))
+    probes = prints[rng.integers(0, 40, 60)] ^ (flips @ (1 << np.arange(decontam.WIDTH)))
+    found = set(map(tuple, decontam.MultiIndex(prints).near(probes).tolist()))
+    assert found == {(i, j) for i in range(60) for j in range(40) if (probes[i] == prints[j]).any()}
+    differ = np.bitwise_count(probes[:, None] ^ prints[None]).sum(2)
+    assert {(i, j) for i, j in zip(*np.nonzero(differ < decontam.BLOCKS), strict=True)} <= found
+
+
+@pytest.mark.parametrize("m", [9, 16, 36, 55])
+def test_multi_index_selects_few_and_recalls_pairs_at_the_threshold(m):
+    import numpy as np
+
+    rng = np.random.default_rng(m)
+    fingerprint = lambda h: decontam.simhash(decontam._votes(h)[None])[0]
+    sets = rng.integers(0, 2**63, (400, m)).astype(np.uint64)
+    index = decontam.MultiIndex(np.stack([fingerprint(s) for s in sets]))
+    # The fewest shared shingles that reach 0.8.
+    common = -(-8 * m // 9)
+    assert 5 * common >= 4 * (2 * m - common) and 5 * (common - 1) < 4 * (2 * m - common + 1)
+    near = sets.copy()
+    near[:, common:] = rng.integers(0, 2**63, (400, m - common)).astype(np.uint64)
+    pairs = set(map(tuple, index.near(np.stack([fingerprint(s) for s in near])).tolist()))
+    assert sum((i, i) in pairs for i in range(400)) >= 0.99 * 400
+    assert len([p for p in pairs if p[0] != p[1]]) < 0.05 * 400 * 399
 
 
 # --- secrets ----------------------------------------------------------------------------------
