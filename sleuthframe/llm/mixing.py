@@ -4,8 +4,9 @@ Each source has a weight *schedule*, piecewise linear over training time 0..1.
 integral, scaled to the source's target, is the source's cumulative token demand; the
 inverse of that function gives the training time at which the c-th word of the source is
 wanted.  A document takes the words [c, c + size) of its source's shuffled order, again
-in each epoch, so its training position is the inverse at c; range-sorting all documents
-by position gives the mixed order.
+in each epoch, so its training position is the inverse at c, and that of a later epoch the
+inverse at c plus whole sources; range-sorting all documents by position, once for each
+epoch that they are in, gives the mixed order.
 
 Scale: one pass counts the words; what follows reads only (doc_id, source, size).  Offsets are two-level: totals of
 (source, bucket) are summed over the few thousand buckets of a source, and documents are
@@ -49,6 +50,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: in
     cap / weight fill up first, the rest share evenly: the level is that of the first one that
     it doesn't overflow, and levels only fall after it.  Sums are of integers, so any
     order of rows gives the same doubles.  Sources of size 0 get 0.
+
+    Filling looks at all sources together: the windows run in one task over a row a source,
+    of which a corpus has few; rows of ``sizes`` are summed before that.
     """
     by_name = Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     by_level = Window.partitionBy(F.lit(0)).orderBy(F.col("full") / F.col("weight"), F.col("turn"))
@@ -94,12 +98,13 @@ def inverse_demand(schedule: Column, share: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, keys: Sequence[str] = ("doc_id",), weights: Sequence[int] = (1, 2, 3), cap: int = 3, schedules: Mapping[int, Sequence[tuple[float, float]]] = SCHEDULES, digits: int = DIGITS, seed: int = 17, size: Column | None = None) -> DataFrame:
-    """One row for each row of ``docs``: ``keys``, size, source, source_size, target, taken, epochs, position.
+    """One row for each row of ``docs``: ``keys``, size, source, source_size, target, taken, epochs, position, places.
 
     ``taken`` is the number of words that the mix takes from the document, repeats counted:
     whole epochs, and of the last one only the words before the source's target, so a
-    source's ``taken`` sums to its target less than one word.  ``position`` is the training
-    time (0..1) of its first word, null if it takes none.  Order inside a source is by a
+    source's ``taken`` sums to its target less than one word.  ``places`` holds the training
+    time (0..1) of the document's first word in each of its epochs and the words that the
+    epoch takes; ``position`` is the first one's time, null if it takes none.  Order inside a source is by a
     seeded hash of the keys, then the size, so reruns agree; equal rows are
     interchangeable.  Null text: size 0, taken 0.  Null source: a source of its own, last.
     An empty table gives no rows.  Columns of ``docs`` other than keys and source don't matter.
@@ -120,42 +125,44 @@ def mix_plan(docs: DataFrame, keys: Sequence[str] = ("doc_id",), weights: Sequen
     at = F.col("__start") + F.col("__c")
     whole = F.floor(F.col("target")).cast("long")
     once = lambda e: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), whole - at - F.col("source_size") * e))
-    taken = sum((once(e) for e in range(1, cap)), once(0))
     schedule = F.coalesce(*[F.when(F.col("weight") == w, _segments(k)) for w, k in schedules.items()], _segments(((0.0, 1.0), (1.0, 1.0))))
+    taken = sum((once(e) for e in range(1, cap)), once(0))
+    place = lambda e: F.struct(inverse_demand(schedule, (at + F.col("source_size") * e) / F.col("target")).alias("position"), once(e).alias("taken"))
     return (
         placed.withColumn("taken", taken)
         .withColumn("epochs", F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0).cast("long"))
-        .withColumn("position", F.when(F.col("taken") > 0, inverse_demand(schedule, at / F.col("target"))))
-        .select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "size", "source", "source_size", "target", "taken", "epochs", "position")
+        .withColumn("places", F.when(F.col("taken") > 0, F.filter(F.array(*[place(e) for e in range(cap)]), lambda p: p["taken"] > 0)))
+        .select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], "size", "source", "source_size", "target", "taken", "epochs", F.col("places")[0]["position"].alias("position"), "places")
     )
 
 
 def mix_documents(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` that it takes, range-sorted by training position.
+    """The mix itself: rows of ``docs`` that it takes, once for each epoch, range-sorted by training position.
 
-    All columns of ``docs`` stay; ``mix_size``, ``mix_target``, ``mix_taken``, ``mix_epochs``
+    All columns of ``docs`` stay; ``mix_size``, ``mix_target``, ``mix_taken``, ``mix_epoch``
     and ``mix_position`` come after them (a column of ``docs`` of such a name is replaced).
-    A document that repeats stands once, with the number of its epochs: each later epoch is
-    the same words at the inverse demand of its later offset.  Documents that the mix takes
-    nothing of are absent.
+    A document that repeats stands at its place in each epoch (``mix_epoch`` counts from 1),
+    where ``mix_taken`` of its words are taken: all of them but in the last one of a source.
+    Documents that the mix takes nothing of are absent.
     """
-    added = ("size", "target", "taken", "epochs", "position")
+    added = ("size", "target", "taken", "epoch", "position")
     docs = docs.drop(*[f"mix_{c}" for c in added])
     row = F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.coalesce(F.col("source"), F.lit("\x00")), F.coalesce("text", F.lit("\x00"))))
     keyed = docs.withColumn("__row", row)
     plan = mix_plan(keyed.select("__row", "source", "text"), keys=("__row",), **options)
-    plan = plan.filter("taken > 0").select(F.col("__row").alias("__key"), *[F.col(c).alias(f"mix_{c}") for c in added])
+    plan = plan.filter("taken > 0").select(F.col("__row").alias("__key"), *[F.col(c).alias(f"mix_{c}") for c in ("size", "target", "position")], F.col("places").alias("__places"))
     # Equal rows share a key: the n-th of them takes the n-th of their plans.
     nth = lambda df, key, order: df.withColumn(f"{key}_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
     mixed = nth(keyed, "__row", F.lit(1)).join(nth(plan, "__key", F.col("mix_position")), (F.col("__row") == F.col("__key")) & (F.col("__row_n") == F.col("__key_n")))
-    mixed = mixed.drop("__row", "__key", "__row_n", "__key_n")
-    order = [F.col("mix_position"), F.col("doc_id")]
+    mixed = mixed.select(*docs.columns, "mix_size", "mix_target", F.posexplode("__places").alias("__e", "__place"))
+    mixed = mixed.select(*docs.columns, "mix_size", "mix_target", F.col("__place.taken").alias("mix_taken"), (F.col("__e") + 1).alias("mix_epoch"), F.col("__place.position").alias("mix_position"))
+    order = [F.col("mix_position"), F.col("doc_id"), F.col("mix_epoch")]
     ranged = mixed.repartitionByRange(partitions, *order) if partitions else mixed.repartitionByRange(*order)
     return ranged.sortWithinPartitions(*order)
 
 
 def mix_sql(seed: int = 17) -> str:
-    """``mix_plan`` of documents with weights 1, 2, 3 and cap 3, for DuckDB (position rounded to 9 places)."""
+    """``mix_plan`` of documents with weights 1, 2, 3 and cap 3, for DuckDB (positions of the epochs rounded to 9 places)."""
     count = r"length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g'))"
     once = "greatest(0, least(size, CAST(floor(target) AS BIGINT) - word_at - source_size * {e}))"
     pieces = []
@@ -166,7 +173,8 @@ def mix_sql(seed: int = 17) -> str:
             ends.append((cum, t, a / area, (b - a) / (u - t) / area))
             cum += (u - t) * (a + b) / 2 / area
         for c, t, a, m in reversed(ends):
-            pieces.append(f"WHEN weight = {w} AND word_at / target >= {c!r} THEN {t!r} + 2 * (word_at / target - {c!r}) / ({a!r} + sqrt({a!r} * {a!r} + 2 * {m!r} * (word_at / target - {c!r})))")
+            pieces.append(f"WHEN weight = {w} AND SHARE >= {c!r} THEN {t!r} + 2 * (SHARE - {c!r}) / ({a!r} + sqrt({a!r} * {a!r} + 2 * {m!r} * (SHARE - {c!r})))")
+    places = ", ".join(f"CASE WHEN {once.format(e=e)} > 0 THEN round(CASE {' '.join(pieces)} END, 9) END AS {name}".replace("SHARE", f"((word_at + source_size * {e}) / target)") for e, name in enumerate(("position", "position_2", "position_3")))
     return f"""
     WITH d AS (SELECT doc_id, source, CAST({count} AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{seed}') AS h FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
@@ -177,4 +185,4 @@ def mix_sql(seed: int = 17) -> str:
     p AS (SELECT doc_id, size, source_size, weight, target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS word_at FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
     k AS (SELECT *, {" + ".join(once.format(e=e) for e in range(3))} AS taken FROM p)
     SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken, CAST(CASE WHEN size > 0 THEN ceil(taken / size) ELSE 0 END AS BIGINT) AS epochs,
-           CASE WHEN taken > 0 THEN round(CASE {" ".join(pieces)} END, 9) END AS position FROM k"""
+           {places} FROM k"""

@@ -48,7 +48,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", F.round("position", 9).alias("position"))
+    """In training order; ``position`` is the place of the first epoch, those of later ones follow."""
+    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
+    places = [F.round(F.get("places", F.lit(e))["position"], 9).alias(name) for e, name in enumerate(("position", "position_2", "position_3"))]
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "epochs", *places).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

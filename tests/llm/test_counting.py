@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -56,6 +57,21 @@ def test_mix(spark, odd, none):
     assert mixing.mix_plan(none).count() == 0
 
 
+def test_every_epoch_has_its_own_place(spark):
+    """Brute force: the source's shuffled words as one line, repeated, cut at its target."""
+    rows = mixing.mix_plan(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        target, size = own[0]["target"], own[0]["source_size"]
+        line = sorted((p["position"], p["taken"], r["doc_id"]) for r in own for p in r["places"] or ())
+        assert sum(t for _, t, _ in line) == math.floor(target + 1e-9)
+        # In order of their places documents follow each other without gaps, epoch after epoch in the same order.
+        first = [d for _, _, d in line][: len([r for r in own if r["size"]])]
+        assert [d for _, _, d in line] == (first * 3)[: len(line)]
+        assert target <= 3 * size
+        for r in own:
+            assert len(r["places"] or ()) == r["epochs"] and sum(p["taken"] for p in r["places"] or ()) == r["taken"]
+
 @pytest.mark.parametrize("knots", [((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.0), (1.0, 2.0)), ((0.0, 2.0), (0.3, 0.0), (0.6, 0.0), (1.0, 1.0))])
 def test_inverse_demand(spark, knots):
     area = sum((u[0] - t[0]) * (t[1] + u[1]) / 2 for t, u in zip(knots, knots[1:], strict=False))
@@ -77,6 +93,8 @@ def test_mixed_documents_are_in_order(spark, odd):
     rows = mixed.withColumn("p", F.spark_partition_id()).collect()
     at = [r["mix_position"] for r in sorted(rows, key=lambda r: r["p"])]
     assert at == sorted(at) and mixed.columns[: len(odd.columns)] == odd.columns
+    ids = Counter((r["doc_id"], r["text"]) for r in rows)
+    assert all(r["mix_epoch"] <= 3 and 0 < r["mix_taken"] <= r["mix_size"] for r in rows) and max(ids.values()) > 1
     # The order inside a source hangs on the key, so which document is cut may differ, not how many words are taken.
     assert sum(r["mix_taken"] for r in rows) == mixing.mix_plan(odd).agg(F.sum("taken")).first()[0]
 
@@ -145,4 +163,4 @@ def test_stages_take_odd_and_empty_tables(spark, odd, none):
         for docs in (odd, none):
             out = stage(spark, docs, SMALL)
             assert out.columns[: len(docs.columns)] == docs.columns
-            assert out.count() <= docs.count()
+            assert out.count() <= (3 if stage is corpus_pipeline.source_mix else 1) * docs.count()
