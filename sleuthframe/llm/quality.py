@@ -1,17 +1,23 @@
 """Quality rules: repetition and symbol counts, then tokeniser fertility bands.
 
 Two public vocabularies measure each text: letters and digits per token under a piece
-vocabulary and under a multilingual byte-level one, share of tokens that are parts of a
-character, share of tokens of no script, and entropy of windows of a fixed number of
-tokens, which doesn't depend on the text's length.  A text outside the band of its
-language (or of the default where the language has none) is rejected; a text that is mostly
-of another than Latin script has the band of that script.  Prose in a language that a
-vocabulary covers has a steady fertility; mojibake, symbol noise, random letters, encoded
-data and tables of fragments don't.
-
-One pass, no shuffle.  Distinct words of a chunk are tokenised once and remembered by
-hash, up to ``CACHED_WORDS``; then the memory is emptied and filled anew, which changes
-nothing but speed.
+vocabulary and under a multilingual byte-level one, the share of the latter's tokens that are
+parts of a character, and the entropy of windows of a fixed number of tokens, which doesn't
+depend on the text's length.  A text that any measure puts outside the band of its language
+(or, if it is mostly of another than Latin script, of that script) is rejected.  Prose in a
+language has a steady fertility; mojibake, symbol noise, random letters, encoded data and
+tables of fragments don't.
+
+Bands are fitted to the corpus (``fit_bands``): over all documents that pass the base rules,
+the median of each measure by language or script, and ``SPREADS`` robust deviations
+(quartile range / 1.349, at least ``FLOORS``) to its sides.  Each limit is averaged with the
+prior one of ``PRIORS`` as if that had been seen in ``PRIOR_ROWS`` documents, so that a
+language with few documents has a wide band; no labels are used.
+
+Scale: one pass computes the measures; bands are quantile sketches over those narrow rows,
+merged in Spark, and a bounded table afterwards.  Distinct words of a chunk are tokenised
+once and remembered by hash, up to ``CACHED_WORDS``; then the memory is emptied and filled
+anew, which changes nothing but speed.
 """
 
 from __future__ import annotations
@@ -23,9 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .durable import materialize
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
@@ -46,33 +54,34 @@ _SCRIPT[0xE3:0xEE] = 3
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of a clean text.
+    """Limits of a clean text: least and most of each measure.
 
-    Letters and digits per token under the piece vocabulary and under the multilingual one
-    (least and most); share of tokens of the latter that are parts of a character; share of
-    tokens of no script (no letter or digit in the piece) under the former; and least mean
-    entropy, in bits, of windows of ``WINDOW`` multilingual tokens.
+    Letters and digits per token under the piece vocabulary and under the multilingual one;
+    share of tokens of the latter that are parts of a character; mean entropy, in bits, of
+    windows of ``WINDOW`` of its tokens.
     """
 
     piece: tuple[float, float]
     multi: tuple[float, float]
-    byte_share: float
-    common_share: float
-    entropy: float
-
-
-#: Bands by language of Latin script; "" is for languages without one and null, and "script N" for texts mostly of another script.
-BANDS: dict[str, Band] = {
-    "": Band((1.58, 5.5), (1.70, 5.5), 0.05, 0.17, 4.70),
-    "de": Band((1.93, 5.5), (2.00, 5.5), 0.05, 0.175, 4.85),
-    "en": Band((1.75, 5.5), (1.87, 5.5), 0.05, 0.17, 4.87),
-    "es": Band((1.72, 5.5), (1.80, 5.5), 0.05, 0.19, 4.70),
-    "fr": Band((1.58, 5.5), (1.72, 5.5), 0.05, 0.15, 4.82),
-    "script 1": Band((0.0, 99.0), (1.0, 5.5), 0.20, 0.50, 4.40),
-    "script 2": Band((0.0, 99.0), (0.3, 5.5), 0.80, 0.60, 3.60),
-    "script 3": Band((0.0, 99.0), (0.4, 4.0), 0.60, 0.60, 4.40),
+    byte_share: tuple[float, float]
+    entropy: tuple[float, float]
+
+
+MEASURES = ("piece", "multi", "byte_share", "entropy")
+#: Bands before any text is seen, wide enough for prose of any language: "" is for Latin script, "script N" for texts mostly of another script.
+PRIORS: dict[str, Band] = {
+    "": Band((1.58, 5.5), (1.70, 5.5), (0.0, 0.05), (4.70, 5.65)),
+    "script 1": Band((0.0, 99.0), (1.0, 5.5), (0.0, 0.20), (4.40, 5.65)),
+    "script 2": Band((0.0, 99.0), (0.3, 5.5), (0.0, 0.80), (3.60, 5.65)),
+    "script 3": Band((0.0, 99.0), (0.4, 4.0), (0.0, 0.60), (4.40, 5.65)),
 }
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "n_common_tokens", "token_entropy")
+#: Robust deviations from the median to a limit; documents that a prior limit counts for.
+SPREADS, PRIOR_ROWS = 7.0, 30
+#: Least deviation of each measure, as a share of its median; of the byte share as it is.
+FLOORS = {"piece": 0.025, "multi": 0.025, "byte_share": 0.005, "entropy": 0.01}
+#: Most languages that have a band of their own, the most frequent ones: a bound on what goes to every task.
+MOST_BANDS = 10_000
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "token_entropy")
 #: Measures of the multilingual vocabulary, and letters and script.
 MORE = ("n_letters", "script", "n_multi_tokens", "n_multi_byte_tokens", "window_entropy")
 
@@ -85,8 +94,6 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.is_common = np.array([not any(map(str.isalnum, p)) for p in pieces]) & ~self.is_byte
         self.clear()
 
     def encode(self, words: list[str]) -> list[list[int]]:
@@ -128,10 +135,10 @@ class ByteFertility(Fertility):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.is_byte, self.is_common = np.zeros(max(ranks.values()) + 1, bool), np.zeros(max(ranks.values()) + 1, bool)
+        self.is_byte = np.zeros(max(ranks.values()) + 1, bool)
         for piece, i in ranks.items():
             try:
-                self.is_common[i] = not any(map(str.isalnum, piece.decode()))
+                piece.decode()
             except UnicodeDecodeError:
                 self.is_byte[i] = True
         self.clear()
@@ -196,7 +203,7 @@ def base_features(data: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarr
 
 
 def token_features(data: np.ndarray, spans: tuple, n: int, vocabulary: Fertility) -> dict[str, np.ndarray]:
-    """Tokens, byte-fallback tokens, tokens of no script and token entropy (bits) of each text; words are tokenised one by one."""
+    """Tokens, byte-fallback tokens, token entropy and its mean over windows (bits) of each text; words are tokenised one by one."""
     starts, ends, first, hashed = spans
     unique, at, back = np.unique(hashed, return_index=True, return_inverse=True)
     text = data.tobytes()
@@ -209,7 +216,6 @@ def token_features(data: np.ndarray, spans: tuple, n: int, vocabulary: Fertility
     ids = vocabulary.ids[pick]
     doc = np.repeat(np.arange(n), out["n_tokens"])
     out["n_byte_tokens"] = np.bincount(doc, weights=vocabulary.is_byte[ids], minlength=n).astype(np.int64)
-    out["n_common_tokens"] = np.bincount(doc, weights=vocabulary.is_common[ids], minlength=n).astype(np.int64)
     key = np.sort(doc * (1 << 20) + ids)
     edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate([edge, [len(key)]])).astype(float)
@@ -237,21 +243,49 @@ def _window_entropy(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1)
 
 
-def verdicts(f: Mapping[str, np.ndarray], langs: list, bands: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray]:
-    """(base_failed, kept)."""
-    failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    default = bands[""]
-    own = [bands.get(f"script {k}", default) if k else bands.get(x or "", default) for x, k in zip(langs, f["script"].tolist(), strict=True)]
+def measures(f: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The measures of ``MEASURES`` of each text."""
     tokens, multi = np.maximum(f["n_tokens"], 1), np.maximum(f["n_multi_tokens"], 1)
-    limit = lambda name: np.array([getattr(b, name) for b in own], float)
-    good = np.ones(len(own), bool)
-    for name, count in (("piece", tokens), ("multi", multi)):
-        low, high = limit(name).reshape(-1, 2).T
-        good &= (low <= f["n_letters"] / count) & (f["n_letters"] / count <= high)
-    good &= f["n_multi_byte_tokens"] / multi <= limit("byte_share")
-    good &= f["n_common_tokens"] / tokens <= limit("common_share")
-    good &= f["window_entropy"] >= limit("entropy")
-    return failed, ~failed & good
+    return {"piece": f["n_letters"] / tokens, "multi": f["n_letters"] / multi, "byte_share": f["n_multi_byte_tokens"] / multi, "entropy": f["window_entropy"]}
+
+
+def verdicts(f: Mapping[str, np.ndarray], langs: list, bands: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(base_failed, kept, comma-joined measures that are out of their band) of each text."""
+    failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
+    own = [bands.get(k) or bands.get(_fallback(k)) or PRIORS[_fallback(k)] for k in _band_keys(f["script"], langs)]
+    out = {}
+    for name, value in measures(f).items():
+        low, high = np.array([getattr(b, name) for b in own], float).reshape(-1, 2).T
+        out[name] = (value < low) | (value > high)
+    good = ~np.any(list(out.values()), axis=0) if len(own) else np.ones(0, bool)
+    why = [",".join(n for n in MEASURES if out[n][i]) for i in range(len(own))]
+    return failed, ~failed & good, why
+
+
+def _band_keys(scripts: np.ndarray, langs: list) -> list[str]:
+    return [f"script {k}" if k else x or "" for x, k in zip(langs, scripts.tolist(), strict=True)]
+
+
+def _fallback(key: str) -> str:
+    return key if key in PRIORS else ""
+
+
+def fit_bands(scored: DataFrame, spreads: float = SPREADS, prior_rows: int = PRIOR_ROWS) -> dict[str, Band]:
+    """Bands of the languages and scripts of ``scored`` (the columns of ``features`` and lang), from all rows that pass the base rules."""
+    tokens, multi = F.greatest("n_tokens", F.lit(1)), F.greatest("n_multi_tokens", F.lit(1))
+    values: dict[str, Column] = {"piece": F.col("n_letters") / tokens, "multi": F.col("n_letters") / multi, "byte_share": F.col("n_multi_byte_tokens") / multi, "entropy": F.col("window_entropy")}
+    good = scored.filter((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
+    key = F.when(F.col("script") > 0, F.concat(F.lit("script "), F.col("script"))).otherwise(F.coalesce("lang", F.lit("")))
+    table = good.groupBy(key.alias("key")).agg(F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(k) for k, v in values.items()])
+    out = dict(PRIORS)
+    for r in table.orderBy(F.col("n").desc(), "key").limit(MOST_BANDS).collect():
+        prior, limits = PRIORS[_fallback(r["key"])], {}
+        for name in MEASURES:
+            low, middle, high = r[name]
+            spread = max((high - low) / 1.349, FLOORS[name] * (1.0 if name == "byte_share" else middle))
+            limits[name] = tuple((r["n"] * (middle + side * spreads * spread) + prior_rows * p) / (r["n"] + prior_rows) for side, p in zip((-1, 1), getattr(prior, name), strict=True))
+        out[r["key"]] = Band(**limits)
+    return out
 
 
 def features(column: pa.Array, vocabulary: Fertility, multi: Fertility | None = None) -> dict[str, np.ndarray]:
@@ -268,38 +302,62 @@ def features(column: pa.Array, vocabulary: Fertility, multi: Fertility | None =
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
-def _langs(batch: pa.RecordBatch) -> list:
-    return batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+def _measured(docs: DataFrame, path: str, multi: str) -> DataFrame:
+    """doc_id, lang and the features of each document."""
+    names = (*FEATURES, *MORE)
+    real = ("token_entropy", "window_entropy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = features(batch.column("text"), fertility(path), fertility(multi))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(f[k], pa.float64() if k in real else pa.int64()) for k in names)], names=["doc_id", "lang", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} {'double' if k in real else 'long'}" for k in names))
 
 
-def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """One row per document: doc_id, the base columns, base_failed, kept, then the token features.
+def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
+    """One row per document: doc_id, the base columns, base_failed, kept, ``outside`` (the measures out of their band), then the features.
 
-    Null, empty and blank texts have no words, so base_failed is true.  A null or unknown
-    language takes the default band; so does a table without ``lang``.  Repeated rows each
-    get their row; other columns, whatever their names, are not read.
+    Without ``bands`` they are fitted to ``docs``.  Null, empty and blank texts have no words,
+    so base_failed is true.  A null language has the band of those without one; so does a
+    table without ``lang``.  Repeated rows each get their row; other columns, whatever their
+    names, are not read.  An empty table gives no rows.
     """
-    path, multi, bands = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", dict(bands)
+    measured = _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}")
+    if bands is None:
+        measured = materialize(measured, "measures")
+        bands = fit_bands(measured)
+    limits = dict(bands)
+    names = (*FEATURES, *MORE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = features(batch.column("text"), fertility(path), fertility(multi))
-            failed, kept = verdicts(f, _langs(batch), bands)
-            columns = [batch.column("doc_id"), *(pa.array(f[k], pa.int64()) for k in FEATURES[:5]), pa.array(failed), pa.array(kept), *(pa.array(f[k], pa.int64()) for k in FEATURES[5:8]), pa.array(f["token_entropy"], pa.float64()), *(pa.array(f[k], pa.int64()) for k in MORE[:-1]), pa.array(f["window_entropy"], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FEATURES[:5], "base_failed", "kept", *FEATURES[5:], *MORE])
+            f = {k: batch.column(k).to_numpy() for k in names}
+            failed, kept, why = verdicts(f, batch.column("lang").to_pylist(), limits)
+            columns = [batch.column("doc_id"), *(batch.column(k) for k in FEATURES[:5]), pa.array(failed), pa.array(kept), pa.array(why, pa.string()), *(batch.column(k) for k in names[5:])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FEATURES[:5], "base_failed", "kept", "outside", *names[5:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counts = ", ".join(f"{k} long" for k in FEATURES[:5])
-    return docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).mapInArrow(run, f"doc_id {kind}, {counts}, base_failed boolean, kept boolean, n_tokens long, n_byte_tokens long, n_common_tokens long, token_entropy double, " + ", ".join(f"{k} long" for k in MORE[:-1]) + ", window_entropy double")
+    types = {f.name: f.dataType.simpleString() for f in measured.schema}
+    listed = lambda ks: ", ".join(f"{k} {types[k]}" for k in ks)
+    return measured.mapInArrow(run, f"doc_id {kind}, {listed(FEATURES[:5])}, base_failed boolean, kept boolean, outside string, {listed(names[5:])}")
 
 
-def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """Rows of ``docs`` whose verdict is kept, all columns as they are."""
-    path, multi, bands = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", dict(bands)
+def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
+    """Rows of ``docs`` whose verdict is kept, all columns as they are.
+
+    Without ``bands`` they are fitted to ``docs`` first: measuring twice costs less than
+    writing whole texts next to their measures.  Odd rows and tables as in ``score``.
+    """
+    path, multi = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}"
+    limits = dict(fit_bands(_measured(docs, path, multi)) if bands is None else bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = features(batch.column("text"), fertility(path), fertility(multi))
-            yield batch.filter(pa.array(verdicts(f, _langs(batch), bands)[1]))
+            langs = batch.column("lang").cast(pa.string()).to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+            yield batch.filter(pa.array(verdicts(f, langs, limits)[1]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,9 +1,11 @@
 """Fertility and entropy decide by themselves, by language and script."""
 
 import base64
+import math
 import random
+import re
 import string
-from dataclasses import replace
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -22,19 +24,67 @@ def test_noise_is_rejected_and_other_scripts_are_kept(spark):
     noise += ["\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(80)), RUSSIAN.encode().decode("latin-1")]
     texts = [*noise, RUSSIAN, KOREAN, ENGLISH]
     docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(texts) for lang in (None, "en", "ru")], "doc_id long, text string, lang string")
-    got = {(r["doc_id"], r["base_failed"], r["kept"]) for r in quality.score(docs).collect()}
+    got = {(r["doc_id"], r["base_failed"], r["kept"]) for r in quality.score(docs, bands=quality.PRIORS).collect()}
     assert got == {(i, False, i >= len(noise)) for i in range(len(texts))}
 
 
-def test_fertility_and_entropy_reject_without_the_share_of_punctuation(spark):
+def test_each_measure_rejects(spark):
+    """Counts of rejections by measure, and noise that only one of them is out for."""
     folder = SMALL.replace("0.001", "0.01")
-    bands = {k: replace(b, common_share=1.0) for k, b in quality.BANDS.items()}
-    scored = quality.score(spark.read.parquet(f"{folder}/documents.parquet"), bands=bands).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed")
-    kept = {r["quality"]: r["k"] for r in scored.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert kept[1] >= 0.99 and kept[0] <= 0.05
+    scored = quality.score(spark.read.parquet(f"{folder}/documents.parquet")).filter("not base_failed").cache()
+    n = scored.count()
+    by = {m: scored.filter(F.array_contains(F.split("outside", ","), m)).count() for m in quality.MEASURES}
+    assert all(0.02 * n < by[m] < 0.12 * n for m in ("piece", "multi", "entropy")) and by["byte_share"] <= 0.01 * n
+    assert scored.filter("kept <> (outside = '')").count() == 0
+    scored.unpersist()
+    cases = {"byte_share": RUSSIAN.encode().decode("latin-1").replace("\x85", "x").replace("\xa0", "x"), "entropy": " ".join(["the cat and dog"] * 4 + ENGLISH.split()[:6]) + " the cat and the dog" * 10}
+    docs = spark.createDataFrame([(k, t, None) for k, t in cases.items()], "doc_id string, text string, lang string")
+    for r in quality.score(docs, bands=quality.PRIORS).collect():
+        assert r["doc_id"] in r["outside"].split(","), r
+
+
+def independent_bands(rows):
+    """Quantiles and limits in plain Python: by language, over the rows that pass the base rules."""
+    out = {}
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        for m in ("piece", "multi", "byte_share", "entropy"):
+            values = sorted(measure(r)[m] for r in own)
+            q = [values[max(0, math.ceil(p * len(values)) - 1)] for p in (0.25, 0.5, 0.75)]
+            spread = max((q[2] - q[0]) / 1.349, {"piece": 0.025 * q[1], "multi": 0.025 * q[1], "byte_share": 0.005, "entropy": 0.01 * q[1]}[m])
+            prior = {"piece": (1.58, 5.5), "multi": (1.70, 5.5), "byte_share": (0.0, 0.05), "entropy": (4.70, 5.65)}[m]
+            out[lang, m] = tuple((len(own) * (q[1] + side * 7 * spread) + 30 * p) / (len(own) + 30) for side, p in zip((-1, 1), prior, strict=True))
+    return out
+
+
+def measure(r):
+    return {"piece": r["n_letters"] / r["n_tokens"], "multi": r["n_letters"] / r["n_multi_tokens"], "byte_share": r["n_multi_byte_tokens"] / r["n_multi_tokens"], "entropy": r["window_entropy"]}
+
+
+def test_verdict_equals_brute_force(spark):
+    """Tokens, entropy and bands made anew for each text, word by word."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    got = {r["doc_id"]: r for r in quality.score(spark.createDataFrame(docs)).collect()}
+    piece, multi = (quality.fertility(f"{quality.TOKENIZERS}/{v}") for v in (quality.VOCABULARY, quality.MULTI))
+    known, rows = {}, []
+    for d in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", d["text"] or "")
+        if got[d["doc_id"]]["base_failed"]:
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = piece.encode([w])[0], multi.encode([w])[0]
+        ids = [i for w in words for i in known[w][1]]
+        starts = [min(k, max(len(ids) - 50, 0)) for k in range(0, len(ids), 50)]
+        entropy = [-sum(c / 50 * math.log2(c / 50) for c in Counter(ids[s : s + 50]).values()) for s in starts]
+        letters = sum(len(re.findall(rb"[0-9A-Za-z\xC3-\xC9]|[\xCD-\xED]", w.encode())) for w in words)
+        rows.append({"doc_id": d["doc_id"], "lang": d["lang"], "n_letters": letters, "n_tokens": sum(len(known[w][0]) for w in words), "n_multi_tokens": len(ids), "n_multi_byte_tokens": sum(bool(multi.is_byte[i]) for i in ids), "window_entropy": sum(entropy) / len(entropy)})
+    bands = independent_bands(rows)
+    kept = {r["doc_id"] for r in rows if all(bands[r["lang"], m][0] - 1e-12 <= v <= bands[r["lang"], m][1] + 1e-12 for m, v in measure(r).items())}
+    assert {i for i, r in got.items() if r["kept"]} == kept and len(kept) < len(rows)
 
 
 def test_window_entropy_does_not_depend_on_length(spark):
     docs = spark.createDataFrame([(n, " ".join([ENGLISH] * n)) for n in (1, 30)], "doc_id long, text string")
-    one, many = (r["window_entropy"] for r in quality.score(docs).orderBy("doc_id").collect())
+    one, many = (r["window_entropy"] for r in quality.score(docs, bands=quality.PRIORS).orderBy("doc_id").collect())
     assert abs(one - many) < 0.1

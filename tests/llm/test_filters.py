@@ -62,7 +62,7 @@ def test_quality_verdict_on_labels(spark):
     scored = quality.score(spark.read.parquet(f"{folder}/documents.parquet")).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed")
     good = scored.filter("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     bad = scored.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
-    assert good >= 0.99 and bad <= 0.05
+    assert good >= 0.995 and bad <= 0.01
 
 
 def test_token_features_equal_tokenising_words(spark):
