@@ -90,17 +90,26 @@ _PUNCTUATION = r"[^A-Za-z0-9\x80-\x{10FFFF}]+"
 _WIDE_NOTICE = (
     r"(?m)^[\x20\t#*/;!%\-]*(?:(?i:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*"
     r"|(?:(?i:copyright)[\x20\t:]*(?i:\(c\)|©)|\([cC]\)|©)[^\n]*"
-    r"|Copyright[\x20\t]+(?:by[\x20\t]+)?(?:\[|<|\{|(?!License|Licence|Law|Holder|Owner|Notice|Act|Treat|Disclaimer|Statement|Interest|Right)[A-Z])[^\n]*"
+    r"|Copyright[\x20\t]+(?:by[\x20\t]+)?(?:\[|<|\{|[A-Z])[^\n]*"
     r"|(?i:all rights reserved)[.\x20\t]*)\r?$"
 )
+#: Lines that speak of copyright rather than claim it: their first letter is lowered, so that they are no notice.
+_NO_NOTICE = r"(?m)^([\x20\t#*/;!%\-]*)Copyright([\x20\t]+(?:by[\x20\t]+)?(?:License|Licence|Law|Holder|Owner|Notice|Act|Treat|Disclaimer|Statement|Interest|Right))"
 
 
 def canonical_wide(text: Column) -> Column:
     """``canonical`` of the text without notices of the wider kind; null where it has none."""
-    text = F.coalesce(text, F.lit(""))
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), _NO_NOTICE, "$1copyright$2")
     return F.when(text.rlike(_WIDE_NOTICE), canonical(F.regexp_replace(text, _WIDE_NOTICE, "")))
 
 
+def canonical_wide_sql(text: str) -> str:
+    """``canonical_wide`` for DuckDB."""
+    text = f"regexp_replace(coalesce({text}, ''), '{_NO_NOTICE}', '\\1copyright\\2', 'g')"
+    bare = f"regexp_replace({text}, '{_WIDE_NOTICE}', '', 'g')"
+    return f"CASE WHEN regexp_matches({text}, '{_WIDE_NOTICE}') THEN {canonical_sql(bare)} END"
+
+
 def canonical(text: Column) -> Column:
     """Canonical text: notices, ASCII punctuation and white space dropped, A-Z lower-cased, equivalent spellings unified."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), _NOTICE, "")
@@ -153,11 +162,14 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def scan_sql() -> str:
+    """``scan`` of documents for the table of ``known``, for DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in LICENCES.items())
+    texts = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in [*LICENCES.items(), *VARIANTS])
+    full = ", ".join(f"('{k}', '{d}')" for k, ds in FULL_TEXTS.items() for d in ds)
     return f"""
-    WITH raw(license_id, text) AS (VALUES {known}),
-    known AS (SELECT sha256({canonical_sql("text")}) AS digest, min(license_id) AS license_id FROM raw GROUP BY 1),
-    docs AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest FROM documents)
-    SELECT doc_id, docs.digest, CASE WHEN docs.digest <> sha256('') THEN license_id END AS license_id
-    FROM docs LEFT JOIN known ON docs.digest = known.digest"""
+    WITH raw(license_id, text) AS (VALUES {texts}),
+    every AS (SELECT license_id, sha256({canonical_sql("text")}) AS digest FROM raw UNION ALL SELECT license_id, sha256({canonical_wide_sql("text")}) FROM raw UNION ALL VALUES {full}),
+    known AS (SELECT digest, min(license_id) AS license_id FROM every WHERE digest IS NOT NULL AND digest <> sha256('') GROUP BY digest),
+    docs AS (SELECT doc_id, sha256({canonical_sql("text")}) AS digest, sha256({canonical_wide_sql("text")}) AS wide FROM documents)
+    SELECT doc_id, docs.digest, coalesce(k.license_id, w.license_id) AS license_id
+    FROM docs LEFT JOIN known k ON docs.digest = k.digest LEFT JOIN known w ON docs.wide = w.digest"""

@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import duckdb
 import pytest
 
 from sleuthframe.llm import licenses
@@ -27,3 +28,21 @@ def test_full_texts(spark):
     texts = [(FOLDER / f).read_text() for f in names]
     apache = texts[0].replace("[yyyy] [name of copyright owner]", "2021 Someone")
     assert found(spark, [*texts, *(t.replace("\n", "\n * ") for t in texts), apache]) == [*names.values(), *names.values(), "Apache-2.0"]
+
+
+def test_sql_equals_the_scan_on_variants(spark, tmp_path):
+    """Titles, notices of all kinds, comment signs, line ends, cut and long texts: whole rows as DuckDB computes them."""
+    body = licenses.LICENCES["MIT"].split("\n", 1)[1]
+    heads = ["", "Copyright (c) 2020 X\n", "Copyright Someone\n", "// Copyright by Some One\n", "© Someone\n", "(C) X\n", "Copyright License terms\n", "Copyright by Law of 1999\n", " * All rights reserved.\n", "copyright someone\n", "COPYRIGHT 1999\r\n"]
+    texts = [h + t for h in heads for t in (body, licenses.LICENCES["ISC"], "Copyright Notice: " + body, body[:-1], body.replace("\n", "\r\n"), "")] + [None, "é © ü", "word " * 20_000, "Copyright"]
+    if FOLDER.exists():
+        texts += [f.read_text() for f in sorted(FOLDER.iterdir()) if f.is_file()]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    cursor = con.execute(licenses.scan_sql())
+    names = [c[0] for c in cursor.description]
+    want = sorted(str(tuple(r[names.index(c)] for c in ("doc_id", "digest", "license_id"))) for r in cursor.fetchall())
+    got = licenses.scan(spark.read.parquet(f"{tmp_path}/documents"), licenses.known(spark)).collect()
+    assert sorted(str((r["doc_id"], r["digest"], r["license_id"])) for r in got) == want
+    assert {r["license_id"] for r in got} >= {None, "MIT", "ISC"}
