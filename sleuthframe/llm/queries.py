@@ -27,7 +27,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = urlfilter.evaluate(urlfilter.captures_of(_table(spark, sf_dir, "pages")), urlfilter.entries_table(spark))
+    pages = _table(spark, sf_dir, "pages")
+    found = urlfilter.evaluate(urlfilter.captures_of(pages), urlfilter.entries_table(spark).unionByName(urlfilter.listed(pages)))
     return found.withColumn("fetched", F.col("fetched").cast("string"))
 
 

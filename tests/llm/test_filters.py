@@ -241,6 +241,20 @@ def test_url_lists(spark):
     assert urlfilter.evaluate(df, entries.filter("false")).filter("blocked").count() == 0
 
 
+def test_a_list_of_many_hosts_and_from_a_file(spark, tmp_path, monkeypatch):
+    """The rule's list blocks for a time, not for good; a list over the broadcast bound and one from a file give the same."""
+    pages = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet")
+    captures, entries = urlfilter.captures_of(pages), urlfilter.listed(pages)
+    want = sorted(map(str, urlfilter.evaluate(captures, entries).collect()))
+    ever = entries.filter("scope = 'domain'").select("pattern").distinct()
+    hit = urlfilter.evaluate(captures, entries).join(ever, F.col("host") == F.col("pattern"))
+    assert 0 < hit.filter("blocked").count() < hit.count()
+    entries.coalesce(1).write.csv(f"{tmp_path}/list.csv", header=True)
+    assert sorted(map(str, urlfilter.evaluate(captures, urlfilter.read_entries(spark, f"{tmp_path}/list.csv")).collect())) == want
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, urlfilter.evaluate(captures, entries).collect())) == want
+
+
 # --- HTML --------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header class="site-header"><h1>Site</h1></header><nav><ul><li>menu</li></ul></nav>
