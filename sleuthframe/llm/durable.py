@@ -29,7 +29,31 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+class Scratch:
+    """Tables of one job, dropped when it is done but for those that its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialize(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete these tables now: nothing reads them any more."""
+        for t in tables:
+            _delete(self.spark, t.stored_at)
+            _written.remove((self.spark, t.stored_at))
+        self.tables = [t for t in self.tables if not any(t is d for d in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[t for t in self.tables if not any(t is k for k in tables)])
 
 
 def free(spark: SparkSession) -> None:

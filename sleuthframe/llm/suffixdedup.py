@@ -8,13 +8,15 @@ so no match is lost between buckets, and a window whose anchor stands nowhere el
 
 Neighbouring windows of one anchor form a *block* of at most LENGTH - ANCHOR windows.  Equal
 blocks are counted together before any shuffle of bytes, so a third of all rows being copies
-is one row a task; a block that occurs twice is repeated as a whole.  Different blocks of an
-anchor are suffix-sorted in their bucket by linear grouping construction (``suffixsort``):
-bytes between the places where blocks part become one symbol, and a window is repeated if its
-suffix shares LENGTH bytes with a neighbour in the suffix array.  Anchors with more than
-``BUCKET`` different blocks are split exactly, by halving the range of window starts and
-keying on the bytes that all windows of a half share, until buckets are small or a half is a
-single window, where equal keys are equal windows.
+is one row a task, and a block that occurs more than once stands twice in its bucket.  Buckets
+are suffix-sorted by linear grouping construction (``suffixsort``): bytes between the places
+where blocks part become one symbol, and a window is repeated if its suffix shares LENGTH
+bytes with a neighbour in the suffix array; nothing is removed by any other way but whole
+texts that stand twice.  The places where blocks part come from an ordinary sort of a bucket's
+blocks (k log k comparisons of bytes for k blocks), which the linear part then builds on.
+Anchors with more than ``BUCKET`` different blocks are split exactly, by halving the range of
+window starts and keying on the bytes that all windows of a half share, until buckets are
+small or a half is a single window, where equal keys are equal windows.
 
 Shuffled are 50 bytes for each anchor (about one in 170 bytes of text), and the texts that
 share an anchor.
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .durable import materialize
+from .durable import Scratch
 from .jaccard import _bloom_hits, _text_key
 from .suffixsort import common_prefixes, suffix_array
 
@@ -74,40 +76,47 @@ def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH, anchor: int
     return {"text": text, "start": start - off[text], "lead": at[start] - start, "windows": end - start + 1, "anchor": hashed[at[start]].view(np.int64), "block": B.span_hash(prefix, start, end + length).view(np.int64)}
 
 
-def repeated_windows(contents: Sequence[bytes], leads: Sequence[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each of different blocks of a bucket, ranges [from, to) of window starts whose window stands in another block too.
-
-    Blocks are aligned at their leads, and window starts are counted from there.  A block of
-    b bytes has the windows that fit in it.
-    """
+def _partings(contents: Sequence[bytes], leads: Sequence[int]) -> tuple[set[int], set[int]]:
+    """Where blocks part before the anchor and after it, counted from it: common prefixes of neighbours in order of the bytes each way."""
     k = len(contents)
-    # Where blocks part: common prefixes of neighbours in order of the bytes after the lead, and before it backwards.
     after = sorted(range(k), key=lambda x: contents[x][leads[x] :])
     ahead = {x: contents[x][: leads[x]][::-1] for x in range(k)}
     before = sorted(range(k), key=ahead.__getitem__)
     right = {_shared(contents[x][leads[x] :], contents[y][leads[y] :]) for x, y in zip(after, after[1:], strict=False)}
     left = {-_shared(ahead[x], ahead[y]) for x, y in zip(before, before[1:], strict=False)}
-    right |= {len(c) - e for c, e in zip(contents, leads, strict=True)}
+    return left, right
+
+
+def repeated_windows(contents: Sequence[bytes | None], leads: Sequence[int], windows: Sequence[int], twice: Sequence[bool], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """For each of different blocks of a bucket, ranges [from, to) of window starts whose window stands elsewhere too.
+
+    Blocks are aligned at their leads, and window starts are counted from there.  A block
+    that occurs more than once is ``twice`` in the sorted text.  A block alone in its bucket
+    needs no content: it is one symbol.
+    """
+    k = len(contents)
+    sizes = [w + length - 1 for w in windows]
+    left, right = _partings(contents, leads) if k > 1 else (set(), set())
+    right |= {n - e for n, e in zip(sizes, leads, strict=True)}
     left |= {-e for e in leads}
     # Window starts between two cuts have the same fate: starts part at left cuts, ends (exclusive) after right ones.
     cuts = sorted(left | right | {0} | {r - length + 1 for r in right})
     text: list[int] = []
     homes: list[tuple[int, int]] = []
-    symbols: dict[tuple[int, bytes], int] = {}
+    symbols: dict[tuple[int, bytes | None], int] = {}
     spans: list[list[int]] = []
     for x in range(k):
-        lo, hi = -leads[x], len(contents[x]) - leads[x]
+        lo, hi = -leads[x], sizes[x] - leads[x]
         own = [c for c in cuts if lo <= c <= hi]
         spans.append(own)
-        for i, (a, b) in enumerate(zip(own, own[1:], strict=False)):
-            text.append(symbols.setdefault((a, contents[x][a - lo : b - lo]), len(symbols)) + 2)
-            homes.append((x, i))
-        text.append(1)
-        homes.append((x, -1))
+        word = [symbols.setdefault((a, contents[x][a - lo : b - lo] if k > 1 else None), len(symbols)) + 2 for a, b in zip(own, own[1:], strict=False)]
+        for _ in range(2 if twice[x] else 1):
+            text += [*word, 1]
+            homes += [*((x, i) for i in range(len(word))), (x, -1)]
     text.append(0)
     order = suffix_array(text)
     shared = common_prefixes(text, order)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(k)]
+    out: list[set[tuple[int, int]]] = [set() for _ in range(k)]
     for rank in range(1, len(order)):
         x, i = homes[order[rank]]
         if i < 0:
@@ -118,7 +127,7 @@ def repeated_windows(contents: Sequence[bytes], leads: Sequence[int], length: in
         most = max(shared[rank], shared[rank + 1] if rank + 1 < len(order) else 0)
         # Starts own[i] .. own[i + 1] - 1: the end of the last one must be shared.
         if own[min(i + most, len(own) - 1)] >= own[i + 1] - 1 + length:
-            out[x].append((own[i], own[i + 1]))
+            out[x].add((own[i], own[i + 1]))
     return [sorted(r) for r in out]
 
 
@@ -163,17 +172,17 @@ _BUCKET_KEY = ["anchor", "lo", "hi", "core"]
 
 
 def _sorted_buckets(length: int):
-    """Rows of buckets, sorted by key, to rows (key, block, from, to)."""
+    """Rows of buckets, those of a bucket together, to rows (key, block, from, to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        rows: list[tuple[int, bytes, int]] = []
+        rows: list[tuple[int, bytes | None, int, int, bool]] = []
         out: list[tuple] = []
 
         def solve() -> None:
-            found = repeated_windows([r[1] for r in rows], [r[2] for r in rows], length)
-            for (block, _, _), ranges in zip(rows, found, strict=True):
-                out.extend((*held, block, a, b) for a, b in ranges)
+            block, *columns = zip(*rows, strict=True)
+            for b, ranges in zip(block, repeated_windows(*columns, length), strict=True):
+                out.extend((*held, b, lo, hi) for lo, hi in ranges)
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [()] * 7
@@ -182,15 +191,15 @@ def _sorted_buckets(length: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*_BUCKET_KEY, "block", "from", "to"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*_BUCKET_KEY, "block", "data", "lead")]
-            for *key, block, data, lead in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in (*_BUCKET_KEY, "block", "data", "lead", "windows", "twice")]
+            for *key, block, data, lead, windows, twice in zip(*columns, strict=True):
                 if held != (key := tuple(key)):
                     if held is not None:
                         solve()
                     held, rows = key, []
-                rows.append((block, data, lead))
-            if len(out) > 10_000:
-                yield flush()
+                rows.append((block, data, lead, windows, twice))
+                if len(out) > 10_000:
+                    yield flush()
         if held is not None:
             solve()
         yield flush()
@@ -198,6 +207,22 @@ def _sorted_buckets(length: int):
     return run
 
 
+def _slices(length: int, anchor: int):
+    """Texts with the blocks that they stand for to rows of buckets: all blocks of a text are cut from its bytes at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
+            out = []
+            for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                data = text.as_py().encode()
+                for w in wanted.as_py():
+                    out.append((w["anchor"], anchor - length, 1, 0, w["block"], data[w["start"] : w["start"] + w["windows"] + length - 1], w["lead"], w["block"], w["weight"]))
+            columns = list(zip(*out, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
+
+    return run
+
+
 def _halves(length: int):
     """Rows of a bucket to rows of its two halves: blocks cut to their windows, keyed by what all windows of the half share."""
 
@@ -217,66 +242,76 @@ def _halves(length: int):
                     digest = lambda x: int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
                     out.append((anchor, a, b, digest(core), digest(part + (-s).to_bytes(4, "little", signed=True)), part, -s, origin, weight))
             columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*_BUCKET_KEY, "block", "data", "lead", "origin", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _STATE_TYPES, strict=True)], names=_STATE_NAMES)
 
     return run
 
 
 _STATE = "anchor long, lo int, hi int, core long, block long, data binary, lead int, origin long, weight long"
+_STATE_NAMES = [*_BUCKET_KEY, "block", "data", "lead", "origin", "weight"]
+_STATE_TYPES = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+_RANGES = "anchor long, lo int, hi int, core long, block long, `from` int, `to` int"
 
 
-def _repeats(shared: DataFrame, texts: DataFrame, length: int, anchor: int, bucket: int) -> list[DataFrame]:
+def _repeats(kinds: DataFrame, several: DataFrame, texts: DataFrame, length: int, anchor: int, bucket: int, scratch: Scratch) -> list[DataFrame]:
     """Tables (anchor, origin, from, to): window starts, counted from the anchor, of blocks (origin) that stand elsewhere too."""
-    kinds = shared.groupBy("anchor", "block").agg(F.count("*").alias("weight"), F.min(F.struct("text_key", "start", "lead", "windows")).alias("r")).select("anchor", "block", "weight", "r.*")
-    kinds = materialize(kinds, "blocks")
-    several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "mixed-anchors")
-    out = [kinds.filter("weight > 1").select("anchor", F.col("block").alias("origin"), (-F.col("lead")).alias("from"), (F.col("windows") - F.col("lead")).alias("to"))]
-    raw = F.expr(f"substring(encode(text, 'UTF-8'), cast(start + 1 as int), windows + {length - 1})")
-    state = kinds.join(several, "anchor").join(texts, "text_key").select("anchor", F.lit(anchor - length).alias("lo"), F.lit(1).alias("hi"), F.lit(0).cast("long").alias("core"), "block", raw.alias("data"), "lead", F.col("block").alias("origin"), "weight")
+    alone = kinds.join(several, "anchor", "left_anti").filter("weight > 1")
+    alone = alone.select("anchor", F.lit(anchor - length).alias("lo"), F.lit(1).alias("hi"), F.lit(0).cast("long").alias("core"), "block", F.lit(None).cast("binary").alias("data"), "lead", "windows", F.lit(True).alias("twice"))
+    out = [scratch.write(alone.mapInArrow(_sorted_buckets(length), _RANGES).select("anchor", F.col("block").alias("origin"), "from", "to"), "repeats")]
+    wanted = kinds.join(several, "anchor").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "block", "start", "lead", "windows", "weight")).alias("wanted"))
+    state = scratch.write(wanted.join(texts, "text_key").select("text", "wanted").mapInArrow(_slices(length, anchor), _STATE), "buckets")
     while True:
-        state = materialize(state, "buckets")
         # Blocks of different origins may be the same once cut: counted together, and sorted once.
         same = state.groupBy(*_BUCKET_KEY, "block").agg(F.sum("weight").alias("times"), F.first("data").alias("data"), F.first("lead").alias("lead"))
-        same = materialize(same, "cut-blocks")
-        size = materialize(same.groupBy(*_BUCKET_KEY).agg(F.count("*").alias("kinds")), "bucket-sizes")
-        fits = size.filter((F.col("kinds") > 1) & (F.col("kinds") <= bucket)).drop("kinds")
-        found = same.join(fits, _BUCKET_KEY).select(*_BUCKET_KEY, "block", "data", "lead").repartition(*_BUCKET_KEY).sortWithinPartitions(*_BUCKET_KEY, "block")
-        ranges = found.mapInArrow(_sorted_buckets(length), "anchor long, lo int, hi int, core long, block long, `from` int, `to` int")
-        every = same.filter("times > 1").select(*_BUCKET_KEY, "block", F.greatest(F.col("lo"), -F.col("lead")).alias("from"), F.least(F.col("hi"), F.length("data") - F.col("lead") - length + 1).cast("int").alias("to"))
+        same = scratch.write(same, "cut-blocks")
+        size = scratch.write(same.groupBy(*_BUCKET_KEY).agg(F.count("*").alias("kinds"), F.max("times").alias("most")), "bucket-sizes")
+        fits = size.filter((F.col("kinds") > 1) & (F.col("kinds") <= bucket) | (F.col("kinds") == 1) & (F.col("most") > 1)).drop("kinds", "most")
+        found = same.join(fits, _BUCKET_KEY).select(*_BUCKET_KEY, "block", "data", "lead", (F.length("data") - (length - 1)).alias("windows"), (F.col("times") > 1).alias("twice")).repartition(*_BUCKET_KEY).sortWithinPartitions(*_BUCKET_KEY, "block")
+        ranges = found.mapInArrow(_sorted_buckets(length), _RANGES)
         origins = state.select(*_BUCKET_KEY, "block", "origin")
-        out.append(materialize(ranges.union(every).join(origins, [*_BUCKET_KEY, "block"]).select("anchor", "origin", "from", "to"), "repeats"))
-        large = size.filter(F.col("kinds") > bucket).drop("kinds")
+        out.append(scratch.write(ranges.join(origins, [*_BUCKET_KEY, "block"]).select("anchor", "origin", "from", "to"), "repeats"))
+        large = size.filter(F.col("kinds") > bucket).drop("kinds", "most")
         if large.isEmpty():
             return out
-        state = state.join(large, _BUCKET_KEY).mapInArrow(_halves(length), _STATE)
+        halved = scratch.write(state.join(large, _BUCKET_KEY).mapInArrow(_halves(length), _STATE), "buckets")
+        scratch.drop(state, same, size)
+        state = halved
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, bucket: int = BUCKET, texts_too: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the remaining bytes of texts that lost a part, if ``texts_too``).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, changed, spans (and ``kept``, the remaining bytes of texts that lost a part, if ``texts_too``).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere
     else, in the same document too; overlaps count, and strings are judged on the input.
+    ``n_kept`` are the bytes that remain, ``changed`` says whether any was removed, and
+    ``spans`` lists the removed runs as start:end in bytes, end exclusive, comma-joined.
     Matches never cross documents.  Null counts as empty; texts shorter than ``length``
     lose nothing.  Of repeated rows and equal texts every one loses all its bytes if it has
     ``length`` of them.  Columns other than doc_id and text are not read.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     own = F.coalesce("text", F.lit(""))
-    whole = materialize(docs.select("doc_id", _text_key().alias("text_key"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("sha")), "texts")
-    occurrences = materialize(_occurrences(docs, length, anchor), "anchors")
+    whole = scratch.write(docs.select("doc_id", _text_key().alias("text_key"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("sha")), "texts")
+    # A text that stands twice goes as a whole.
+    copied = scratch.write(whole.filter(F.col("n_bytes") >= length).groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("text_key").alias("__copied")), "copied")
+    occurrences = scratch.write(_occurrences(docs, length, anchor), "anchors")
     # Written, as are the other key tables below: a join of two plain shuffles is one whose hot keys Spark can split.
-    common = materialize(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common-anchors")
-    # A text's blocks can stand here once for each task that met a copy of it, which only says that it is repeated.
-    shared = materialize(occurrences.join(common, "anchor"), "shared-anchors")
-    wanted = materialize(shared.select("text_key").distinct(), "text-keys")
+    common = scratch.write(occurrences.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "common-anchors")
+    # A copied text's blocks stand there once for each task that met it, and here once.
+    shared = scratch.write(occurrences.join(common, "anchor").distinct(), "shared-anchors")
+    scratch.drop(occurrences, common)
+    kinds = scratch.write(shared.groupBy("anchor", "block").agg(F.count("*").alias("weight"), F.min(F.struct("text_key", "start", "lead", "windows")).alias("r")).select("anchor", "block", "weight", "r.*"), "blocks")
+    several = scratch.write(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "mixed-anchors")
+    # Only texts that stand once are cut; copied ones only show what is repeated in them.
+    single = scratch.write(shared.join(copied, F.col("text_key") == F.col("__copied"), "left_anti").select("anchor", F.col("block").alias("origin"), "text_key", (F.col("start") + F.col("lead")).alias("place")), "single-texts")
+    wanted = scratch.write(single.select("text_key").union(kinds.join(several, "anchor").select("text_key")).distinct(), "text-keys")
     texts = _bloom_hits(docs, wanted).join(wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "shared-texts")
+    texts = scratch.write(texts, "shared-texts")
     repeats = None
-    for part in _repeats(shared, texts, length, anchor, bucket):
+    for part in _repeats(kinds, several, texts, length, anchor, bucket, scratch):
         repeats = part if repeats is None else repeats.union(part)
-    at = shared.select("anchor", F.col("block").alias("origin"), "text_key", (F.col("start") + F.col("lead")).alias("place"))
-    spans = at.join(repeats, ["anchor", "origin"]).groupBy("text_key").agg(F.collect_list(F.struct((F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"))).alias("spans"))
+    spans = single.join(repeats, ["anchor", "origin"]).groupBy("text_key").agg(F.collect_list(F.struct((F.col("place") + F.col("from")).alias("from"), (F.col("place") + F.col("to")).alias("to"))).alias("spans"))
     work = spans.join(texts, "text_key").select("text_key", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,25 +330,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     left.append(data[last:a])
                     last = b
                 kept = b"".join([*left, data[last:]])
-                out.append((key.as_py(), sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept if texts_too else None))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["__key", "__removed", "__spans", "__sha", "kept"])
+                out.append((key.as_py(), sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), ",".join(f"{a}:{b}" for a, b in merged), kept if texts_too else None))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["__key", "__removed", "__spans", "__sha", "__list", "kept"])
 
-    result = work.mapInArrow(cut, "__key binary, __removed long, __spans long, __sha string, kept binary")
+    result = work.mapInArrow(cut, "__key binary, __removed long, __spans long, __sha string, __list string, kept binary")
     if not texts_too:
         result = result.drop("kept")
-    # A text that stands twice goes as a whole.
-    copied = whole.filter(F.col("n_bytes") >= length).groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1").select(F.col("text_key").alias("__copied"))
-    cuts = result.join(copied, F.col("__key") == F.col("__copied"), "full").withColumn("__text", F.coalesce("__key", "__copied"))
-    joined = whole.join(materialize(cuts, "cuts"), whole["text_key"] == F.col("__text"), "left")
+    cuts = scratch.write(result.join(copied, F.col("__key") == F.col("__copied"), "full").withColumn("__text", F.coalesce("__key", "__copied")), "cuts")
+    scratch.keep(whole, cuts)
+    joined = whole.join(cuts, whole["text_key"] == F.col("__text"), "left")
     gone = F.col("__copied").isNotNull()
     none = F.lit(0).cast("long")
+    removed = F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("__removed", none))
     columns = [
         "doc_id",
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("__removed", none)).alias("n_removed"),
+        removed.alias("n_removed"),
         F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("__spans", none)).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("__sha", "sha")).alias("kept_sha256"),
+        (F.col("n_bytes") - removed).alias("n_kept"),
+        (removed > 0).alias("changed"),
+        F.when(gone, F.concat(F.lit("0:"), F.col("n_bytes"))).otherwise(F.coalesce("__list", F.lit(""))).alias("spans"),
     ]
     return joined.select(*columns, *([F.when(~gone, F.col("kept")).alias("kept")] if texts_too else []))

@@ -4,13 +4,15 @@ Phase 1 sorts suffixes into groups of equal longest Lyndon prefixes: groups are
 descending order; each suffix of a group finds its previous smaller one by following the
 pointers of suffixes already done, and those parents' prefixes are extended by the group's.
 Phase 2 emits each group's order by one pass over the growing suffix array.  Nothing is
-renamed or sorted recursively; both phases are linear.
+renamed or sorted recursively.  Symbols and counts are dealt into buckets, never compared, so
+both phases are linear in the length of the text and its largest symbol.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby
+
+_UNKNOWN = -2
 
 
 def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int]]:
@@ -19,7 +21,10 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int]]:
     ``text`` ends with its unique smallest symbol.
     """
     n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
+    dealt: list[list[int]] = [[] for _ in range(max(text, default=-1) + 1)]
+    for i, symbol in enumerate(text):
+        dealt[symbol].append(i)
+    order = [i for those in dealt for i in those]
     place, group, size = [0] * n, [0] * n, [0] * n
     start = 0
     for rank, i in enumerate(order):
@@ -27,25 +32,37 @@ def lyndon_groups(text: Sequence[int]) -> tuple[list[int], list[int]]:
             start = rank
         place[i], group[i] = rank, start
         size[start] += 1
-    previous = [-1] * n
+    previous = [_UNKNOWN] * n
     end = n
     while end > 0:
         first = group[order[end - 1]]
-        # Members in text order, so that pointers of equals to the left are known.
-        members = sorted(order[first:end])
+        members = order[first:end]
         extended: dict[int, int] = {}
         for i in members:
-            p = i - 1
-            while p >= 0 and group[p] >= first:
-                p = previous[p]
-            previous[i] = p
+            # To the left of a member may stand others of its group: all of a row share the smaller one before them.
+            row, at = [], i
+            while previous[at] == _UNKNOWN:
+                row.append(at)
+                p = at - 1
+                while p >= 0 and group[p] > first:
+                    p = previous[p]
+                if p < 0 or group[p] < first:
+                    break
+                at = p
+            else:
+                p = previous[at]
+            for x in row:
+                previous[x] = p
+            p = previous[i]
             if p >= 0:
                 extended[p] = extended.get(p, 0) + 1
         # A prefix followed by more copies of the group's is larger: most copies go to the far end of their group.
-        ranked = sorted(extended.items(), key=lambda x: -x[1])
-        for _, same in groupby(ranked, key=lambda x: x[1]):
+        by_count: dict[int, list[int]] = {}
+        for j, count in extended.items():
+            by_count.setdefault(count, []).append(j)
+        for count in range(max(by_count, default=0), 0, -1):
             moved: dict[int, list[int]] = {}
-            for j, _ in same:
+            for j in by_count.get(count, ()):
                 g = group[j]
                 last = g + size[g] - 1
                 other, at = order[last], place[j]

@@ -1,6 +1,7 @@
 """Substring dedup and n-gram Jaccard join against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -20,29 +21,50 @@ def repeated(texts, length):
             if seen[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(d, gone, strict=True) if not g)
-        yield len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        yield len(d), sum(gone), len(runs), hashlib.sha256(kept).hexdigest(), len(kept), any(gone), ",".join(f"{a}:{b}" for a, b in runs)
 
 
 @pytest.mark.parametrize(("length", "bucket"), [(400, 128), (60, 2)])
 def test_substrings(spark, length, bucket):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("length(text) < 4000")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r for r in suffixdedup.remove_repeats(docs, length, min(64, length // 4), bucket).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     assert len(rows) == len(texts)
     for i, want in zip(texts, repeated(texts.values(), length), strict=True):
-        assert tuple(rows[i][1:5]) == want
+        assert tuple(rows[i][1:]) == want
 
 
 def test_substrings_of_odd_rows(spark, odd, none):
-    odd = odd.filter("text is null or length(text) < 5000")
-    extra = spark.createDataFrame([(90, "ab" * 60, None), (91, "x" * 45, None), (92, "y" + "same text of more than five words here", None)], "doc_id long, text string, lang string")
-    docs = odd.unionByName(extra, allowMissingColumns=True)
+    """Nulls, empty and very long texts, periodic ones, repeated rows, texts of a window less, one, and more."""
+    extra = [(90, "ab" * 60), (91, "x" * 45), (92, "y" + "same text of more than five words here"), *((100 + n, chr(97 + n % 26) * n) for n in (19, 20, 21)), (130, "é" * 10), (131, "aé" + "é" * 9 + "b")]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, None) for i, t in extra], "doc_id long, text string, lang string"), allowMissingColumns=True)
     got = sorted(map(str, (tuple(r) for r in suffixdedup.remove_repeats(docs, 20, 5, 2).collect())))
     rows = docs.select("doc_id", "text").collect()
     assert got == sorted(str((r["doc_id"], *w)) for r, w in zip(rows, repeated([r["text"] for r in rows], 20), strict=True))
     assert suffixdedup.remove_repeats(none).count() == 0
 
 
+def test_long_texts_at_production_parameters(spark):
+    """A periodic text, one without repeats that shares a passage, and copies of all sizes about the window."""
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90_000))
+    texts = ["0123456789" * 15_000, line, "x" + line[50_000:50_400] + "y", "x" + line[60_000:60_399] + "z", line[70_000:71_000] + line[70_000:71_000], None, "", *("e" * n for n in (399, 400, 400, 401)), "漢字" * 100, "漢字" * 90 + line[:399]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixdedup.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(repeated(texts, 400))
+
+
+def test_nothing_is_removed_without_the_suffix_sort(spark, monkeypatch):
+    """Only whole texts that stand twice go by another way."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").dropDuplicates(["text"])
+    rows = [(b, None, 3, 40, True) for b in range(3)]
+    assert [suffixdedup.repeated_windows([r[1]], [r[2]], [r[3]], [r[4]], 50) for r in rows] == [[[(-3, 0), (0, 37)]]] * 3
+    assert suffixdedup.remove_repeats(docs).filter("changed").count() > 0
+    monkeypatch.setattr(suffixdedup, "_sorted_buckets", lambda length: lambda batches: iter(()))
+    assert suffixdedup.remove_repeats(docs).filter("changed").count() == 0
+
+
 def linked(rows):
     sets, word = [], re.compile(r"[^\x20\x09-\x0D]+")
     fold = {c: c + 32 for c in range(65, 91)}
