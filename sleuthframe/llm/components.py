@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import materialize
+from .durable import Scratch
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     until nothing changes: O(log n) shuffles of at most a row a node, each written to the
     shared folder.
     """
-    edges = materialize(links.select("a", "b").filter("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), "edges")
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.write(links.select("a", "b").filter("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), "edges")
     # The same rows, by number and sum of hashes: nothing has changed.
     summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = summary(edges)
@@ -51,15 +52,16 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: each node links its larger neighbours to its smallest one.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that Spark can split the join at the centre of a large star.
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
+        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, both["a"] == least["n"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: each node links its smaller neighbours to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, large["a"] == low["n"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        after = materialize(small, "edges")
+        after = scratch.write(small, "edges")
         now = summary(after)
-        if now == last:
+        scratch.keep(after)
+        edges, settled, last = after, now == last, now
+        if settled:
             break
-        edges, last = after, now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

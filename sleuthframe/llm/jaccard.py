@@ -7,20 +7,26 @@ skipped by relations between sets:
 
 * index lists are sorted by set size and cut into blocks; whole blocks are skipped when
   sizes or the positions of the shared shingle rule out the needed overlap;
-* answers are derived from those of highly similar sets: neighbours in the lists are
-  joined first, and two sets that already hang together through them need no comparison.
+* neighbours in the lists are joined first, and their answers serve the rest: two sets that
+  already hang together need no comparison, and any other pair is first decided from the
+  answers of the sets that they are highly similar to (``_derived``).  If a has the verified
+  neighbour x and b has y, |a & b| lies between |x & y| less what a and b lack of them and
+  |x & y| plus what they have beyond them, so one comparison of x and y answers for all pairs
+  of their neighbours whose bounds settle it.  Only pairs that are still open are compared.
   What is asked for is who reaches whom, so no link between different texts is lost;
 * pairs that are left meet a bound from parity signatures (the symmetric difference is at
   least the number of differing bits; a bit or more for each shingle, and a fold of them to
   512 bits inside the lists) before sets are compared exactly.
 
 The order needs counts of shingles over all documents.  They are kept in a sketch of
-``SLOTS`` counters of 8 bits on a log scale: one megabyte whatever the corpus, so it may be
-broadcast.  The order decides only how long lists get, never the result.
+``SLOTS`` counters, counted exactly and sent on a log scale of 8 bits: four megabytes whatever
+the corpus, so it may be broadcast.  The order decides only how long lists get, never the
+result.  Shingles that the sketch shows to be heavy are dealt over lists of their own before
+the shuffle, so that a very common one is no task.
 
 Scale: shuffled are the prefixes (about a fifth of the shingles, 40 bytes each), the
 signatures of classes in shared lists, and the texts of documents that are left as possible
-partners, found with a Bloom filter of fixed size and then an exact join.
+partners, found with a Bloom filter sized by their number and then an exact join.
 """
 
 from __future__ import annotations
@@ -36,13 +42,16 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .durable import free, materialize
+from .durable import Scratch, free
 
 SHINGLE = 5
 THRESHOLD = (80, 100)
 #: Counters of the shingle sketch; a bound on what is broadcast, not on shingles.
-SLOTS = 1 << 20
-BLOOM_BITS = 1 << 25
+SLOTS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+_SKETCH_BLOCK = 4096
+#: Bits of a Bloom filter for each key, and the most bits of one (32 MB); more keys than that serves go without.
+BLOOM_BITS, BLOOM_MOST = 16, 1 << 28
 _SIGNATURE_WORDS = 8
 _BLOCK = 256
 #: Most rows of one list that a task holds at once; longer lists are cut, their pairs dealt over cells of parts.
@@ -56,37 +65,31 @@ def _need(na, nb, threshold=THRESHOLD):
     return -(-(t * (na + nb)) // (of + t))
 
 
-def _count_sketch(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Log-scale counts of distinct shingles per document over all documents, by slot."""
-    block = 4096
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, _, data, off in B.chunks(batch.column(0)):
-                sets = B.shingle_sets(data, off, shingle)
-                total += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-        if total.any():
-            kind = np.int32 if total.max() < 2**31 else np.int64
-            rows = [total[i : i + block].astype(kind).tobytes() for i in range(0, SLOTS, block)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], names=["block", "counts"])
+def _sketch(rows: DataFrame) -> np.ndarray:
+    """Log-scale counts of distinct shingles per distinct set over all documents, by slot, from the tasks' counts (block, counts)."""
 
     def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, at = np.zeros(block, np.int64), None
+        total, at = np.zeros(_SKETCH_BLOCK, np.int64), None
         for batch in group:
             at = batch.column("block")[:1]
             for x in batch.column("counts").to_pylist():
-                total += np.frombuffer(x, np.int32 if len(x) == 4 * block else np.int64)
+                total += np.frombuffer(x, f"u{len(x) // _SKETCH_BLOCK}")
         if at is not None:
             yield pa.RecordBatch.from_arrays([at, pa.array([np.minimum(8 * np.log2(total + 1.0), 255).astype(np.uint8).tobytes()], pa.binary())], names=["block", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    sketch = np.zeros((SLOTS // block, block), np.uint8)
-    for r in rows:
+    sketch = np.zeros((SLOTS // _SKETCH_BLOCK, _SKETCH_BLOCK), np.uint8)
+    for r in rows.groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         sketch[r["block"]] = np.frombuffer(r["counts"], np.uint8)
     return sketch.ravel()
 
 
+def _parts(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """Parts that the list of a shingle is dealt over, by slot: 0 unless the slot has ``rows`` more than the usual one."""
+    counts = 2.0 ** (sketch / 8.0) - 1.0
+    above = counts - np.median(counts)
+    return np.where(above > rows, np.minimum(np.ceil(2 * above / rows), 60_000), 0).astype(np.uint16)
+
+
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -105,40 +108,69 @@ def _fold(signature: np.ndarray, words: int = _SIGNATURE_WORDS) -> np.ndarray:
     return np.bitwise_xor.reduce(signature.reshape(-1, words), axis=0)
 
 
-def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_key, key, n, signature, s0..s7) of each document: its set's digest, size, parity signature and the fold of that."""
-    names = ["doc_id", "text_key", "key", "n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS))]
+def _scan(docs: DataFrame, shingle: int) -> DataFrame:
+    """One pass over the texts: (doc_id, text_key, key, n, signature, s0..s7) of each document, and (block, counts) of each task's shingles.
+
+    A document's row holds its set's digest, size, parity signature and the fold of that, and
+    a null block.  Sets that a task has met are counted once.
+    """
+    names = ["doc_id", "text_key", "key", "n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS)), "block", "counts"]
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, id_type = np.zeros(SLOTS, np.uint32), set(), None
         for batch in batches:
             keys, sizes, signs = [], [], []
             for _, _, data, off in B.chunks(batch.column("text")):
+                new = []
                 for s in B.shingle_sets(data, off, shingle):
                     keys.append(_key(s))
                     sizes.append(len(s))
                     signs.append(_signature(s))
+                    if keys[-1] not in seen:
+                        seen.add(keys[-1])
+                        new.append(s)
+                if new:
+                    np.add.at(total, (np.concatenate(new) >> _SHIFT).astype(np.int64), 1)
+                if len(seen) > _SEEN:
+                    seen.clear()
             words = np.array([_fold(x) for x in signs], np.uint64).reshape(-1, _SIGNATURE_WORDS).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in signs], pa.binary()), *(pa.array(words[:, i]) for i in range(_SIGNATURE_WORDS))]
+            id_type = batch.column("doc_id").type
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in signs], pa.binary()), *(pa.array(words[:, i]) for i in range(_SIGNATURE_WORDS)), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        blocks = total.reshape(-1, _SKETCH_BLOCK)
+        most = blocks.max(1)
+        for some in np.array_split(np.flatnonzero(most), max(1, np.count_nonzero(most) // 256)):
+            if len(some):
+                rows = [blocks[i].astype("u1" if most[i] < 1 << 8 else "u2" if most[i] < 1 << 16 else "u4").tobytes() for i in some.tolist()]
+                n, empty = len(rows), [pa.nulls(len(rows), t) for t in (id_type, pa.binary(), pa.binary(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, *[pa.nulls(n, pa.int64())] * _SIGNATURE_WORDS, pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key binary, key binary, n long, signature binary, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)))
+    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind.simpleString()}, text_key binary, key binary, n long, signature binary, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)) + ", block int, counts binary")
 
 
 def _text_key() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def _prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """(token, key, np): the prefix of each set, once per set and task; np is size * 2**32 + position."""
+_LIST = "token long, key binary, np long, part int, crossed boolean"
+
+
+def _prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, threshold: tuple[int, int], rows: int) -> DataFrame:
+    """(token, key, np, part, crossed): the prefix of each set, once per set and task; np is size * 2**32 + position.
+
+    The list of a heavy shingle is dealt by digest into parts, and each two parts (and each by
+    itself) are a list of their own, in which ``part`` tells them apart.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch.tobytes())
     t, of = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = np.frombuffer(shared.value, np.uint8), set()
+        parts_of = _parts(order, rows)
         for batch in batches:
             for _, _, data, off in B.chunks(batch.column(0)):
-                tokens, keys, places = [], [], []
+                tokens, keys, places, part, crossed = [], [], [], [], []
                 for s in B.shingle_sets(data, off, shingle):
                     n = len(s)
                     if not n or (key := _key(s)) in seen:
@@ -147,13 +179,27 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, threshold: tupl
                         seen.clear()
                     seen.add(key)
                     p = n - -(-t * n // of) + 1
-                    tokens.append(s[np.argsort(order[(s >> np.uint64(44)).astype(np.int64)], kind="stable")[:p]])
-                    places.append((n << 32) + np.arange(p))
-                    keys += [key] * p
+                    slot = (s >> _SHIFT).astype(np.int64)
+                    first = np.argsort(order[slot], kind="stable")[:p]
+                    place, own = (n << 32) + np.arange(p), s[first]
+                    heavy = parts_of[slot[first]]
+                    mine, cross = np.zeros(p, np.int32), np.zeros(p, bool)
+                    if heavy.any():
+                        at = np.repeat(np.arange(p), np.maximum(heavy, 1))
+                        other = np.arange(len(at)) - np.searchsorted(at, at)
+                        mine = np.where(heavy > 0, int.from_bytes(key[:8], "little") % np.maximum(heavy, 1).astype(np.uint64), 0).astype(np.int64)[at]
+                        cross = mine != other
+                        cell = B.mix(own[at] + B.U(B.BASE) * (np.minimum(mine, other) * 65_536 + np.maximum(mine, other) + 1).astype(np.uint64))
+                        own, place, mine = np.where(heavy[at] > 0, cell, own[at]), place[at], mine.astype(np.int32)
+                    tokens.append(own)
+                    places.append(place)
+                    part.append(mine)
+                    crossed.append(cross)
+                    keys += [key] * len(own)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(places))], names=["token", "key", "np"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(places)), pa.array(np.concatenate(part)), pa.array(np.concatenate(crossed))], names=["token", "key", "np", "part", "crossed"])
 
-    return docs.select("text").mapInArrow(run, "token long, key binary, np long")
+    return docs.select("text").mapInArrow(run, _LIST)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
@@ -214,7 +260,8 @@ def _shared(threshold: tuple[int, int]):
                 if others[i] is None:
                     others[i] = []
                 others[i].append(key[j])
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key, pa.binary()), pa.array(place[at]), pa.array(others, pa.list_(pa.binary()))], names=["token", "key", "np", "others"])
+            where = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(key, pa.binary()), pa.array(place[at]), *(table.column(c).take(where).combine_chunks() for c in ("part", "crossed")), pa.array(others, pa.list_(pa.binary()))], names=["token", "key", "np", "part", "crossed", "others"])
 
     return run
 
@@ -266,31 +313,32 @@ def _pairs(threshold: tuple[int, int]):
     return run
 
 
-def _cells(lists: DataFrame, most: int) -> DataFrame:
-    """Lists as (token, key, np, part, crossed) of bounded length.
+def _cells(lists: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """Lists of bounded length, as (token, key, np, part, crossed).
 
-    A list of more than ``most`` rows is dealt by digest into parts of half that, and each two
-    parts (and each by itself) are a list of their own, so that no pair is lost and no task
-    holds the whole list.
+    What the sketch did not show: a list of more than ``most`` rows is dealt by digest into
+    parts of half that, and each two parts (and each by itself) are a list of their own, so
+    that no pair is lost and no task holds the whole list.
     """
-    whole = lists.withColumns({"part": F.lit(0), "crossed": F.lit(False)})
     long = lists.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
     if long.isEmpty():
-        return whole
-    long = materialize(long, "long-lists")
+        return lists
+    long = scratch.write(long, "long-lists")
     parts = long.select("token", F.ceil(F.col("rows") * 2 / most).cast("int").alias("parts"))
-    dealt = lists.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = lists.drop("part", "crossed").join(parts, "token").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = dealt.withColumn("other", other).select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "key", "np", "part", (F.col("part") != F.col("other")).alias("crossed"))
-    return whole.join(long.select("token"), "token", "left_anti").unionByName(cells)
+    return lists.join(long.select("token"), "token", "left_anti").unionByName(cells)
 
 
 def _bloom_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(text_key, text) of documents whose text may be wanted, by a Bloom filter of fixed size."""
-    bits = BLOOM_BITS
+    """(text_key, text) of documents whose text may be wanted, equal texts of a task once: by a Bloom filter sized by the keys, a bounded one."""
+    keys = max(wanted.count(), 1)
+    bits = 1 << max(20, (BLOOM_BITS * keys - 1).bit_length())
+    block = 1 << 16
 
     def slots(keys: list[bytes]) -> np.ndarray:
-        raw = np.frombuffer(b"".join(keys), np.uint32).reshape(-1, 4)[:, :3]
+        raw = np.frombuffer(b"".join(keys), np.uint32).reshape(-1, 4)
         return raw.astype(np.int64) % bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +346,12 @@ def _bloom_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             at = slots(batch.column(0).to_pylist()).ravel()
             np.bitwise_or.at(mine, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for i in range(0, len(mine), 1 << 16):
-            if (part := mine[i : i + (1 << 16)]).any():
+        for i in range(0, len(mine), block):
+            if (part := mine[i : i + block]).any():
                 yield pa.RecordBatch.from_arrays([pa.array([i >> 16], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["block", "bits"])
 
     def union(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, at = np.zeros(1 << 16, np.uint8), None
+        total, at = np.zeros(block, np.uint8), None
         for batch in group:
             at = batch.column("block")[:1]
             for x in batch.column("bits").to_pylist():
@@ -311,26 +359,36 @@ def _bloom_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         if at is not None:
             yield pa.RecordBatch.from_arrays([at, pa.array([total.tobytes()], pa.binary())], names=["block", "bits"])
 
-    filled = np.zeros((bits >> 19, 1 << 16), np.uint8)
-    for r in wanted.mapInArrow(fill, "block int, bits binary").groupBy("block").applyInArrow(union, "block int, bits binary").collect():
-        filled[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled.tobytes())
+    shared = None
+    if bits <= BLOOM_MOST:
+        filled = np.zeros((bits >> 19, block), np.uint8)
+        for r in wanted.mapInArrow(fill, "block int, bits binary").groupBy("block").applyInArrow(union, "block int, bits binary").collect():
+            filled[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(filled.tobytes())
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(shared.value, np.uint8)
+        have, seen = None if shared is None else np.frombuffer(shared.value, np.uint8), set()
         for batch in batches:
-            if batch.num_rows:
-                at = slots(batch.column("text_key").to_pylist())
-                yield batch.filter(pa.array(((have[at >> 3] >> (at & 7)) & 1).all(1)))
+            keys = batch.column("text_key").to_pylist()
+            if not keys:
+                continue
+            good = np.ones(len(keys), bool)
+            if have is not None:
+                at = slots(keys)
+                good = ((have[at >> 3] >> (at & 7)) & 1).all(1)
+            for i in np.flatnonzero(good).tolist():
+                good[i] = keys[i] not in seen
+                seen.add(keys[i])
+            if len(seen) > _SEEN:
+                seen.clear()
+            yield batch.filter(pa.array(good))
 
     return docs.select(_text_key().alias("text_key"), "text").mapInArrow(test, "text_key binary, text string")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) whose exact similarity makes a link."""
-    t, of = threshold
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(classes.select("key", "text_key"), "key")
-    wanted = materialize(wanted, "wanted")
+def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
+    """(key, shingles) of the classes in ``keys``."""
+    wanted = scratch.write(keys.distinct().join(classes.select("key", "text_key"), "key"), "wanted")
     texts = _bloom_hits(docs, wanted.select("text_key")).join(wanted, "text_key").dropDuplicates(["key"]).select("key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +396,63 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
             out = [s.tobytes() for _, _, data, off in B.chunks(batch.column("text")) for s in B.shingle_sets(data, off, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "shingles"])
 
-    known = materialize(texts.mapInArrow(sets, "key binary, shingles binary"), "sets")
+    return scratch.write(texts.mapInArrow(sets, "key binary, shingles binary"), "sets")
+
+
+def _compared(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and other columns) with na, nb and ``common``: the sizes of the sets and of what they share."""
+    columns = [c for c in pairs.columns if c not in ("na", "nb")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            out = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(of * common >= t * (len(p) + len(q) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                out.append((len(p), len(q), int((both[1:] == both[:-1]).sum())))
+            sizes = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *(pa.array(z, pa.int64()) for z in sizes)], names=[*columns, "na", "nb", "common"])
 
     left = known.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = known.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a binary, b binary")
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in columns)
+    return pairs.select(columns).join(left, "a").join(right, "b").mapInArrow(compare, f"{kinds}, na long, nb long, common long")
+
+
+def _links(common: Column, threshold: tuple[int, int]) -> Column:
+    t, of = threshold
+    return of * common >= t * (F.col("na") + F.col("nb") - common)
+
+
+def _derived(docs: DataFrame, pairs: DataFrame, answers: DataFrame, classes: DataFrame, shingle: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links among ``pairs``: most of them from the answers of highly similar sets, the rest by comparison.
+
+    Each set that has verified links (``answers``) stands with its smallest linked neighbour
+    (its *leader*), less ``lack`` shingles of that and with ``own`` beyond it; any other set
+    leads itself.  Each two leaders are compared once, and bound all pairs that they lead.
+    """
+    both = answers.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "common")
+    both = both.union(answers.select("b", "a", "nb", "na", "common"))
+    leaders = both.filter("y < x").groupBy("x").agg(F.min_by(F.struct("y", (F.col("ny") - F.col("common")).alias("lack"), (F.col("nx") - F.col("common")).alias("own")), "y").alias("l")).select("x", "l.*")
+    leaders = scratch.write(leaders, "leaders")
+    side = lambda c: leaders.select(F.col("x").alias(c), F.col("y").alias(f"l{c}"), F.col("lack").alias(f"lack{c}"), F.col("own").alias(f"own{c}"))
+    led = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    zero = F.lit(0).cast("long")
+    led = led.select("a", "b", "ia", "ib", "na", "nb", *[F.coalesce(f"l{c}", c).alias(f"l{c}") for c in "ab"], *[F.coalesce(f"{k}{c}", zero).alias(f"{k}{c}") for k in ("lack", "own") for c in "ab"])
+    led = scratch.write(led, "led")
+    asked = led.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    known = _sets(docs, asked.select(F.col("a").alias("key")).union(asked.select("b")).union(led.select("a")).union(led.select("b")), classes, shingle, scratch)
+    told = scratch.write(_compared(known, asked.distinct()).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("common").alias("told")), "told")
+    bounded = led.join(told, (F.least("la", "lb") == F.col("ta")) & (F.greatest("la", "lb") == F.col("tb")))
+    least, most = F.col("told") - F.col("lacka") - F.col("lackb"), F.col("told") + F.col("owna") + F.col("ownb")
+    bounded = scratch.write(bounded.select("a", "b", "ia", "ib", "na", "nb", _links(least, threshold).alias("yes"), _links(F.least(most, "na", "nb"), threshold).alias("maybe")), "bounded")
+    rest = _compared(known, bounded.filter("maybe and not yes").select("a", "b", "ia", "ib")).filter(_links(F.col("common"), threshold))
+    return bounded.filter("yes").select("ia", "ib").union(rest.select("ia", "ib"))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs whose sizes and whole signatures allow a link."""
+    """Pairs whose sizes and whole signatures allow a link, with sizes (na, nb) and nodes (ia, ib)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,11 +462,30 @@ def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
                 words = min(len(p), len(q))
                 differ = int(np.bitwise_count(_fold(p, words) ^ _fold(q, words)).sum())
                 keep.append((na + nb - differ) // 2 >= _need(na, nb, threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "ia", "ib", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+
+    left = classes.select(F.col("key").alias("a"), F.col("node").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("x"))
+    right = classes.select(F.col("key").alias("b"), F.col("node").alias("ib"), F.col("n").alias("nb"), F.col("signature").alias("y"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, ia binary, ib binary, na long, nb long")
+
+
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
-    left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("signature").alias("x"))
-    right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
+
+def _node(kind: str) -> Column:
+    """A class as a node: bytes that sort by its smallest doc_id, null last, and end with its key; so a component's smallest node tells its smallest doc_id."""
+    if kind in _INTEGRAL:
+        own = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    else:
+        own = F.concat(F.encode(F.col("doc_id").cast("string"), "UTF-8"), F.unhex(F.lit("00")))
+    return F.concat(F.coalesce(F.concat(F.unhex(F.lit("00")), own), F.unhex(F.lit("01"))), F.col("key"))
+
+
+def _doc_id(node: Column, kind: str) -> Column:
+    """The doc_id of a node."""
+    own = F.substring(node, F.lit(2), F.length(node) - (17 if kind in _INTEGRAL else 18))
+    value = F.conv(F.hex(own), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))) if kind in _INTEGRAL else F.decode(own, "UTF-8")
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value).cast(kind)
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, rows: int = LIST_ROWS) -> DataFrame:
@@ -379,46 +493,52 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
 
     Two documents link when ``threshold[1]`` * |intersection| >= ``threshold[0]`` * |union| of
     their sets of distinct ``shingle``-word shingles (A-Z lower-cased); ``component_id`` is the
-    smallest doc_id that is reachable by links.  Texts with fewer words are one shingle;
+    smallest doc_id that is reachable by links (of a type that is neither integral nor string:
+    the smallest as text).  Texts with fewer words are one shingle;
     null, empty and blank texts have an empty set and link with nothing: component_id is
     their own doc_id.  Repeated rows and equal texts link (similarity 1).  A null doc_id
     takes part but is never the smallest; a component of nothing else has a null id.
     component_id is reported only: components may share one, where ids are null or repeated.
-    ``component``, the digest of the component's root set, tells them apart; it is null for
+    ``component``, the digest of the set with that id, tells them apart; it is null for
     empty sets.
     Columns other than doc_id and text are not read.  An empty table gives no rows.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    nodes = materialize(_nodes(docs, shingle), "nodes")
-    classes = materialize(nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "signature", *(f"s{i}" for i in range(_SIGNATURE_WORDS)))]), "classes")
-    prefixes = _prefixes(docs, _count_sketch(docs, shingle), shingle, threshold)
-    lists = materialize(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared(threshold), "token long, key binary, np long, others array<binary>"), "lists")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    folds = [f"s{i}" for i in range(_SIGNATURE_WORDS)]
+    scanned = scratch.write(_scan(docs, shingle), "nodes")
+    nodes = scanned.filter("block is null").drop("block", "counts")
+    classes = nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "signature", *folds)])
+    classes = scratch.write(classes.withColumn("node", _node(kind)), "classes")
+    prefixes = _prefixes(docs, _sketch(scanned.filter("block is not null").select("block", "counts")), shingle, threshold, rows)
+    lists = scratch.write(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared(threshold), f"{_LIST}, others array<binary>"), "lists")
     del prefixes
     free(spark)
 
     # Neighbours in the lists come first: answers from which the rest are derived.
     near = lists.filter("others is not null").select("key", F.explode("others").alias("other")).filter("key <> other")
     near = near.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-    near = materialize(_possible(near, classes, threshold), "near")
+    near = scratch.write(_possible(near, classes, threshold), "near")
     free(spark)
-    first = materialize(_verify(docs, near, classes, shingle, threshold), "links")
-    roots = components(first)
+    known = _sets(docs, near.select(F.col("a").alias("key")).union(near.select("b")), classes, shingle, scratch)
+    first = scratch.write(_compared(known, near).filter(_links(F.col("common"), threshold)), "links")
+    roots = components(first.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
 
-    sides = classes.join(roots, classes["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), *(f"s{i}" for i in range(_SIGNATURE_WORDS)))
-    rest = _cells(lists.select("token", "key", "np"), rows).join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
+    sides = classes.join(roots.withColumnsRenamed({"node": "__n"}), F.col("node") == F.col("__n"), "left").select("key", F.coalesce("root", "node").alias("root"), *folds)
+    rest = _cells(lists.drop("others"), rows, scratch).join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
     pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
-    pairs = materialize(_possible(pairs, classes, threshold), "pairs")
+    pairs = scratch.write(_possible(pairs, classes, threshold), "pairs")
     free(spark)
-    second = materialize(_verify(docs, pairs, classes, shingle, threshold), "links")
-    final = components(first.union(second))
+    second = scratch.write(_derived(docs, pairs, first, classes, shingle, threshold, scratch), "links")
+    final = components(first.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(second))
 
-    own = classes.select("key", "doc_id").join(final.withColumnRenamed("node", "key"), "key")
-    least = own.groupBy("root").agg(F.min("doc_id").alias("__least"))
-    found = final.join(least, "root").select(F.col("node").alias("__key"), F.col("root").alias("__root"), "__least")
-    alone = classes.select(F.col("key").alias("__key"), F.col("doc_id").alias("__own"))
+    root = F.coalesce("root", "node")
+    labels = classes.select("key", "node").join(final.withColumnsRenamed({"node": "__n"}), F.col("node") == F.col("__n"), "left")
     # A table of its own: a join of two plain shuffles is one whose hot keys (copies) Spark can split.
-    labels = materialize(alone.join(found, "__key", "left").select("__key", F.coalesce("__root", "__key").alias("__root"), F.coalesce("__least", "__own").alias("__c")), "labels")
+    labels = scratch.write(labels.select(F.col("key").alias("__key"), F.substring(root, -16, 16).alias("__root"), _doc_id(root, kind).alias("__c")), "labels")
+    scratch.keep(scanned, labels)
     return nodes.join(labels, nodes["key"] == F.col("__key"), "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("__c")).alias("component_id"), F.col("__root").alias("component"))
 
 
