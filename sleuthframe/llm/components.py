@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .durable import Scratch
 
 
+#: Most edges that one task may finish: its table of parents stays within some 100 MB.
+SMALL = 250_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges (node, smallest node) of the components of one partition's links, in bounded memory."""
     parent: dict[bytes, bytes] = {}
@@ -41,7 +45,8 @@ def components(links: DataFrame) -> DataFrame:
     Each partition first reduces its links to a forest, so a dense group costs no more than
     its nodes.  Then alternate large-star and small-star steps (Kiveris et al. 2014) run
     until nothing changes: O(log n) shuffles of at most a row a node, each written to the
-    shared folder.
+    shared folder.  Once no more than ``SMALL`` edges are left one task finishes them, with the
+    same result.
     """
     scratch = Scratch(links.sparkSession)
     edges = scratch.write(links.select("a", "b").filter("a <> b").mapInArrow(_forest, "a binary, b binary").distinct(), "edges")
@@ -49,6 +54,11 @@ def components(links: DataFrame) -> DataFrame:
     summary = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     last = summary(edges)
     while last[0]:
+        if last[0] <= SMALL:
+            stars = scratch.write(edges.coalesce(1).mapInArrow(_forest, "a binary, b binary"), "edges")
+            scratch.keep(stars)
+            edges = stars
+            break
         # Large star: each node links its larger neighbours to its smallest one.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that Spark can split the join at the centre of a large star.

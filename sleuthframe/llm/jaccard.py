@@ -8,7 +8,8 @@ skipped by relations between sets:
 * index lists are sorted by set size and cut into blocks; whole blocks are skipped when
   sizes or the positions of the shared shingle rule out the needed overlap;
 * neighbours in the lists are joined first, and their answers serve the rest: two sets that
-  already hang together need no comparison, and any other pair is first decided from the
+  already hang together need no comparison; of the pairs between two components the likeliest
+  is compared first, which settles most others; and what is left is first decided from the
   answers of the sets that they are highly similar to (``_derived``).  If a has the verified
   neighbour x and b has y, |a & b| lies between |x & y| less what a and b lack of them and
   |x & y| plus what they have beyond them, so one comparison of x and y answers for all pairs
@@ -425,25 +426,20 @@ def _links(common: Column, threshold: tuple[int, int]) -> Column:
     return of * common >= t * (F.col("na") + F.col("nb") - common)
 
 
-def _derived(docs: DataFrame, pairs: DataFrame, answers: DataFrame, classes: DataFrame, shingle: int, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """Links among ``pairs``: most of them from the answers of highly similar sets, the rest by comparison.
-
-    Each set that has verified links (``answers``) stands with its smallest linked neighbour
-    (its *leader*), less ``lack`` shingles of that and with ``own`` beyond it; any other set
-    leads itself.  Each two leaders are compared once, and bound all pairs that they lead.
-    """
+def _leaders(answers: DataFrame) -> DataFrame:
+    """(x, y, lack, own): each set with verified links and its smallest linked neighbour, less ``lack`` shingles of that and with ``own`` beyond it."""
     both = answers.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), F.col("nb").alias("ny"), "common")
     both = both.union(answers.select("b", "a", "nb", "na", "common"))
-    leaders = both.filter("y < x").groupBy("x").agg(F.min_by(F.struct("y", (F.col("ny") - F.col("common")).alias("lack"), (F.col("nx") - F.col("common")).alias("own")), "y").alias("l")).select("x", "l.*")
-    leaders = scratch.write(leaders, "leaders")
-    side = lambda c: leaders.select(F.col("x").alias(c), F.col("y").alias(f"l{c}"), F.col("lack").alias(f"lack{c}"), F.col("own").alias(f"own{c}"))
-    led = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    zero = F.lit(0).cast("long")
-    led = led.select("a", "b", "ia", "ib", "na", "nb", *[F.coalesce(f"l{c}", c).alias(f"l{c}") for c in "ab"], *[F.coalesce(f"{k}{c}", zero).alias(f"{k}{c}") for k in ("lack", "own") for c in "ab"])
-    led = scratch.write(led, "led")
-    asked = led.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-    known = _sets(docs, asked.select(F.col("a").alias("key")).union(asked.select("b")).union(led.select("a")).union(led.select("b")), classes, shingle, scratch)
-    told = scratch.write(_compared(known, asked.distinct()).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("common").alias("told")), "told")
+    return both.filter("y < x").groupBy("x").agg(F.min_by(F.struct("y", (F.col("ny") - F.col("common")).alias("lack"), (F.col("nx") - F.col("common")).alias("own")), "y").alias("l")).select("x", "l.*")
+
+
+def _derived(known: DataFrame, led: DataFrame, threshold: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links among pairs with leaders (``_led``): from the answers of these where they settle it, else by comparison.
+
+    Each two leaders are compared once, and bound all pairs that they lead.
+    """
+    asked = led.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    told = scratch.write(_compared(known, asked).select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("common").alias("told")), "told")
     bounded = led.join(told, (F.least("la", "lb") == F.col("ta")) & (F.greatest("la", "lb") == F.col("tb")))
     least, most = F.col("told") - F.col("lacka") - F.col("lackb"), F.col("told") + F.col("owna") + F.col("ownb")
     bounded = scratch.write(bounded.select("a", "b", "ia", "ib", "na", "nb", _links(least, threshold).alias("yes"), _links(F.least(most, "na", "nb"), threshold).alias("maybe")), "bounded")
@@ -451,22 +447,40 @@ def _derived(docs: DataFrame, pairs: DataFrame, answers: DataFrame, classes: Dat
     return bounded.filter("yes").select("ia", "ib").union(rest.select("ia", "ib"))
 
 
+def _led(pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``pairs`` with the leaders (la, lb) of their sets, what these lack of them and own beyond them; a set without links leads itself."""
+    side = lambda c: leaders.select(F.col("x").alias(c), F.col("y").alias(f"l{c}"), F.col("lack").alias(f"lack{c}"), F.col("own").alias(f"own{c}"))
+    zero = F.lit(0).cast("long")
+    led = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return led.select(*pairs.columns, *[F.coalesce(f"l{c}", c).alias(f"l{c}") for c in "ab"], *[F.coalesce(f"{k}{c}", zero).alias(f"{k}{c}") for k in ("lack", "own") for c in "ab"])
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """``pairs`` whose sets are in different components, with the roots (ra, rb) of these."""
+    for c in "ab":
+        own = roots.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"r{c}"))
+        pairs = pairs.drop(f"r{c}").join(own, F.col(f"i{c}") == F.col(f"__{c}"), "left").drop(f"__{c}").withColumn(f"r{c}", F.coalesce(f"r{c}", f"i{c}"))
+    return pairs.filter("ra <> rb")
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs whose sizes and whole signatures allow a link, with sizes (na, nb) and nodes (ia, ib)."""
+    """Pairs whose sizes and whole signatures allow a link, with nodes (ia, ib), sizes (na, nb), and the shingles by which it may be more than enough (slack)."""
+    names = ["a", "b", "ia", "ib", "na", "nb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            slack = []
             for na, nb, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 words = min(len(p), len(q))
                 differ = int(np.bitwise_count(_fold(p, words) ^ _fold(q, words)).sum())
-                keep.append((na + nb - differ) // 2 >= _need(na, nb, threshold))
-            yield batch.select(["a", "b", "ia", "ib", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
+                slack.append((na + nb - differ) // 2 - _need(na, nb, threshold))
+            slack = pa.array(slack, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), slack], names=[*names, "slack"]).filter(pc.greater_equal(slack, 0))
 
     left = classes.select(F.col("key").alias("a"), F.col("node").alias("ia"), F.col("n").alias("na"), F.col("signature").alias("x"))
     right = classes.select(F.col("key").alias("b"), F.col("node").alias("ib"), F.col("n").alias("nb"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, ia binary, ib binary, na long, nb long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary, ia binary, ib binary, na long, nb long, slack long")
 
 
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
@@ -531,8 +545,17 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
     pairs = scratch.write(_possible(pairs, classes, threshold), "pairs")
     free(spark)
-    second = scratch.write(_derived(docs, pairs, first, classes, shingle, threshold, scratch), "links")
-    final = components(first.select(F.col("ia").alias("a"), F.col("ib").alias("b")).union(second))
+    leaders = scratch.write(_leaders(first), "leaders")
+    led = scratch.write(_led(_rooted(pairs, roots), leaders), "led")
+    known = _sets(docs, led.select(F.explode(F.array("a", "b", "la", "lb")).alias("key")), classes, shingle, scratch)
+    # The likeliest pair between two components, then the rest of those that are still apart.
+    best = led.groupBy(F.least("ra", "rb"), F.greatest("ra", "rb")).agg(F.max_by(F.struct("a", "b", "ia", "ib"), F.struct("slack", "a", "b")).alias("p")).select("p.*")
+    second = scratch.write(_compared(known, best).filter(_links(F.col("common"), threshold)).select("ia", "ib"), "links")
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+    rest = scratch.write(_rooted(led, final), "led")
+    if not rest.isEmpty():
+        third = scratch.write(_derived(known, rest, threshold, scratch), "links")
+        final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b")).union(third))
 
     root = F.coalesce("root", "node")
     labels = classes.select("key", "node").join(final.withColumnsRenamed({"node": "__n"}), F.col("node") == F.col("__n"), "left")

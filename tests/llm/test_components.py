@@ -4,11 +4,14 @@ import random
 
 import pytest
 
+from sleuthframe.llm import components as components_module
 from sleuthframe.llm.components import components
 
 
+@pytest.mark.parametrize("small", [0, components_module.SMALL])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, small, monkeypatch):
+    monkeypatch.setattr(components_module, "SMALL", small)
     rng = random.Random(5)
     edges = {"chain": [(i, i + 1) for i in range(60)], "star": [(0, i) for i in range(1, 60)] + [(70, 71)], "random": [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)], "none": []}[shape]
     lead = {}
