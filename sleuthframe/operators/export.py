@@ -83,12 +83,14 @@ def stix_bundles(investigations: DataFrame, iocs: DataFrame, now: Column, produc
 
 
 def misp_attributes(iocs: DataFrame) -> DataFrame:
-    """(type, value, category, to_ids, comment) of indicators that MISP has a type for."""
+    """(misp_type, value, category, to_ids, comment) of indicators that MISP has a type for."""
     network = F.col("type").isin("ip", "domain", "url")
     return iocs.select(
         C.lookup(F.col("type"), fixed.MISP_TYPES).alias("misp_type"),
         "value",
         F.when(network, F.lit("Network activity")).otherwise(F.lit("Payload delivery")).alias("category"),
+        F.lit(True).alias("to_ids"),
+        F.concat(F.lit("Source: "), F.coalesce("source", F.lit("unknown"))).alias("comment"),
     ).filter("misp_type is not null")
 
 

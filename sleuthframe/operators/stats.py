@@ -50,3 +50,19 @@ def suspicious_counts(events: DataFrame, code: str = "event_code") -> DataFrame:
 def loops(calls: DataFrame, signature: str = "signature", limit: int = 3) -> DataFrame:
     """Call signatures repeated ``limit`` times or more."""
     return calls.groupBy(signature).agg(F.count("*").alias("n")).filter(F.col("n") >= limit)
+
+
+def folder_size(inventory: DataFrame, size: str = "size_bytes") -> DataFrame:
+    """(files, size_bytes) of a listing."""
+    return inventory.agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size_bytes"))
+
+
+def running_jobs(jobs: DataFrame, status: str = "status") -> DataFrame:
+    """(jobs, jobs_running) of a job table."""
+    return jobs.agg(F.count("*").alias("jobs"), F.count(F.when(F.col(status) == "running", 1)).alias("jobs_running"))
+
+
+def token_usage(calls: DataFrame, *keys: str) -> DataFrame:
+    """Calls and sums of their token counts, by key; a missing count is 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    return calls.groupBy(*keys).agg(F.count("*").alias("calls"), *sums)

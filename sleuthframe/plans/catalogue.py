@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators import attack, casestore, detect, export, indicators, stats, timeline, windows
+from ..sources import staging
 from . import frames as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -446,9 +447,9 @@ def browser_top_hosts(spark, d):
     return stats.top_hosts(R.table(spark, d, "pages"))
 
 
-@query("SELECT page_id, left(url, 40) AS url FROM pages ORDER BY page_id DESC LIMIT 2000")
+@query("SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 2000")
 def browser_recent_visits(spark, d):
-    return R.table(spark, d, "pages").select("page_id", F.left("url", F.lit(40)).alias("url")).orderBy(F.desc("page_id")).limit(2000)
+    return R.table(spark, d, "pages").select("page_id", "url").orderBy(F.desc("page_id")).limit(2000)
 
 
 # --- artifacts ------------------------------------------------------------------------
@@ -507,6 +508,34 @@ def timeline_correlate(spark, d):
     return pairs.select(F.col("left.seq").alias("left_seq"), F.col("right.seq").alias("right_seq"))
 
 
+# --- jobs and usage -------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS jobs, count(*) FILTER (WHERE event_type = 'view') AS jobs_running FROM events")
+def jobs_running(spark, d):
+    jobs = R.table(spark, d, "events").select(F.when(F.col("event_type") == "view", "running").otherwise("completed").alias("status"))
+    return stats.running_jobs(jobs)
+
+
+@query("SELECT conv_id, count(*) AS calls, CAST(sum(CASE WHEN turn % 3 = 0 THEN 0 ELSE length(text) END) AS BIGINT) AS prompt_tokens, CAST(sum(turn) AS BIGINT) AS completion_tokens, CAST(sum(length(text) + turn) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id")
+def token_usage(spark, d):
+    size = F.length("text")
+    calls = R.table(spark, d, "conversations").select("conv_id", F.when(F.col("turn") % 3 != 0, size).alias("prompt_tokens"), F.col("turn").alias("completion_tokens"), (size + F.col("turn")).alias("total_tokens"))
+    return stats.token_usage(calls, "conv_id")
+
+
+@query("SELECT 'x' || doc_id || '.log' AS name FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def inbox_settled(spark, d):
+    """Two scans of a drop folder: files that did not grow, were there before, and are not handled."""
+    from ..streaming import live
+
+    docs = R.table(spark, d, "documents")
+    name = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".log"))).otherwise(F.concat(F.lit("."), F.col("doc_id").cast("string")))
+    now = docs.select("doc_id", F.concat(F.lit("/inbox/"), name).alias("path"), F.col("n_chars").cast("long").alias("length"))
+    before = now.select("path", F.when(F.col("doc_id") % 3 == 0, F.col("length") - 1).otherwise(F.col("length")).alias("length"))
+    return live.settled(now, before, now.filter("doc_id % 5 = 0")).select(C.base_name(F.col("path")).alias("name"))
+
+
 # --- exports --------------------------------------------------------------------------
 
 
@@ -539,7 +568,7 @@ def stix_bundle(spark, d):
 _MISP_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.MISP_TYPES.items()) + " END"
 
 
-@query(f"SELECT {_MISP_SQL} AS misp_type, value, CASE WHEN type IN ('ip', 'domain', 'url') THEN 'Network activity' ELSE 'Payload delivery' END AS category FROM {_CASE_SQL}")
+@query(f"SELECT {_MISP_SQL} AS misp_type, value, CASE WHEN type IN ('ip', 'domain', 'url') THEN 'Network activity' ELSE 'Payload delivery' END AS category, true AS to_ids, 'Source: auto-extract' AS comment FROM {_CASE_SQL}")
 def misp_attributes(spark, d):
     return export.misp_attributes(_case_iocs(spark, d))
 
@@ -549,13 +578,15 @@ def ioc_csv_export(spark, d):
     return export.ioc_csv(_case_iocs(spark, d).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
 
 
-@query(f"""SELECT id AS investigation_id, '# Rapport d''Enquete: ' || name || chr(10) || chr(10) || 'Date: 2024-02-01 00:00:00' || chr(10) || 'Statut: ' || status || chr(10) || chr(10) || '## Artefacts (' || coalesce(n, 0) || ')' || coalesce(chr(10) || lines, '') || chr(10) || chr(10) || '## IoCs (0)' || chr(10) || chr(10) || '## Timeline (0)' AS report
-FROM {R.INVESTIGATIONS_SQL} i LEFT JOIN (SELECT investigation_id, count(*) AS n, string_agg('- ' || filename || ' (SHA256: N/A)', chr(10) ORDER BY id) AS lines FROM {R.ARTIFACTS_SQL} GROUP BY 1) a ON i.id = a.investigation_id""")
+@query(f"""SELECT i.id AS investigation_id, '# Rapport d''Enquete: ' || name || chr(10) || chr(10) || 'Date: 2024-02-01 00:00:00' || chr(10) || 'Statut: ' || status || chr(10) || chr(10) || '## Artefacts (' || coalesce(a.n, 0) || ')' || coalesce(chr(10) || a.lines, '') || chr(10) || chr(10) || '## IoCs (' || coalesce(c.n, 0) || ')' || coalesce(chr(10) || c.lines, '') || chr(10) || chr(10) || '## Timeline (' || coalesce(t.n, 0) || ')' || coalesce(chr(10) || t.lines, '') AS report
+FROM {R.INVESTIGATIONS_SQL} i LEFT JOIN (SELECT investigation_id, count(*) AS n, string_agg('- ' || filename || ' (SHA256: N/A)', chr(10) ORDER BY id) AS lines FROM {R.ARTIFACTS_SQL} GROUP BY 1) a ON i.id = a.investigation_id
+LEFT JOIN (SELECT investigation_id, count(*) AS n, string_agg('- [' || type || '] ' || value || ' (source: auto-extract)', chr(10) ORDER BY type || '|' || value) AS lines FROM {_CASE_SQL} GROUP BY 1) c ON i.id = c.investigation_id
+LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS investigation_id, count(*) AS n, string_agg('- ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || CASE WHEN k % 3 = 0 THEN 'high' ELSE 'info' END || '] ' || event_type, chr(10) ORDER BY strftime(ts, '%Y-%m-%d %H:%M:%S'), seq) AS lines FROM {R.EVENTS_SQL} GROUP BY 1) t ON i.id = t.investigation_id""")
 def case_report(spark, d):
     art = R.artifacts(spark, d).select("id", "investigation_id", "filename", F.lit(None).cast("string").alias("original_filename"), F.lit(None).cast("string").alias("file_hash_sha256"))
-    empty_iocs = spark.createDataFrame([], casestore.SCHEMAS["iocs"])
-    empty_times = spark.createDataFrame([], casestore.SCHEMAS["timeline_events"])
-    return export.case_report(R.investigations(spark, d), art, empty_iocs, empty_times, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    found = _case_iocs(spark, d).withColumn("id", F.concat_ws("|", "type", "value"))
+    times = R.events(spark, d).select(F.col("seq").alias("id"), F.col("user_id").cast("string").alias("investigation_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.when(F.col("k") % 3 == 0, "high").alias("severity"), F.col("event_type").alias("event"))
+    return export.case_report(R.investigations(spark, d), art, found, times, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
 
 
 @query("SELECT event_id, make_timestamp(13350000000000000 + event_id * 1000003 - 11644473600000000) AS visited_at FROM events")
@@ -708,18 +739,23 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return raw.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives for what is there now, from a sink in memory."""
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _drained(spark: SparkSession, stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
+    """All rows that a stream gives for what is there now, written as Parquet by the tasks; in ``complete`` mode the last batch's."""
+    path = staging.folder(spark, name)
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if complete:
+        run = writer.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")).start()
+    else:
+        run = writer.outputMode("append").format("parquet").option("path", f"{path}/rows").start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 @query("SELECT CAST(w AS VARCHAR) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS w FROM events) GROUP BY w, event_type")
 def stream_sliding(spark, d):
     from ..streaming import live
 
-    out = _drained(spark, live.windowed_counts(_stream(spark, d), "at", "event_type"), "sf_sliding", "complete")
+    out = _drained(spark, live.windowed_counts(_stream(spark, d), "at", "event_type"), "sliding", complete=True)
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
@@ -727,7 +763,7 @@ def stream_sliding(spark, d):
 def stream_sessions(spark, d):
     from ..streaming import live
 
-    out = _drained(spark, live.session_counts(_stream(spark, d), "at", "user_id"), "sf_sessions", "complete")
+    out = _drained(spark, live.session_counts(_stream(spark, d), "at", "user_id"), "sessions", complete=True)
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
@@ -736,7 +772,7 @@ def stream_dedup(spark, d):
     from ..streaming import live
 
     once = live.deduplicated(_stream(spark, d).select("user_id", "event_type", "at"), "at", ["user_id", "event_type"], "40 days")
-    return _drained(spark, once.select("user_id", "event_type"), "sf_dedup")
+    return _drained(spark, once.select("user_id", "event_type"), "dedup")
 
 
 @query(SQL["ttl_fixed_window_counter"].replace("SELECT seq, user_id, counter FROM w", "SELECT user_id, us AS at, counter FROM w"))
@@ -744,4 +780,4 @@ def stream_ttl_counter(spark, d):
     from ..streaming import live
 
     counted = live.ttl_counters(_stream(spark, d).select("user_id", "at"), "user_id", "at", 86400)
-    return _drained(spark, counted.withColumnRenamed("key", "user_id"), "sf_ttl")
+    return _drained(spark, counted.withColumnRenamed("key", "user_id"), "ttl")

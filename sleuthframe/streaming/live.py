@@ -46,6 +46,15 @@ def drop_folder(spark: SparkSession, inbox: str, archive: str | None = None) ->
     return files.filter(~inbox_ignored(F.col("name"))).withColumn("case_name", case_of(F.col("path"), inbox))
 
 
+def settled(listing: DataFrame, before: DataFrame, handled: DataFrame) -> DataFrame:
+    """Rows of a listing (path, length, ...) that may be taken: of the same length in the scan before, not handled yet, not to be ignored.
+
+    A file that is still being written grows between two scans and waits for the next one.
+    """
+    same = listing.join(before.select("path", "length"), ["path", "length"], "left_semi")
+    return same.join(handled.select("path"), "path", "left_anti").filter(~inbox_ignored(C.base_name(F.col("path"))))
+
+
 def watch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, seconds: int = 10) -> StreamingQuery:
     """Runs ``handle(batch, id)`` on new rows; the checkpoint makes each file count once for a handler that is idempotent by id."""
     writer: DataStreamWriter = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sleuthframe.plans import catalogue
+from sleuthframe.plans import catalogue, readings  # noqa: F401  (registers the queries of the readers)
 
 from .conftest import SMALL
 
