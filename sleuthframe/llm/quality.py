@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import bytesops as B
 from .durable import materialize
@@ -302,19 +303,32 @@ def features(column: pa.Array, vocabulary: Fertility, multi: Fertility | None =
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
-def _measured(docs: DataFrame, path: str, multi: str) -> DataFrame:
-    """doc_id, lang and the features of each document."""
-    names = (*FEATURES, *MORE)
-    real = ("token_entropy", "window_entropy")
+_NAMES = (*FEATURES, *MORE)
+_REAL = ("token_entropy", "window_entropy")
+#: Columns of measures next to those of a table, whose own names may be the same.
+_MARK = "__q_"
+
+
+def _measured(docs: DataFrame, path: str, multi: str, names: list[str]) -> DataFrame:
+    """Columns ``names`` of ``docs`` and after them the features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = features(batch.column("text"), fertility(path), fertility(multi))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(f[k], pa.float64() if k in real else pa.int64()) for k in names)], names=["doc_id", "lang", *names])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(f[k], pa.float64() if k in _REAL else pa.int64()) for k in _NAMES)], names=[*names, *(_MARK + k for k in _NAMES)])
+
+    schema = StructType([*(docs.schema[n] for n in names), *(StructField(_MARK + k, DoubleType() if k in _REAL else LongType()) for k in _NAMES)])
+    return docs.mapInArrow(run, schema)
+
+
+def _fitted(measured: DataFrame) -> dict[str, Band]:
+    lang = F.col("lang").cast("string") if "lang" in measured.columns else F.lit(None).cast("string")
+    return fit_bands(measured.select(lang.alias("lang"), *[F.col(_MARK + k).alias(k) for k in _NAMES]))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(run, f"doc_id {kind}, lang string, " + ", ".join(f"{k} {'double' if k in real else 'long'}" for k in names))
+
+def _judged(batch: pa.RecordBatch, limits: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    langs = batch.column("lang").cast(pa.string()).to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+    return verdicts({k: batch.column(_MARK + k).to_numpy() for k in _NAMES}, langs, limits)
 
 
 def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
@@ -325,39 +339,38 @@ def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCAB
     table without ``lang``.  Repeated rows each get their row; other columns, whatever their
     names, are not read.  An empty table gives no rows.
     """
-    measured = _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}")
+    columns = ["doc_id", *(["lang"] if "lang" in docs.columns else [])]
+    measured = _measured(docs.select("text", *columns), f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", columns)
     if bands is None:
         measured = materialize(measured, "measures")
-        bands = fit_bands(measured)
+        bands = _fitted(measured)
     limits = dict(bands)
-    names = (*FEATURES, *MORE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = {k: batch.column(k).to_numpy() for k in names}
-            failed, kept, why = verdicts(f, batch.column("lang").to_pylist(), limits)
-            columns = [batch.column("doc_id"), *(batch.column(k) for k in FEATURES[:5]), pa.array(failed), pa.array(kept), pa.array(why, pa.string()), *(batch.column(k) for k in names[5:])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *FEATURES[:5], "base_failed", "kept", "outside", *names[5:]])
+            failed, kept, why = _judged(batch, limits)
+            some = lambda ks: [batch.column(_MARK + k) for k in ks]  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *some(FEATURES[:5]), pa.array(failed), pa.array(kept), pa.array(why, pa.string()), *some(_NAMES[5:])], names=["doc_id", *FEATURES[:5], "base_failed", "kept", "outside", *_NAMES[5:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    types = {f.name: f.dataType.simpleString() for f in measured.schema}
-    listed = lambda ks: ", ".join(f"{k} {types[k]}" for k in ks)
-    return measured.mapInArrow(run, f"doc_id {kind}, {listed(FEATURES[:5])}, base_failed boolean, kept boolean, outside string, {listed(names[5:])}")
+    listed = lambda ks: ", ".join(f"{k} {'double' if k in _REAL else 'long'}" for k in ks)
+    return measured.mapInArrow(run, f"doc_id {kind}, {listed(FEATURES[:5])}, base_failed boolean, kept boolean, outside string, {listed(_NAMES[5:])}")
 
 
 def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
     """Rows of ``docs`` whose verdict is kept, all columns as they are.
 
-    Without ``bands`` they are fitted to ``docs`` first: measuring twice costs less than
-    writing whole texts next to their measures.  Odd rows and tables as in ``score``.
+    Without ``bands`` they are fitted to ``docs``: the table is then written once with its
+    measures, which costs less than tokenising twice.  Odd rows and tables as in ``score``.
     """
-    path, multi = f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}"
-    limits = dict(fit_bands(_measured(docs, path, multi)) if bands is None else bands)
+    names, measured = docs.columns, _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", docs.columns)
+    if bands is None:
+        measured = materialize(measured, "measures")
+        bands = _fitted(measured)
+    limits = dict(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = features(batch.column("text"), fertility(path), fertility(multi))
-            langs = batch.column("lang").cast(pa.string()).to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
-            yield batch.filter(pa.array(verdicts(f, langs, limits)[1]))
+            yield batch.select(names).filter(pa.array(_judged(batch, limits)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return measured.mapInArrow(run, docs.schema)
