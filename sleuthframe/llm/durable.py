@@ -34,6 +34,19 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def written() -> list[tuple[SparkSession, str]]:
+    """Tables that are there now."""
+    return list(_written)
+
+
+def discard(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables (of ``written``) that nothing reads any more."""
+    for entry in tables:
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 class Scratch:
     """Tables of one job, dropped when it is done but for those that its result reads."""
 
