@@ -43,9 +43,17 @@ def ioc_rollup(iocs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(ioc_dimension(iocs.sparkSession)), "type").groupBy("tactic", "technique", "technique_name").agg(F.sum("n").alias("indicators"))
 
 
+def ioc_links(iocs: DataFrame) -> DataFrame:
+    """(tactic, technique, technique_name, type, value): an indicator for each technique that its type points at."""
+    return iocs.join(F.broadcast(ioc_dimension(iocs.sparkSession)), "type").select("tactic", "technique", "technique_name", "type", "value")
+
+
 def ioc_matrix(iocs: DataFrame, most: int | None = None) -> DataFrame:
-    """(tactic, technique, technique_name, indicators): the values themselves, listed; ``most`` keeps the first of each technique."""
-    joined = iocs.join(F.broadcast(ioc_dimension(iocs.sparkSession)), "type")
+    """(tactic, technique, technique_name, indicators): the values of ``ioc_links`` listed in one row, for display.
+
+    ``most`` keeps the first of each technique; without it a row is as long as the technique has indicators.
+    """
+    joined = ioc_links(iocs)
     if most:
         joined = joined.withColumn("__n", F.row_number().over(Window.partitionBy("technique", "tactic").orderBy("type", "value"))).filter(F.col("__n") <= most)
     return joined.groupBy("tactic", "technique", "technique_name").agg(F.array_sort(F.collect_list(F.struct("type", "value"))).alias("indicators"))

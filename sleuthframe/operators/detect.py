@@ -7,11 +7,12 @@ has a fixed small size and is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from .windows import running_number
 
 _CRITERIA = (*fixed.CONTAINS_FIELDS, *fixed.EQUALS_FIELDS)
 
@@ -53,12 +54,11 @@ def alerts(events: DataFrame, rule_table: DataFrame, order: str = "seq", code: s
 
     The count is global, in the order of ``order``, which must be unique; ``scope`` counts for
     each host or user instead.  Rules without a threshold need no window, so only the matches
-    of threshold rules are shuffled.
+    of threshold rules are shuffled, and those of one rule are numbered in blocks of the order.
     """
     matched = match(events, rule_table, code)
-    running = Window.partitionBy("rule_id", *scope).orderBy(order)
     plain = matched.filter("threshold <= 1")
-    counted = matched.filter("threshold > 1").withColumn("__n", F.row_number().over(running)).filter("__n >= threshold").drop("__n")
+    counted = running_number(matched.filter("threshold > 1"), ["rule_id", *scope], order, "__n").filter("__n >= threshold").drop("__n")
     return plain.unionByName(counted)
 
 

@@ -19,12 +19,16 @@ def ioc_csv(iocs: DataFrame) -> DataFrame:
     return iocs.select(*[F.col(c).alias(n) for c, n in zip(("type", "value", "source", "severity", "created_at"), CSV_HEADER, strict=True)]).orderBy("Type", "Valeur")
 
 
-def stix_indicators(iocs: DataFrame, investigation: str = "investigation_id") -> DataFrame:
-    """(investigation_id, id, name, pattern, confidence, labels) of indicators; pattern is null for types without one."""
+def _indicator(investigation: str = "investigation_id") -> list[Column]:
     name = F.concat("type", F.lit(": "), "value")
     identity = F.concat(F.lit("indicator--"), C.uuid5_url(F.concat_ws(":", F.col(investigation), "type", "value")))
     labels = F.when(F.coalesce("severity", F.lit("unknown")) != "unknown", F.array(F.concat(F.lit("severity:"), "severity"))).otherwise(F.array().cast("array<string>"))
-    return iocs.select(F.col(investigation).alias("investigation_id"), identity.alias("id"), name.alias("name"), C.stix_pattern(F.col("type"), F.col("value")).alias("pattern"), C.confidence(F.col("severity")).alias("confidence"), labels.alias("labels"))
+    return [F.col(investigation).alias("investigation_id"), identity.alias("id"), name.alias("name"), C.stix_pattern(F.col("type"), F.col("value")).alias("pattern"), C.confidence(F.col("severity")).alias("confidence"), labels.alias("labels")]
+
+
+def stix_indicators(iocs: DataFrame, investigation: str = "investigation_id") -> DataFrame:
+    """(investigation_id, id, name, pattern, confidence, labels) of indicators; pattern is null for types without one."""
+    return iocs.select(*_indicator(investigation))
 
 
 def stix_bundles(investigations: DataFrame, iocs: DataFrame, now: Column, producer: str = PRODUCER) -> DataFrame:
@@ -35,9 +39,7 @@ def stix_bundles(investigations: DataFrame, iocs: DataFrame, now: Column, produc
     me = F.concat(F.lit("identity--"), C.uuid5_url(F.lit(producer)))
     stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.'000Z'")
     made = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    rows = stix_indicators(iocs).withColumn("source", F.lit(None).cast("string")).select("investigation_id", "id", "name", "pattern", "confidence", "labels")
-    facts = iocs.select(F.col("investigation_id").alias("__i"), F.concat("type", F.lit(": "), "value").alias("__n"), made(F.col("created_at")).alias("created"), F.coalesce("source", F.lit("N/A")).alias("source"))
-    rows = rows.join(facts, (F.col("investigation_id") == F.col("__i")) & (F.col("name") == F.col("__n"))).drop("__i", "__n")
+    rows = iocs.select(*_indicator(), made(F.col("created_at")).alias("created"), F.coalesce("source", F.lit("N/A")).alias("source"))
     parent = investigations.select(F.col("id").alias("__p"), F.coalesce("name", "id").alias("__name"))
     rows = rows.join(parent, F.col("investigation_id") == F.col("__p"))
     text = F.to_json(

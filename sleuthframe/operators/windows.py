@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 
 def sliding_hits(hits: DataFrame, key: str, micros: Column, window_seconds: int, order: str) -> DataFrame:
     """``hits`` plus ``hits_in_window``: hits of the key in the window before and at each one, itself included.
 
     The window is open at its far end (now - t < window).  Hits of one instant count those
-    recorded before them by ``order``, not their later peers.
+    recorded before them by ``order``, not their later peers.  Hits without a time count
+    among themselves.
+
+    Time is cut into blocks as long as the window, and a hit also stands in the block after
+    its own, where it is only looked back at.  So a busy key is spread over as many tasks as
+    it has blocks.
     """
-    timed = hits.withColumn("__t", micros)
-    span = Window.partitionBy(key).orderBy("__t").rangeBetween(-(window_seconds * 1_000_000 - 1), 0)
-    peers = Window.partitionBy(key, "__t")
+    width = window_seconds * 1_000_000
+    block = F.floor(F.col("__t") / F.lit(width))
+    blocks = F.when(F.col("__t").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(block, block + 1))
+    timed = hits.withColumn("__t", micros).select("*", F.posexplode(blocks).alias("__back", "__block"))
+    span = Window.partitionBy(key, "__block").orderBy("__t").rangeBetween(-(width - 1), 0)
+    peers = Window.partitionBy(key, "__block", "__t")
     later = F.count("*").over(peers) - F.row_number().over(peers.orderBy(order))
-    return timed.withColumn("hits_in_window", F.count("*").over(span) - later).drop("__t")
+    return timed.withColumn("hits_in_window", F.count("*").over(span) - later).filter("__back = 0").drop("__t", "__back", "__block")
 
 
 def rate_limited(hits: DataFrame, key: str, micros: Column, window_seconds: int, most: int, order: str) -> DataFrame:
@@ -26,30 +36,37 @@ def rate_limited(hits: DataFrame, key: str, micros: Column, window_seconds: int,
     return sliding_hits(hits, key, micros, window_seconds, order).filter(F.col("hits_in_window") > most)
 
 
-def fixed_window_hits(hits: DataFrame, key: str, micros: Column, ttl_seconds: int, order: str, spread_seconds: int = 86_400) -> DataFrame:
+def fixed_window_hits(hits: DataFrame, key: str, micros: Column, ttl_seconds: int, order: str) -> DataFrame:
     """``hits`` plus ``counter``: a counter that starts at the first hit, lives ttl seconds and isn't prolonged.
 
     A window ends only where its successor starts, which depends on all hits since the key
     has last been silent for the whole ttl.  So a key's hits are cut into sessions at gaps of
-    ttl or more, each of which starts afresh, and a session's instants are folded in order.
-    State is one session of one key.
+    ttl or more, each of which starts afresh; sessions are dealt over the tasks and sorted by
+    Spark, and a task walks its rows once, with the count of one window as its state.  Hits
+    without a time come first in their key and count among themselves.
     """
     ttl = ttl_seconds * 1_000_000
     by_key = Window.partitionBy(key).orderBy("__t", order)
     timed = hits.withColumn("__t", micros)
     start = F.coalesce((F.col("__t") - F.lag("__t").over(by_key) >= ttl).cast("int"), F.lit(1))
+    start = F.when(F.col("__t").isNull(), 0).otherwise(start)
     cut = timed.withColumn("__s", start).withColumn("__s", F.sum("__s").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = cut.groupBy(key, "__s").agg(F.array_sort(F.collect_list(F.struct(F.col("__t").alias("t"), F.col(order).alias("o")))).alias("hits"))
-    zero = F.struct(F.lit(0).cast("long").alias("until"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<o:bigint,n:bigint>>").alias("out"))
+    sorted_hits = cut.withColumn("__g", F.xxhash64(key)).repartition(key, "__s").sortWithinPartitions("__g", key, "__s", "__t", order)
+    schema = StructType([*sorted_hits.drop("__g", "__s", "__t").schema.fields, StructField("counter", LongType())])
+    names = schema.names[:-1]
 
-    def step(state: Column, hit: Column) -> Column:
-        fresh = (state["n"] == 0) | (hit["t"] >= state["until"])
-        n = F.when(fresh, F.lit(1).cast("long")).otherwise(state["n"] + 1)
-        until = F.when(fresh, hit["t"] + ttl).otherwise(state["until"])
-        return F.struct(until.alias("until"), n.alias("n"), F.concat(state["out"], F.array(F.struct(hit["o"].cast("long").alias("o"), n.alias("n")))).alias("out"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, until, n = None, None, 0
+        for batch in batches:
+            counters = []
+            for k, s, t in zip(*(batch.column(c).to_pylist() for c in (key, "__s", "__t")), strict=True):
+                if session != (k, s) or (t is not None and t >= until):
+                    session, until, n = (k, s), None if t is None else t + ttl, 0
+                n += 1
+                counters.append(n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counters, pa.int64())], names=schema.names)
 
-    folded = rows.select(key, F.explode(F.aggregate("hits", zero, step, lambda s: s["out"])).alias("__r")).select(F.col(key).alias("__k"), F.col("__r.o").alias("__o"), F.col("__r.n").alias("counter"))
-    return hits.join(folded, (hits[key] == folded["__k"]) & (hits[order] == folded["__o"])).drop("__k", "__o")
+    return sorted_hits.mapInArrow(count, schema)
 
 
 def last_write(rows: DataFrame, key: Sequence[str], order: str) -> DataFrame:
@@ -63,6 +80,27 @@ def numbered(rows: DataFrame, scope: Sequence[str], order: str, name: str = "id"
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*scope).orderBy(order)))
 
 
+def running_number(rows: DataFrame, keys: Sequence[str], order: str, name: str, block: int = 1 << 20) -> DataFrame:
+    """``rows`` plus ``name``: 1, 2, ... inside each key in the order of ``order``, unique there.
+
+    A whole-number order is cut into blocks of ``block`` values, so a task sorts no more rows
+    of a key than that, however busy the key; rows are counted by block first and a row's
+    number is that in its block plus the counts before.  Only one row a block is summed in
+    order.  Other orders are numbered by key.
+    """
+    if not isinstance(rows.schema[order].dataType, IntegralType):
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("long"))
+    cut = rows.withColumn("__b", F.floor(F.col(order) / F.lit(block)))
+    counts = cut.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), before.alias("__start"))
+    same = F.col("__b").eqNullSafe(F.col("__kb"))
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = cut.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order)).cast("long"))
+    return inside.join(starts, same).withColumn(name, F.col(name) + F.col("__start")).drop("__b", "__start", "__kb", *[f"__k{i}" for i in range(len(keys))])
+
+
 def cumulative_buckets(values: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
     """(le, n): observations at or below each bound, and +Inf; one pass."""
     sums = values.agg(*[F.count_if(F.col(column) <= b).alias(f"b{i}") for i, b in enumerate(bounds)], F.count(column).alias("inf"))

@@ -559,7 +559,58 @@ def stix_confidence(spark, d):
     return _case_iocs(spark, d).groupBy("severity", C.confidence(F.col("severity")).alias("confidence")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _uuid5_sql(name: str) -> str:
+    """Version-5 UUID of a name in the URL namespace, for DuckDB."""
+    h = f"sha1(unhex('{fixed.NAMESPACE_URL}') || encode({name}))"
+    variant = f"substr('89ab', 1 + (instr('0123456789abcdef', substr({h}, 17, 1)) - 1) % 4, 1)"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+def _json_sql(**members: str) -> str:
+    """Text of a JSON object of SQL values that are JSON already, for DuckDB."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in members.items()) + " || '}'"
+
+
+def _text_sql(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+_ME_SQL = f"'identity--' || {_uuid5_sql(f"'{export.PRODUCER}'")}"
+_NOW_SQL, _MADE_SQL, _CHANGED_SQL = (f"'\"{t}\"'" for t in ("2024-02-01T00:00:00.000Z", "2024-01-01 00:00:00", "2024-01-02 00:00:00"))
+_IDENTITY_SQL = _json_sql(type="'\"identity\"'", spec_version="'\"2.1\"'", id=_text_sql(_ME_SQL), created=_NOW_SQL, modified=_NOW_SQL, name=f"'\"{export.PRODUCER}\"'", identity_class="'\"system\"'")
+_INDICATOR_SQL = f"(SELECT *, 'indicator--' || {_uuid5_sql("investigation_id || ':' || type || ':' || value")} AS ref, type || ': ' || value AS name, {_PATTERN_SQL} AS pattern, CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CONFIDENCE_OF.items()) + f" ELSE 50 END AS confidence FROM {_CASE_SQL})"
+_OBJECT_SQL = _json_sql(
+    type="'\"indicator\"'",
+    spec_version="'\"2.1\"'",
+    id=_text_sql("ref"),
+    created=_MADE_SQL,
+    modified=_MADE_SQL,
+    name=_text_sql("name"),
+    description=_text_sql("'IoC detecte dans l''enquete case ' || investigation_id || '. Source: auto-extract'"),
+    indicator_types="'[\"malicious-activity\"]'",
+    pattern=_text_sql("pattern"),
+    pattern_type="'\"stix\"'",
+    valid_from=_MADE_SQL,
+    confidence="confidence",
+    created_by_ref=_text_sql(_ME_SQL) + " || CASE WHEN severity = 'unknown' THEN '' ELSE ',\"labels\":[\"severity:' || severity || '\"]' END",
+)
+_REPORT_SQL = _json_sql(
+    type="'\"report\"'",
+    spec_version="'\"2.1\"'",
+    id=_text_sql("'report--' || id"),
+    created=_MADE_SQL,
+    modified=_CHANGED_SQL,
+    name=_text_sql("'case ' || id"),
+    description="'\"\"'",
+    report_types="'[\"threat-report\"]'",
+    published=_NOW_SQL,
+    object_refs=f"'[' || {_text_sql(_ME_SQL)} || coalesce(refs, '') || ']'",
+    created_by_ref=_text_sql(_ME_SQL),
+)
+
+
+@query(f"""SELECT id AS investigation_id, '{{"type":"bundle","id":"bundle--' || {_uuid5_sql("id")} || '","objects":[' || {_IDENTITY_SQL} || coalesce(objects, '') || ',' || {_REPORT_SQL} || ']}}' AS bundle
+FROM (SELECT CAST(doc_id AS VARCHAR) AS id FROM documents) LEFT JOIN (SELECT investigation_id, string_agg(',' || {_text_sql("ref")}, '' ORDER BY encode(name), ref) AS refs, string_agg(',' || {_OBJECT_SQL}, '' ORDER BY encode(name), ref) FILTER (WHERE pattern IS NOT NULL) AS objects FROM {_INDICATOR_SQL} GROUP BY 1) ON id = investigation_id""")
 def stix_bundle(spark, d):
     inv = R.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("case "), F.col("doc_id").cast("string")).alias("name"), F.lit("").alias("description"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"), F.lit("2024-01-02 00:00:00").cast("timestamp_ntz").alias("updated_at"))
     return export.stix_bundles(inv, _case_iocs(spark, d), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
@@ -671,8 +722,8 @@ def known_addresses(spark, d):
 
 @query(f"SELECT tactic, technique, CAST(count(*) AS BIGINT) AS n, min(value) AS first_value FROM {ioc_sql('pages', 'page_id', 'url')} i JOIN {_IOC_DIM} ON i.type = m.kind GROUP BY 1, 2")
 def attack_ioc_matrix(spark, d):
-    rows = attack.ioc_matrix(_iocs(R.table(spark, d, "pages"), "url", "page_id"))
-    return rows.select("tactic", "technique", F.size("indicators").cast("long").alias("n"), F.array_min(F.transform("indicators", lambda i: i["value"])).alias("first_value"))
+    links = attack.ioc_links(_iocs(R.table(spark, d, "pages"), "url", "page_id"))
+    return links.groupBy("tactic", "technique").agg(F.count("*").alias("n"), F.min("value").alias("first_value"))
 
 
 _ANSWERS_SQL = f"(SELECT value, CAST(doc_id % 101 AS INTEGER) AS confidence_level, 'fam' || (doc_id % 3) AS malware FROM {ioc_sql(R.EVIDENCE_SQL, 'doc_id', 'line', ['ip'])})"

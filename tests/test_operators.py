@@ -1,6 +1,7 @@
 """Detection, ATT&CK, case store, windows and exports on small fixtures."""
 
 import json
+import random
 import uuid
 
 import pytest
@@ -87,8 +88,6 @@ def test_migrated_sessions(spark):
 
 
 def test_sliding_window_equals_replay(spark):
-    import random
-
     rng = random.Random(3)
     rows = sorted((rng.randint(0, 300) * 1_000_000, rng.randint(0, 3), i) for i in range(400))
     rows = [(i, k, t) for i, (t, k, _) in enumerate(rows)]
@@ -139,3 +138,38 @@ def test_connectors(spark):
 def test_top_k_ties_by_first_sight(spark):
     rows = stats.event_counts(events(spark, [(3, {}), (1, {}), (1, {}), (3, {}), (7, {})]), 2).collect()
     assert [(r["event_code"], r["n"]) for r in rows] == [(3, 2), (1, 2)]
+
+
+def test_counters_of_busy_keys(spark):
+    """A busy key over many blocks, ties, times missing and before the epoch, held against plain loops."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), rng.choice([None, *range(-300, 900)])) for i in range(600)]
+    df = spark.createDataFrame([(i, k, None if t is None else t * 1_000_000) for i, k, t in rows], "seq long, k string, t long")
+    sliding, fixed = {}, {}
+    for key in {k for _, k, _ in rows}:
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        until = n = None
+        for i, _, t in mine:
+            if t is None:
+                sliding[i] = sum(u is None and j <= i for j, _, u in mine)
+                fixed[i] = sliding[i]
+                continue
+            sliding[i] = sum(u is not None and t - 60 < u <= t and (u < t or j <= i) for j, _, u in mine)
+            if until is None or t >= until:
+                until, n = t + 60, 0
+            n += 1
+            fixed[i] = n
+    assert {r["seq"]: r["hits_in_window"] for r in windows.sliding_hits(df, "k", F.col("t"), 60, "seq").collect()} == sliding
+    assert {r["seq"]: r["counter"] for r in windows.fixed_window_hits(df, "k", F.col("t"), 60, "seq").collect()} == fixed
+
+
+def test_running_number_in_blocks(spark):
+    df = spark.createDataFrame([(i * 3 - 50, None if i % 7 == 0 else i % 2) for i in range(200)], "seq long, k int")
+    want = {}
+    for i in sorted(r["seq"] for r in df.collect()):
+        key = None if (i + 50) // 3 % 7 == 0 else (i + 50) // 3 % 2
+        want[i] = sum((j + 50) // 3 % 7 == 0 if key is None else (j + 50) // 3 % 7 != 0 and (j + 50) // 3 % 2 == key for j in range(-50, i + 1, 3))
+    for block in (1, 10, 1 << 20):
+        assert {r["seq"]: r["n"] for r in windows.running_number(df, ["k"], "seq", "n", block).collect()} == want
+    by_text = windows.running_number(df.withColumn("seq", F.format_string("%05d", F.col("seq") + 50)), ["k"], "seq", "n")
+    assert sorted(r["n"] for r in by_text.collect()) == sorted(want.values())
