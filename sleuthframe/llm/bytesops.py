@@ -8,6 +8,7 @@ strong final mix; they depend on content only, so they agree between executors.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,14 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK_BYTES = 1 << 19
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: its worker stays on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (public SplitMix64 constants)."""
     x = x ^ (x >> U(30))

@@ -313,9 +313,13 @@ def _measured(docs: DataFrame, path: str, multi: str, names: list[str]) -> DataF
     """Columns ``names`` of ``docs`` and after them the features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = features(batch.column("text"), fertility(path), fertility(multi))
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(f[k], pa.float64() if k in _REAL else pa.int64()) for k in _NAMES)], names=[*names, *(_MARK + k for k in _NAMES)])
+        try:
+            for batch in batches:
+                f = features(batch.column("text"), fertility(path), fertility(multi))
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(f[k], pa.float64() if k in _REAL else pa.int64()) for k in _NAMES)], names=[*names, *(_MARK + k for k in _NAMES)])
+        finally:
+            fertility.cache_clear()
+            B.release()
 
     schema = StructType([*(docs.schema[n] for n in names), *(StructField(_MARK + k, DoubleType() if k in _REAL else LongType()) for k in _NAMES)])
     return docs.mapInArrow(run, schema)
