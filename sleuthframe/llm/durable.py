@@ -23,12 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it: cuts lineage, keeps columnar pruning."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

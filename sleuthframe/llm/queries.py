@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlextract, jaccard, licenses, mixing, quality, secrets, suffixdedup, tokencount, urlfilter
+from . import collocations, decontam, durable, htmlextract, jaccard, licenses, mixing, quality, secrets, suffixdedup, tokencount, tokenfiles, urlfilter, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = durable.folder(spark, "token-files")
+    tokenfiles.write(_table(spark, sf_dir, "documents"), path)
+    return tokenfiles.checksums(spark, path)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_token_files": op11_token_files,
+    "op12_collocations": op12_collocations,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
@@ -83,4 +100,6 @@ SQL: dict[str, str] = {
     "op2_license_scan": licenses.scan_sql(),
     "op4_url_filter": urlfilter.evaluate_sql(),
     "op9_source_mixing": mixing.mix_sql(),
+    "op12_collocations": collocations.mine_sql(),
+    "op13_spelling_variants": variants.group_sql(),
 }
