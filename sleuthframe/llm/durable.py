@@ -1,4 +1,10 @@
-"""Tables that survive the loss of executors: written to the shared checkpoint folder and read again."""
+"""Tables that survive the loss of executors: written to the shared checkpoint folder and read again.
+
+A table belongs to the DataFrames that read it.  ``free`` deletes those that no DataFrame of
+this driver can reach any more, told by a weak reference to the file index that all plans over a
+table share; what can still be read is never deleted, whoever holds it.  The rest goes when the
+driver ends.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Session and weak reference (None for folders that no DataFrame stands for) of each path that is there.
+_written: dict[str, tuple[SparkSession, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,31 +33,49 @@ def shared_dir(spark: SparkSession) -> str:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = (spark, None)
     return path
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it: cuts lineage, keeps columnar pruning."""
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _written[path] = (spark, spark.sparkContext._jvm.java.lang.ref.WeakReference(index))
     out.stored_at = path
+    _drop_unreachable()
     return out
 
 
-def written() -> list[tuple[SparkSession, str]]:
-    """Tables that are there now."""
+def written() -> list[str]:
+    """Paths of the tables that are there now."""
     return list(_written)
 
 
-def discard(tables: list[tuple[SparkSession, str]]) -> None:
-    """Delete tables (of ``written``) that nothing reads any more."""
-    for entry in tables:
-        if entry in _written:
-            _written.remove(entry)
-            _delete(*entry)
+def discard(path: str) -> None:
+    """Delete a table (of ``written``) now: nothing reads it any more."""
+    if path in _written:
+        spark, _ = _written.pop(path)
+        _delete(spark, path)
+
+
+def _drop_unreachable() -> None:
+    for path, (_, index) in list(_written.items()):
+        if index is not None and index.get() is None:
+            discard(path)
+
+
+def free(spark: SparkSession) -> None:
+    """Delete tables that no DataFrame can read any more, and let Spark drop shuffle files of finished steps now.
+
+    Spark does so only when the driver collects garbage, by default twice an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    _drop_unreachable()
 
 
 class Scratch:
@@ -59,15 +84,14 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.tables.append(materialize(df, name))
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.tables.append(materialize(df, name, **options))
         return self.tables[-1]
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete these tables now: nothing reads them any more."""
         for t in tables:
-            _delete(self.spark, t.stored_at)
-            _written.remove((self.spark, t.stored_at))
+            discard(t.stored_at)
         self.tables = [t for t in self.tables if not any(t is d for d in tables)]
 
     def keep(self, *tables: DataFrame) -> None:
@@ -75,12 +99,6 @@ class Scratch:
         self.drop(*[t for t in self.tables if not any(t is k for k in tables)])
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps now: it does so only when the driver collects garbage, by default twice an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -89,7 +107,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _written:
+    for path, (spark, _) in _written.items():
         try:
             _delete(spark, path)
         except Exception:  # the session may have ended: the folder's owner cleans up

@@ -346,7 +346,7 @@ def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCAB
     columns = ["doc_id", *(["lang"] if "lang" in docs.columns else [])]
     measured = _measured(docs.select("text", *columns), f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", columns)
     if bands is None:
-        measured = materialize(measured, "measures")
+        measured = materialize(measured, "measures", compression="zstd")
         bands = _fitted(measured)
     limits = dict(bands)
 
@@ -369,7 +369,7 @@ def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABU
     """
     names, measured = docs.columns, _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", docs.columns)
     if bands is None:
-        measured = materialize(measured, "measures")
+        measured = materialize(measured, "measures", compression="zstd")
         bands = _fitted(measured)
     limits = dict(bands)
 
