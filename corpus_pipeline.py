@@ -6,62 +6,38 @@ the last return the columns of ``docs``; the last returns the mix, with its colu
 Nulls, ties, repeated rows and odd texts have the result that the operator of the stage
 states; an empty table gives an empty one.
 
-A stage's docs are the written result of the stage before, so tables that an earlier stage has
-left in the shared folder are deleted when the next one starts.
+Tables that the operators write belong to the DataFrames that read them.  ``run`` frees those
+of a stage, and the result of the stage before, once its own result is written; a stage that
+is called alone leaves its docs and all others usable, lazy or not.
 """
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sleuthframe.llm import decontam, durable, jaccard, mixing, quality, secrets
-from sleuthframe.llm.durable import materialize
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-def _stage(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``fn``, after the tables of the stage before it are gone."""
-
-    @functools.wraps(fn)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        durable.discard(_left)
-        before = durable.written()
-        out = fn(spark, docs, sf_dir)
-        _left[:] = [t for t in durable.written() if t not in before]
-        return out
-
-    return run
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep(docs)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that hangs together by similarities of 0.8 or more."""
     return jaccard.deduplicate(docs)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked."""
     return secrets.redact(docs)
 
 
-@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by source weights, in training order."""
     return mixing.mix_documents(docs)
@@ -83,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, all stages applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = durable.materialize(stage(spark, docs, sf_dir), name)
+        durable.free(spark)
     return docs
