@@ -77,6 +77,18 @@ def forms(vocabulary: DataFrame, times: int = 5) -> DataFrame:
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(far, F.col("best.word")).alias("form"), F.when(far, best_n).alias("form_n"))
 
 
+def ends(found: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(word, root) of each word of ``forms`` that has a form, by doubling the steps; each round is written."""
+    scratch = scratch or Scratch(found.sparkSession)
+    steps = found.filter("form is not null").select("word", F.col("form").alias("root"))
+    while True:
+        onward = steps.select(F.col("word").alias("__from"), F.col("root").alias("__to"))
+        after = scratch.write(steps.join(onward, F.col("root") == F.col("__from"), "left").select("word", F.coalesce("__to", "root").alias("root"), F.col("__to").isNotNull().alias("moved")), "roots")
+        steps = after.select("word", "root")
+        if not after.filter("moved").limit(1).count():
+            return steps
+
+
 def group(docs: DataFrame, shortest: int = 6, least: int = 5, times: int = 5) -> DataFrame:
     """(word, form, root, n, n_near, form_n): each word, its form and where the forms end.
 
@@ -92,17 +104,7 @@ def group(docs: DataFrame, shortest: int = 6, least: int = 5, times: int = 5) ->
     scratch = Scratch(docs.sparkSession)
     vocabulary = scratch.write(words(docs, shortest, least), "words")
     found = scratch.write(forms(vocabulary, times), "forms")
-    # Only words with a form move; the others are roots already.
-    ends = found.filter("form is not null").select("word", F.col("form").alias("root"))
-    steps = ends
-    while True:
-        onward = steps.select(F.col("word").alias("__from"), F.col("root").alias("__to"))
-        after = scratch.write(steps.join(onward, F.col("root") == F.col("__from"), "left").select("word", F.coalesce("__to", "root").alias("root"), F.col("__to").isNotNull().alias("moved")), "roots")
-        moved = after.filter("moved").limit(1).count()
-        steps = after.select("word", "root")
-        if not moved:
-            break
-    last = steps.select(F.col("word").alias("__w"), "root")
+    last = ends(found, scratch).select(F.col("word").alias("__w"), "root")
     return found.join(last, F.col("word") == F.col("__w"), "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
