@@ -832,3 +832,29 @@ def stream_ttl_counter(spark, d):
 
     counted = live.ttl_counters(_stream(spark, d).select("user_id", "at"), "user_id", "at", 86400)
     return _drained(spark, counted.withColumnRenamed("key", "user_id"), "ttl")
+
+
+@query(f"SELECT seq, user_id, hits_in_window FROM {_SLIDING_SQL}")
+def stream_hits_per_window(spark, d):
+    """The count of ``rate_sliding_window`` at each hit of a stream."""
+    from ..streaming import live
+
+    rows = _stream(spark, d).select(F.col("event_id").alias("seq"), "user_id", "at")
+    with live.state_in_rocksdb(spark):
+        out = _drained(spark, live.hits_per_window(rows, "user_id", "at", 86400, "seq"), "hits")
+    return out.select(F.col("order").alias("seq"), F.col("key").alias("user_id"), "hits_in_window")
+
+
+@query("SELECT 'r_regionkey=' || n_regionkey AS case_name, CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(n_name)) + 1) AS BIGINT) AS bytes, CAST(bit_xor(crc) AS BIGINT) AS content FROM (SELECT *, CAST('0x' || left(md5(n_name || chr(10)), 8) AS BIGINT) AS crc FROM nation) GROUP BY n_regionkey")
+def stream_drop_folder(spark, d):
+    """Nations as files dropped into a folder of each region; a partial copy beside them is left alone."""
+    from ..streaming import live
+
+    path = staging.folder(spark, "inbox")
+    nations = R.table(spark, d, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_name").alias("value"))
+    nations.write.partitionBy("r_regionkey").option("maxRecordsPerFile", 1).text(path)
+    nations.limit(3).select("value").write.text(f"{path}/copying.part")
+    stream = live.drop_folder(spark, path, settle_seconds=0.2).filter("name <> '_SUCCESS'")
+    out = _drained(spark, stream, "dropped")
+    summed = F.bit_xor(F.conv(F.left(F.md5("content"), F.lit(8)), 16, 10).cast("long"))
+    return out.groupBy("case_name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), summed.alias("content"))

@@ -146,17 +146,6 @@ def test_event_log_files_need_a_package(spark, tmp_path):
             binary.read_evtx(binary.read_files(spark, f"{tmp_path}"))
 
 
-def test_drop_folder(spark, tmp_path):
-    inbox = tmp_path / "inbox"
-    (inbox / "incident-web").mkdir(parents=True)
-    for name in ("LISEZMOI.txt", "transfert.part", "evidence.log", "incident-web/a.log"):
-        (inbox / name).write_text("x")
-    seen = []
-    run = live.watch(live.drop_folder(spark, f"file://{inbox}"), lambda df, i: seen.extend((r["name"], r["case_name"]) for r in df.collect()), f"file://{tmp_path}/cp", once=True)
-    run.awaitTermination(60)
-    assert sorted(seen) == [("a.log", "incident-web"), ("evidence.log", "inbox")]
-
-
 def test_line_order_over_splits(spark, tmp_path):
     (tmp_path / "big.log").write_text("".join(f"line {i:07d} {'x' * (i % 50)}\n" for i in range(90_000)))
     (tmp_path / "small.log").write_text("line 0\n")
