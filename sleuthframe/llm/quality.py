@@ -8,14 +8,20 @@ depend on the text's length.  A text that any measure puts outside the band of i
 language has a steady fertility; mojibake, symbol noise, random letters, encoded data and
 tables of fragments don't.
 
-Bands are fitted to the corpus (``fit_bands``): over all documents that pass the base rules,
-the median of each measure by language or script, and ``SPREADS`` robust deviations
-(quartile range / 1.349, at least ``FLOORS``) to its sides.  Each limit is averaged with the
-prior one of ``PRIORS`` as if that had been seen in ``PRIOR_ROWS`` documents, so that a
-language with few documents has a wide band; no labels are used.
+A measure has a noise side and, mostly, a far side.  Few letters a token is random letters,
+encoded data and tables of fragments; a high byte share is mojibake; low entropy is repetition
+and symbol noise.  Only these limits are fitted to the corpus (``bands_of``): over all documents
+that pass the base rules, the median of the measure by language or script, and ``SPREADS``
+robust deviations (quartile range / 1.349, at least ``FLOORS``) towards the noise.  A fitted
+limit is averaged with the prior one of ``PRIORS`` as if that had been seen in ``PRIOR_ROWS``
+documents, and never wider than the prior: a language that is mostly junk doesn't make junk
+the norm.  The far sides stay at the prior, so that natural prose isn't noise in a corpus of
+another kind of text: many letters a token at 5.5, high entropy beyond what a window can have,
+which is no limit, as is a byte share of 0.  No labels are used.
 
 Scale: one pass computes the measures; bands are quantile sketches over those narrow rows,
-merged in Spark, and a bounded table afterwards.  Distinct words of a chunk are tokenised
+merged in Spark into a table of a row a language, which is joined: the most frequent ones
+by broadcast, those beyond ``BROADCAST_BANDS`` by shuffle.  Distinct words of a chunk are tokenised
 once and remembered by hash, up to ``CACHED_WORDS``; then the memory is emptied and filled
 anew, which changes nothing but speed.
 """
@@ -29,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -80,8 +86,10 @@ PRIORS: dict[str, Band] = {
 SPREADS, PRIOR_ROWS = 7.0, 30
 #: Least deviation of each measure, as a share of its median; of the byte share as it is.
 FLOORS = {"piece": 0.025, "multi": 0.025, "byte_share": 0.005, "entropy": 0.01}
-#: Most languages that have a band of their own, the most frequent ones: a bound on what goes to every task.
-MOST_BANDS = 10_000
+#: Rows of the table of bands that are broadcast, those of the most frequent languages; the others are joined by shuffle.
+BROADCAST_BANDS = 10_000
+#: Fitted limits: measure, side (0 least, 1 most); the noise that each is against stands above.
+FITTED = (("piece", 0), ("multi", 0), ("byte_share", 1), ("entropy", 0))
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens", "token_entropy")
 #: Measures of the multilingual vocabulary, and letters and script.
 MORE = ("n_letters", "script", "n_multi_tokens", "n_multi_byte_tokens", "window_entropy")
@@ -244,51 +252,71 @@ def _window_entropy(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1)
 
 
-def measures(f: Mapping[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The measures of ``MEASURES`` of each text."""
-    tokens, multi = np.maximum(f["n_tokens"], 1), np.maximum(f["n_multi_tokens"], 1)
-    return {"piece": f["n_letters"] / tokens, "multi": f["n_letters"] / multi, "byte_share": f["n_multi_byte_tokens"] / multi, "entropy": f["window_entropy"]}
-
-
-def verdicts(f: Mapping[str, np.ndarray], langs: list, bands: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(base_failed, kept, comma-joined measures that are out of their band) of each text."""
-    failed = (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
-    own = [bands.get(k) or bands.get(_fallback(k)) or PRIORS[_fallback(k)] for k in _band_keys(f["script"], langs)]
-    out = {}
-    for name, value in measures(f).items():
-        low, high = np.array([getattr(b, name) for b in own], float).reshape(-1, 2).T
-        out[name] = (value < low) | (value > high)
-    good = ~np.any(list(out.values()), axis=0) if len(own) else np.ones(0, bool)
-    why = [",".join(n for n in MEASURES if out[n][i]) for i in range(len(own))]
-    return failed, ~failed & good, why
-
-
-def _band_keys(scripts: np.ndarray, langs: list) -> list[str]:
-    return [f"script {k}" if k else x or "" for x, k in zip(langs, scripts.tolist(), strict=True)]
-
-
-def _fallback(key: str) -> str:
-    return key if key in PRIORS else ""
-
-
-def fit_bands(scored: DataFrame, spreads: float = SPREADS, prior_rows: int = PRIOR_ROWS) -> dict[str, Band]:
-    """Bands of the languages and scripts of ``scored`` (the columns of ``features`` and lang), from all rows that pass the base rules."""
-    tokens, multi = F.greatest("n_tokens", F.lit(1)), F.greatest("n_multi_tokens", F.lit(1))
-    values: dict[str, Column] = {"piece": F.col("n_letters") / tokens, "multi": F.col("n_letters") / multi, "byte_share": F.col("n_multi_byte_tokens") / multi, "entropy": F.col("window_entropy")}
-    good = scored.filter((F.col("n_words") >= 50) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")))
-    key = F.when(F.col("script") > 0, F.concat(F.lit("script "), F.col("script"))).otherwise(F.coalesce("lang", F.lit("")))
-    table = good.groupBy(key.alias("key")).agg(F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 10_000).alias(k) for k, v in values.items()])
-    out = dict(PRIORS)
-    for r in table.orderBy(F.col("n").desc(), "key").limit(MOST_BANDS).collect():
-        prior, limits = PRIORS[_fallback(r["key"])], {}
-        for name in MEASURES:
-            low, middle, high = r[name]
-            spread = max((high - low) / 1.349, FLOORS[name] * (1.0 if name == "byte_share" else middle))
-            limits[name] = tuple((r["n"] * (middle + side * spreads * spread) + prior_rows * p) / (r["n"] + prior_rows) for side, p in zip((-1, 1), getattr(prior, name), strict=True))
-        out[r["key"]] = Band(**limits)
+def measures(mark: str = "") -> dict[str, Column]:
+    """The measures of ``MEASURES`` from the columns of features."""
+    c = lambda k: F.col(mark + k)
+    tokens, multi = F.greatest(c("n_tokens"), F.lit(1)), F.greatest(c("n_multi_tokens"), F.lit(1))
+    return {"piece": c("n_letters") / tokens, "multi": c("n_letters") / multi, "byte_share": c("n_multi_byte_tokens") / multi, "entropy": c("window_entropy")}
+
+
+def _base_failed(mark: str = "") -> Column:
+    return (F.col(mark + "n_words") < 50) | (100 * F.col(mark + "n_repeat_words") > 50 * F.col(mark + "n_words"))
+
+
+def band_key(lang: Column, script: Column) -> Column:
+    """Whose band a text has: that of its script if it isn't Latin, else of its language."""
+    return F.when(script > 0, F.concat(F.lit("script "), script)).otherwise(F.coalesce(lang, F.lit("")))
+
+
+def _prior(key: Column, measure: str, side: int) -> Column:
+    """The prior limit of a band; languages have that of Latin script."""
+    out = F.lit(float(getattr(PRIORS[""], measure)[side]))
+    for name, band in PRIORS.items():
+        out = F.when(key == name, float(getattr(band, measure)[side])).otherwise(out)
     return out
 
 
+def bands_of(measured: DataFrame, lang: Column, mark: str = "", spreads: float = SPREADS, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """(key, n, <measure>_least, <measure>_most): the bands of the languages and scripts of the texts, fitted to all that pass the base rules."""
+    good = measured.filter(~_base_failed(mark)).select(band_key(lang, F.col(mark + "script")).alias("key"), *[v.alias(k) for k, v in measures(mark).items()])
+    table = good.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(k, [0.25, 0.5, 0.75], 10_000).alias(k) for k in MEASURES])
+    limits = []
+    for m in MEASURES:
+        q = [F.col(m)[i] for i in range(3)]
+        spread = F.greatest((q[2] - q[0]) / 1.349, F.lit(FLOORS[m]) * (F.lit(1.0) if m == "byte_share" else q[1]))
+        for side, name in enumerate(("least", "most")):
+            prior = _prior(F.col("key"), m, side)
+            fitted = (F.col("n") * (q[1] + (2 * side - 1) * spreads * spread) + prior_rows * prior) / (F.col("n") + prior_rows)
+            limits.append(((F.least if side else F.greatest)(fitted, prior) if (m, side) in FITTED else prior).alias(f"{m}_{name}"))
+    return table.select("key", "n", *limits)
+
+
+def band_table(spark: SparkSession, bands: Mapping[str, Band]) -> DataFrame:
+    """Given bands as such a table; their number is that of the caller's own mapping."""
+    names = [f"{m}_{side}" for m in MEASURES for side in ("least", "most")]
+    rows = [(k, 0, *[float(x) for m in MEASURES for x in getattr(b, m)]) for k, b in bands.items()]
+    return spark.createDataFrame(rows, "key string, n long, " + ", ".join(f"{n} double" for n in names))
+
+
+def _outside(mark: str, bands: DataFrame, measured: DataFrame, lang: Column) -> DataFrame:
+    """``measured`` plus ``__out``: comma-joined measures that are out of their band; a key without a band has its prior."""
+    keyed = measured.withColumn("__k", band_key(lang, F.col(mark + "script")))
+    limits = bands.select(F.col("key").alias("__key"), *[F.col(f"{m}_{side}").alias(f"__{m}_{side}") for m in MEASURES for side in ("least", "most")], F.col("n").alias("__n"))
+    if limits.limit(BROADCAST_BANDS + 1).count() <= BROADCAST_BANDS:
+        joined = keyed.join(F.broadcast(limits), F.col("__k") == F.col("__key"), "left")
+    else:
+        # Few languages hold most texts: theirs stay where they are, only the others move.
+        often = limits.orderBy(F.desc("__n"), "__key").limit(BROADCAST_BANDS)
+        first = keyed.join(F.broadcast(often), F.col("__k") == F.col("__key"), "left")
+        rare = first.filter("__key is null").select(*keyed.columns)
+        joined = first.filter("__key is not null").unionByName(rare.join(limits, F.col("__k") == F.col("__key"), "left"))
+    out = []
+    for m, value in measures(mark).items():
+        least, most = (F.coalesce(F.col(f"__{m}_{side}"), _prior(F.col("__k"), m, i)) for i, side in enumerate(("least", "most")))
+        out.append(F.when((value < least) | (value > most), m))
+    return joined.withColumn("__out", F.concat_ws(",", *out)).drop("__k", *limits.columns)
+
+
 def features(column: pa.Array, vocabulary: Fertility, multi: Fertility | None = None) -> dict[str, np.ndarray]:
     """All features of a column of texts, those of ``MORE`` if there is a multilingual vocabulary; a null text has no words."""
     parts: dict[str, list[np.ndarray]] = {k: [np.zeros(0, np.int64)] for k in FEATURES + (MORE if multi else ())}
@@ -325,14 +353,13 @@ def _measured(docs: DataFrame, path: str, multi: str, names: list[str]) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def _fitted(measured: DataFrame) -> dict[str, Band]:
-    lang = F.col("lang").cast("string") if "lang" in measured.columns else F.lit(None).cast("string")
-    return fit_bands(measured.select(lang.alias("lang"), *[F.col(_MARK + k).alias(k) for k in _NAMES]))
-
-
-def _judged(batch: pa.RecordBatch, limits: Mapping[str, Band]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    langs = batch.column("lang").cast(pa.string()).to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
-    return verdicts({k: batch.column(_MARK + k).to_numpy() for k in _NAMES}, langs, limits)
+def _judged(docs: DataFrame, measured: DataFrame, bands: Mapping[str, Band] | None) -> DataFrame:
+    """``measured`` with ``__out``, by the given bands or those fitted to it; without them it is written once, which costs less than tokenising twice."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    if bands is not None:
+        return _outside(_MARK, band_table(docs.sparkSession, bands), measured, lang)
+    measured = materialize(measured, "measures", compression="zstd")
+    return _outside(_MARK, materialize(bands_of(measured, lang, _MARK), "bands"), measured, lang)
 
 
 def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
@@ -345,36 +372,17 @@ def score(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCAB
     """
     columns = ["doc_id", *(["lang"] if "lang" in docs.columns else [])]
     measured = _measured(docs.select("text", *columns), f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", columns)
-    if bands is None:
-        measured = materialize(measured, "measures", compression="zstd")
-        bands = _fitted(measured)
-    limits = dict(bands)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            failed, kept, why = _judged(batch, limits)
-            some = lambda ks: [batch.column(_MARK + k) for k in ks]  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *some(FEATURES[:5]), pa.array(failed), pa.array(kept), pa.array(why, pa.string()), *some(_NAMES[5:])], names=["doc_id", *FEATURES[:5], "base_failed", "kept", "outside", *_NAMES[5:]])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = lambda ks: ", ".join(f"{k} {'double' if k in _REAL else 'long'}" for k in ks)
-    return measured.mapInArrow(run, f"doc_id {kind}, {listed(FEATURES[:5])}, base_failed boolean, kept boolean, outside string, {listed(_NAMES[5:])}")
+    judged = _judged(docs, measured, bands)
+    some = lambda ks: [F.col(_MARK + k).alias(k) for k in ks]
+    failed = _base_failed(_MARK)
+    return judged.select("doc_id", *some(FEATURES[:5]), failed.alias("base_failed"), (~failed & (F.col("__out") == "")).alias("kept"), F.col("__out").alias("outside"), *some(_NAMES[5:]))
 
 
 def keep(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, bands: Mapping[str, Band] | None = None) -> DataFrame:
     """Rows of ``docs`` whose verdict is kept, all columns as they are.
 
-    Without ``bands`` they are fitted to ``docs``: the table is then written once with its
-    measures, which costs less than tokenising twice.  Odd rows and tables as in ``score``.
+    Without ``bands`` they are fitted to ``docs``.  Odd rows and tables as in ``score``.
     """
-    names, measured = docs.columns, _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", docs.columns)
-    if bands is None:
-        measured = materialize(measured, "measures", compression="zstd")
-        bands = _fitted(measured)
-    limits = dict(bands)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select(names).filter(pa.array(_judged(batch, limits)[1]))
-
-    return measured.mapInArrow(run, docs.schema)
+    measured = _measured(docs, f"{tokenizers}/{vocabulary}", f"{tokenizers}/{MULTI}", docs.columns)
+    judged = _judged(docs, measured, bands)
+    return judged.filter(~_base_failed(_MARK) & (F.col("__out") == "")).select(*docs.columns)

@@ -52,8 +52,10 @@ def independent_bands(rows):
             values = sorted(measure(r)[m] for r in own)
             q = [values[max(0, math.ceil(p * len(values)) - 1)] for p in (0.25, 0.5, 0.75)]
             spread = max((q[2] - q[0]) / 1.349, {"piece": 0.025 * q[1], "multi": 0.025 * q[1], "byte_share": 0.005, "entropy": 0.01 * q[1]}[m])
-            prior = {"piece": (1.58, 5.5), "multi": (1.70, 5.5), "byte_share": (0.0, 0.05), "entropy": (4.70, 5.65)}[m]
-            out[lang, m] = tuple((len(own) * (q[1] + side * 7 * spread) + 30 * p) / (len(own) + 30) for side, p in zip((-1, 1), prior, strict=True))
+            low, high = {"piece": (1.58, 5.5), "multi": (1.70, 5.5), "byte_share": (0.0, 0.05), "entropy": (4.70, 5.65)}[m]
+            fitted = [(len(own) * (q[1] + side * 7 * spread) + 30 * p) / (len(own) + 30) for side, p in ((-1, low), (1, high))]
+            # Only the sides of noise are fitted, and never wider than the prior.
+            out[lang, m] = (low if m == "byte_share" else max(low, fitted[0]), min(high, fitted[1]) if m == "byte_share" else high)
     return out
 
 
@@ -88,3 +90,39 @@ def test_window_entropy_does_not_depend_on_length(spark):
     docs = spark.createDataFrame([(n, " ".join([ENGLISH] * n)) for n in (1, 30)], "doc_id long, text string")
     one, many = (r["window_entropy"] for r in quality.score(docs, bands=quality.PRIORS).orderBy("doc_id").collect())
     assert abs(one - many) < 0.1
+
+
+PROSE = {
+    "en": ENGLISH,
+    "de": "Der Gemeinderat hat am Dienstag beschlossen, die alte Brücke über den Fluss im kommenden Frühjahr zu erneuern. Die Arbeiten sollen etwa acht Monate dauern, und der Verkehr wird in dieser Zeit über die nördliche Straße geleitet. Viele Händler in der Innenstadt fürchten, dass weniger Kunden kommen, während Anwohner hoffen, dass es in ihren Straßen endlich ruhiger wird und die Kinder sicherer zur Schule gehen können.",
+    "fr": "Le musée de la ville rouvrira ses portes au mois de septembre après deux années de travaux. Les visiteurs pourront y découvrir une nouvelle salle consacrée aux peintres de la région, ainsi qu'un jardin où l'on servira le thé pendant la belle saison. La directrice a expliqué que le prix des billets ne changerait pas, et que les enfants entreraient toujours gratuitement avec leurs parents.",
+    "es": "La cosecha de este año ha sido mejor de lo que esperaban los agricultores del valle, gracias a las lluvias que llegaron a finales de abril. Sin embargo, muchos de ellos se quejan de que el precio que reciben por la fruta apenas cubre los gastos, y piden al gobierno que ayude a las familias que todavía viven del campo y que no quieren marcharse a la ciudad.",
+}
+
+
+def test_natural_prose_stays_in_a_corpus_of_other_texts(spark):
+    """Letters a token of real prose lie far above this corpus' own; that is no noise."""
+    folder = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    noise = " ".join("".join(random.Random(i).choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for i in range(120))
+    own = spark.createDataFrame([(-i - 1, t, lang) for i, (t, lang) in enumerate([*((t, k) for k, t in PROSE.items()), (noise, "en")])], docs.schema)
+    got = {r["doc_id"]: (r["base_failed"], r["kept"], r["outside"]) for r in quality.score(docs.unionByName(own)).filter("doc_id < 0").collect()}
+    assert all(got[-i - 1] == (False, True, "") for i in range(len(PROSE))), got
+    assert got[-len(PROSE) - 1][1] is False
+
+
+def test_a_language_of_junk_does_not_make_junk_the_norm(spark):
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(90)) for _ in range(60)]
+    docs = spark.createDataFrame([*((i, t, "xx") for i, t in enumerate(junk)), (99, ENGLISH, "xx")], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in quality.keep(docs).collect()] == [99]
+
+
+def test_bands_of_any_number_of_languages(spark, monkeypatch):
+    """Rare languages have their own band too, whether it is broadcast or joined by shuffle."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", F.concat("lang", (F.col("doc_id") % 7).cast("string")).alias("lang"))
+    rows = lambda: sorted((r["doc_id"], r["kept"], r["outside"]) for r in quality.score(docs).collect())
+    want = rows()
+    for bound in (0, 1, 5):
+        monkeypatch.setattr(quality, "BROADCAST_BANDS", bound)
+        assert rows() == want
