@@ -3,8 +3,9 @@
 Three base kinds are matched as written in their patterns.  On top of them, base64 and hex
 candidates are *decoded* and reported only if what is inside parses as something secret: a
 DER private key (PKCS#1, PKCS#8 plain or encrypted, SEC1 or DSA, with nested lengths that add
-up), an OpenSSH private-key container whose fields fill it, or a signed token whose header and
-payload are JSON with an algorithm.  Public keys and certificates parse too, but not as one of
+up) or PKCS#12 container, an OpenSSH private-key container whose fields fill it, a text that holds
+one of these in turn (as base64 of a PEM file does, up to ``DEPTH`` encodings), or a signed token
+whose header and payload are JSON with an algorithm.  Public keys and certificates parse too, but not as one of
 those, and are not reported; nor are candidates that merely look random.
 
 One pass, no shuffle; memory is one Arrow batch.
@@ -34,20 +35,25 @@ _ASSIGN_HINT = re.compile(r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][o
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?![A-Za-z0-9_-])")
 #: Base64 candidates, of either alphabet: a line of 40 characters or more, and lines after it as in PEM bodies, indented or with breaks written as \\n.
 _BASE64_LINE = 40
-_BREAK = r"(?:\r?\n[\x20\t]*|(?:\\r)?\\n)"
+#: Lines may also stand behind the sign of a comment or quotation, or in quotes of their own that are joined.
+_BREAK = r"""(?:(?:\\n)?["'][\x20\t]*[+.,\\]?[\x20\t]*\r?\n[\x20\t]*[+.]?[\x20\t]*["']|\r?\n[\x20\t]*(?:(?:[#*>;]+|//+|--)[\x20\t]+)?|(?:\\r)?\\n)"""
 _BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{_BREAK}[A-Za-z0-9+/]+)*(?:{_BREAK}(?==))?={{0,2}}")
 _BASE64URL = re.compile(rf"[A-Za-z0-9_-]{{40,}}(?:{_BREAK}[A-Za-z0-9_-]+)*(?:{_BREAK}(?==))?={{0,2}}")
-_LINE = re.compile(r"(?<=\\)[nr]([A-Za-z0-9+/_-]+)|(?<!\\)([A-Za-z0-9+/_-]+)")
+_SEPARATOR = re.compile(_BREAK)
+#: Encodings inside each other that are decoded: of a PEM file, of that file once more.
+DEPTH = 3
+_TEXT = re.compile(rb"[\x09\x0A\x0D\x20-\x7E]+")
 #: A key inside a line starts after a sign of paths, with the base64 of a SEQUENCE or of the OpenSSH magic.
 _INNER = re.compile(r"(?<=[/_-])(?:M[A-P]|b3BlbnNzaC1r)")
 _URL_SIGNS = str.maketrans("-_", "+/")
 _OPENSSH = b"openssh-key-v1\x00"
 _HEX_ANY = re.compile(r"[0-9a-fA-F]{48,}")
 _SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
-#: Public keys in one OpenSSH container (its own tools write one), and the private part.
-_MOST_KEYS = 17
-# DER tags, and object identifiers of password-based encryption (PKCS#5, PKCS#12).
+#: Fewest bytes of a public key in an OpenSSH container: lengths, and the shortest kind.
+_LEAST_KEY = 15
+# DER tags, and object identifiers of PKCS#7 contents and of password-based encryption (PKCS#5, PKCS#12).
 _INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
+_CONTENTS = bytes.fromhex("2a864886f70d0107")
 _ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
@@ -93,7 +99,7 @@ def _der_children(data: bytes, start: int, stop: int) -> list[tuple[int, int, in
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER private key that fills the data: PKCS#1, DSA, SEC1, or PKCS#8, plain or encrypted.
+    """A DER private key that fills the data: PKCS#1, DSA, SEC1, or PKCS#8, plain or encrypted; or a PKCS#12 container.
 
     Public keys (of PKCS#1 or with an algorithm and a BIT STRING) and certificates are none.
     """
@@ -117,6 +123,9 @@ def is_der_key(data: bytes) -> bool:
         if tags[1:3] == [_SEQUENCE, _OCTETS]:
             inner = _der_children(data, *parts[1][1:])
             return version in (0, 1) and bool(inner) and inner[0][0] == _OID and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+        if tags[1:] in ([_SEQUENCE], [_SEQUENCE, _SEQUENCE]) and version == 3:
+            inner = _der_children(data, *parts[1][1:])
+            return bool(inner) and inner[0][0] == _OID and data[inner[0][1] : inner[0][2]].startswith(_CONTENTS)
         return False
     if tags == [_SEQUENCE, _OCTETS]:
         inner = _der_children(data, *parts[0][1:])
@@ -178,11 +187,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     out += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
     if "eyJ" in text or "ey" in text and "." in text:
         out += [(m.start(), m.end(), 3) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        out += _base64_keys(text, m.start(), m.end())
-    for m in _BASE64URL.finditer(text):
-        if "-" in m[0] or "_" in m[0]:
-            out += _base64_keys(text, m.start(), m.end())
+    out += _encoded(text, DEPTH)
     for m in _HEX_ANY.finditer(text):
         kind = _key_kind(bytes.fromhex(m[0])) if (m.end() - m.start()) % 2 == 0 else None
         if kind is not None:
@@ -190,6 +195,12 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(set(out), key=lambda x: (x[0], x[2], x[1]))]
 
 
+def _encoded(text: str, depth: int) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of keys in the base64 of a text."""
+    out = [k for m in _BASE64.finditer(text) for k in _base64_keys(text, m.start(), m.end(), depth)]
+    return out + [k for m in _BASE64URL.finditer(text) if "-" in m[0] or "_" in m[0] for k in _base64_keys(text, m.start(), m.end(), depth)]
+
+
 def _key_kind(data: bytes | None) -> int | None:
     if not data:
         return None
@@ -206,25 +217,43 @@ def _end(take: Callable[[int, int], bytes], size: int) -> int | None:
         return None
     # Cipher, key derivation and its options; a number of public keys; these, and the private part.
     at, left = len(_OPENSSH), 3
-    for last in (False, True):
-        while left and at + 4 <= size:
-            at, left = at + 4 + int.from_bytes(take(at, 4), "big"), left - 1
-        if not last:
-            left = int.from_bytes(take(at, 4), "big") + 1 if at + 4 <= size else _MOST_KEYS
-            at += 4
-            if left > _MOST_KEYS:
-                return None
-    return at if not left else None
+    while left and at + 4 <= size:
+        at, left = at + 4 + int.from_bytes(take(at, 4), "big"), left - 1
+    if left or at + 4 > size:
+        return None
+    left, at = int.from_bytes(take(at, 4), "big"), at + 4
+    while left and at + 8 <= size:
+        field = int.from_bytes(take(at, 4), "big")
+        # A public key names a known kind; so what is no container is left after a field or two.
+        if field < _LEAST_KEY or take(at + 8, int.from_bytes(take(at + 4, 4), "big") & 63) not in _SSH_KINDS:
+            return None
+        at, left = at + 4 + field, left - 1
+    if left or at + 4 > size:
+        return None
+    return at + 4 + int.from_bytes(take(at, 4), "big")
+
+
+def _lines(text: str, start: int, stop: int) -> list[tuple[int, int]]:
+    """Spans of a candidate's lines, without what breaks them and without padding."""
+    # The letter of a written break before the first line is none of its own.
+    out, at = [], start + (text[start - 1 : start] == "\\" and text[start] in "nr")
+    for a, b in [*(m.span() for m in _SEPARATOR.finditer(text, start, stop)), (stop, stop)]:
+        end = at + len(text[at:a].rstrip("="))
+        if end > at:
+            out.append((at, end))
+        at = b
+    return out
 
 
-def _base64_keys(text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+def _base64_keys(text: str, start: int, stop: int, depth: int = 1) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the keys in a candidate.
 
     A key starts a line, or stands in one after a path; it ends with a line, which one follows
     from the lengths inside it, so that words on the lines after a key, or another key, are no
-    part of it.
+    part of it.  Lines that decode to a text are searched in turn, ``depth`` encodings in all;
+    they are reported up to the line in which the key inside ends.
     """
-    lines = [m.span(m.lastindex) for m in _LINE.finditer(text, start, stop)]
+    lines = _lines(text, start, stop)
     chars = "".join(text[a:b] for a, b in lines).translate(_URL_SIGNS)
     upto = list(itertools.accumulate((b - a for a, b in lines), initial=0))
     out, i = [], 0
@@ -247,6 +276,8 @@ def _base64_keys(text: str, start: int, stop: int) -> list[tuple[int, int, int]]
             if i < k < len(upto) and upto[k] == first + n and (kind := _key_kind(_unbase64(chars[first : first + n]))) is not None:
                 found = k, (s, stop if k == len(lines) else lines[k - 1][1], kind)
                 break
+        if found is None and depth > 1 and b - a >= _BASE64_LINE:
+            found = _nested(lines, chars, upto, i, stop, depth)
         i += 1
         if found:
             i = found[0]
@@ -254,6 +285,25 @@ def _base64_keys(text: str, start: int, stop: int) -> list[tuple[int, int, int]]
     return out
 
 
+def _nested(lines: list[tuple[int, int]], chars: str, upto: list[int], i: int, stop: int, depth: int) -> tuple[int, tuple[int, int, int]] | None:
+    """A text with keys, encoded from line ``i`` on: the line after it, and (start, end, kind) up to the last key's last line."""
+    head = _unbase64(chars[upto[i] : upto[i] + _BASE64_LINE])
+    if head is None or not _TEXT.fullmatch(head):
+        return None
+    # A wrapped text has lines of one length, but for the last one.
+    width, k = lines[i][1] - lines[i][0], i + 1
+    while k < len(lines) and lines[k - 1][1] - lines[k - 1][0] == width >= lines[k][1] - lines[k][0]:
+        k += 1
+    some = chars[upto[i] : upto[k]]
+    keys = _encoded((_unbase64(some[: len(some) - (len(some) % 4 == 1)]) or b"").decode("latin-1"), depth - 1)
+    if not keys:
+        return None
+    _, end, kind = max(keys, key=lambda x: x[1])
+    last = bisect.bisect_left(upto, upto[i] + -(-4 * end // 3))
+    last = min(max(last, i + 1), k)
+    return last, (lines[i][0], stop if last == len(lines) else lines[last - 1][1], kind)
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
