@@ -7,8 +7,14 @@ by (host, path) in Spark, and every page is extracted anew from the winning path
 A page without that path falls back to the path of its own best container.  All containers
 at the path are the article, which adverts may have cut into parts.
 
+Names mark what isn't the article with care.  A class, id or role that says nothing else
+(``sidebar-left``) is a mark; one that says more (``search-engines``, ``article-social``), or that
+stands beside an article's name, counts only where the element doesn't hold most of the page's
+text.  If hardly any text is left, the one named element that holds nearly all of it is
+the article.  Parts beside the chosen container (a lead) that hold text without links belong to it.
+
 Pages are hostile input: each is read once from left to right.  As in browsers, elements
-deeper than ``DEPTH`` count as siblings; a long path is kept as a digest; closing tags of
+deeper than ``DEPTH`` count as siblings, but keep what marks those that they stand in; a long path is kept as a digest; closing tags of
 elements whose content is passed over are paired once a page, and an element that is never
 closed drops nothing (but for scripts, styles and text areas, whose text is no markup).
 
@@ -66,6 +72,13 @@ _BOILER_WORDS = frozenset(
     " login share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond discussion pagination pager widget widgets"
     " complementary contentinfo search skip outbrain taboola paywall legal copyright hidden".split()
 )
+#: Words that add nothing to such a mark.
+_GENERIC = frozenset(
+    "site page global primary secondary top bottom left right center middle upper lower first last box block blocks wrap wrapper container inner outer area section list item items bar links link slot unit units"
+    " panel form forms button buttons icon icons group zone region module component holder row col column columns cell grid body title heading label text js id the my our view small large mobile desktop fixed sticky main".split()
+)
+#: Names of parts that open an article beside its body.
+_LEADS = frozenset("lead lede intro introduction summary standfirst abstract deck dek".split())
 _ARTICLE_WORDS = frozenset("article post entry story content main body text page".split())
 #: Of those, words of the article's own element, whose header is part of the article.
 _OWN_WORDS = frozenset("article post entry story".split())
@@ -74,15 +87,27 @@ _REMARKS = frozenset("no not has have with without is".split())
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+#: What marks an element as no part of the article: nothing, a name that says more, a plain name, its tag or state.
+_NONE, _WEAK, _NAMED, _SURE = range(4)
+#: Share of a page's unlinked text from which a weak mark is none, and that of a named element which is taken where all else is dropped.
+_MOST, _NEARLY_ALL = 0.5, 0.9
+#: Fewest characters of such an element.
+_LEAST_TEXT = 140
+
+
 @dataclass
 class Node:
     tag: str
     parent: int
     path: str
-    boiler: bool
+    mark: int
     article: bool
     #: Whether it stands in the article's own element.
     inside: bool = False
+    lead: bool = False
+    #: The element that it really stands in, where that is deeper than ``DEPTH``.
+    above: int = -1
+    boiler: bool = False
     score: float = 0.0
 
 
@@ -98,14 +123,39 @@ def _words(value: str) -> list[str]:
     return [w.lower() for w in _NAMES.findall(value)]
 
 
-def _is_boiler(mark: frozenset[str], root: bool, inside: bool) -> bool:
-    """Whether one class, id or role marks what isn't the article; the article's own element only if it is a comment."""
+def _mark_of(mark: frozenset[str], root: bool, inside: bool) -> int:
+    """How surely one class, id or role marks what isn't the article; the article's own element only if it is a comment."""
     if mark & _REMARKS:
-        return False
+        return _NONE
     found = mark & _BOILER_WORDS
-    if root:
-        return bool(found & {"comment", "comments", "reply"})
-    return bool(found - {"header"} if inside else found)
+    found = found & {"comment", "comments", "reply"} if root else found - {"header"} if inside else found
+    return (_WEAK if mark - _BOILER_WORDS - _GENERIC else _NAMED) if found else _NONE
+
+
+def _settle(page: Page) -> None:
+    """Decides for each element whether it is part of the article, now that the texts are known."""
+    nodes, own = page.nodes, [0] * len(page.nodes)
+    for node, text, links in page.blocks:
+        own[node] += max(0, len(text) - links)
+    held, sure = own[:], [False] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i].parent] += held[i]
+    for i, n in enumerate(nodes):
+        sure[i] = n.mark == _SURE or i > 0 and (sure[n.parent] or n.above >= 0 and sure[n.above])
+    total = sum(t for t, s in zip(own, sure, strict=True) if not s)
+
+    def decide(taken: int) -> int:
+        left = 0
+        for i, n in enumerate(nodes):
+            marked = n.mark >= _NAMED or n.mark == _WEAK and held[i] < _MOST * total
+            n.boiler = i != taken and (marked or i > 0 and (nodes[n.parent].boiler or n.above >= 0 and nodes[n.above].boiler))
+            left += 0 if n.boiler else own[i]
+        return left
+
+    if decide(-1) < (1 - _NEARLY_ALL) * total:
+        named = max((i for i, n in enumerate(nodes) if n.mark == _NAMED and not sure[i]), key=lambda i: (held[i], i), default=-1)
+        if named >= 0 and held[named] >= max(_LEAST_TEXT, _NEARLY_ALL * total):
+            decide(named)
 
 
 def _hidden(names: dict[str, str]) -> bool:
@@ -138,7 +188,7 @@ def _pairs(html: str, tag: str) -> dict[int, int]:
 
 def parse(html: str) -> Page:
     """Containers and text blocks of a page; tolerant of unclosed and stray tags.  Takes time in proportion to the page."""
-    page = Page([Node("html", -1, "html", False, False)])
+    page = Page([Node("html", -1, "html", _NONE, False)])
     stack, pieces, links, depth, at, end = [0], [], 0, 0, 0, len(html)
     #: How many open elements have a name; closing tags by name, found when the name is met first; steps of paths.
     opened: Counter[str] = Counter()
@@ -146,6 +196,9 @@ def parse(html: str) -> Page:
     steps: dict[tuple[str, str], str] = {}
     quoted, cdata, last = True, True, html.rfind(">")
     cell: tuple[int, int] | None = None
+    #: Elements that are open beyond ``DEPTH``, and how many of a name.
+    over: list[int] = []
+    over_tags: Counter[str] = Counter()
 
     def emit(parts: list[str], node: int) -> None:
         text = " ".join("".join(parts).split())
@@ -166,6 +219,20 @@ def parse(html: str) -> Page:
         for n in stack[level:]:
             opened[page.nodes[n].tag] -= 1
         del stack[level:]
+        if level < DEPTH and over:
+            over.clear()
+            over_tags.clear()
+
+    def close_over(tag: str) -> bool:
+        """Whether the tag closes an element beyond ``DEPTH`` under the last one."""
+        if over_tags[tag] <= 0 or len(stack) > DEPTH and page.nodes[stack[-1]].tag == tag:
+            return False
+        pop_to(DEPTH)
+        while True:
+            name = page.nodes[over.pop()].tag
+            over_tags[name] -= 1
+            if name == tag:
+                return True
 
     def say(raw: str) -> None:
         nonlocal links
@@ -222,7 +289,8 @@ def parse(html: str) -> Page:
             elif tag == "br":
                 pieces.append(" ")
             elif tag not in _VOID:
-                level = next((i for i in range(len(stack) - 1, 0, -1) if page.nodes[stack[i]].tag == tag), 0) if opened[tag] > 0 else 0
+                deep = bool(over) and close_over(tag)
+                level = next((i for i in range(len(stack) - 1, 0, -1) if page.nodes[stack[i]].tag == tag), 0) if opened[tag] > 0 and not deep else 0
                 if tag in _CELLS:
                     pieces.append(" ")
                 else:
@@ -273,6 +341,8 @@ def parse(html: str) -> Page:
         if tag == "body":
             pop_to(1)
         if len(stack) > DEPTH:
+            over.append(stack[DEPTH])
+            over_tags[page.nodes[stack[DEPTH]].tag] += 1
             pop_to(DEPTH)
         if tag in _CELLS:
             cell = (len(pieces), stack[-1])
@@ -282,18 +352,26 @@ def parse(html: str) -> Page:
         words = frozenset().union(*marks)
         inside = parent.inside or parent.tag == "main"
         root = tag in ("html", "body", "article", "main")
-        boiler = parent.boiler or tag in _BOILER_TAGS or tag == "header" and not inside or _hidden(names)
-        boiler = boiler or tag not in ("html", "body") and any(_is_boiler(w, root, inside) for w in marks)
         own = tag == "article" or "articlebody" in names.get("itemprop", "").lower() or bool(words & _OWN_WORDS) and tag != "body"
         good = tag in ("article", "main") or own or bool(words & _ARTICLE_WORDS) and tag != "body"
+        if tag in _BOILER_TAGS or tag == "header" and not inside or _hidden(names):
+            mark = _SURE
+        elif tag in ("html", "body"):
+            mark = _NONE
+        else:
+            mark = max((_mark_of(w, root, inside) for w in marks), default=_NONE)
+            # Beside the plain name of an article a mark says less.
+            if mark and not root and any(w & _ARTICLE_WORDS and not w - _ARTICLE_WORDS - _GENERIC for w in marks):
+                mark -= 1
         path = parent.path
         if tag in _CONTAINERS and tag != "html":
             step = (path, _label(tag, names.get("class", ""), names.get("id", "")))
             path = steps[step] = steps.get(step) or _step(*step)
-        page.nodes.append(Node(tag, stack[-1], path, boiler, good, inside or own))
+        page.nodes.append(Node(tag, stack[-1], path, mark, good, inside or own, bool(words & _LEADS), over[-1] if over else -1))
         stack.append(len(page.nodes) - 1)
         opened[tag] += 1
     flush()
+    _settle(page)
     return page
 
 
@@ -331,6 +409,43 @@ def votes(page: Page) -> dict[str, float]:
     return out
 
 
+def _below(page: Page, tops: set[int]) -> set[int]:
+    """The elements and what stands in them, less what isn't the article."""
+    out = set(tops)
+    for i in range(min(out) + 1, len(page.nodes)):
+        n = page.nodes[i]
+        if n.parent in out and not n.boiler:
+            out.add(i)
+    return out
+
+
+def _with_siblings(page: Page, chosen: set[int]) -> set[int]:
+    """The chosen containers and the parts beside them that belong to the article.
+
+    Under an element of the article these are all that hold text without links, elsewhere those
+    whose name says that they open it.
+    """
+    parents = {page.nodes[i].parent for i in chosen}
+    if len(parents) != 1 or (parent := parents.pop()) < 0:
+        return chosen
+    up = page.nodes[parent]
+    beside = [i for i, n in enumerate(page.nodes) if n.parent == parent and i not in chosen and not n.boiler and n.tag in _CONTAINERS and (n.lead or up.article and up.tag not in ("body", "html"))]
+    text = {i: [0, 0] for i in beside}
+    if not beside:
+        return chosen
+    root = dict.fromkeys(beside)
+    of = {i: i for i in root}
+    for i in range(min(beside) + 1, len(page.nodes)):
+        n = page.nodes[i]
+        if n.parent in of and not n.boiler and i not in of:
+            of[i] = of[n.parent]
+    for node, block, links in page.blocks:
+        if node in of:
+            text[of[node]][0] += len(block)
+            text[of[node]][1] += links
+    return chosen | {i for i, (size, links) in text.items() if size and 2 * links < size}
+
+
 def text_of(page: Page, path: str | None) -> str:
     """Blocks of the containers at ``path``, or at the path of the page's best container, in page order, one line each.
 
@@ -342,11 +457,8 @@ def text_of(page: Page, path: str | None) -> str:
     if not among:
         return ""
     best = page.nodes[max(among, key=lambda i: (page.nodes[i].score, -i))]
-    inside = {i for i in among if page.nodes[i].path == best.path and (page.nodes[i].score or not best.score)}
-    for i in range(min(inside) + 1, len(page.nodes)):
-        n = page.nodes[i]
-        if n.parent in inside and not n.boiler:
-            inside.add(i)
+    chosen = {i for i in among if page.nodes[i].path == best.path and (page.nodes[i].score or not best.score)}
+    inside = _below(page, _with_siblings(page, chosen))
     return "\n".join(text for node, text, _ in page.blocks if node in inside)
 
 
