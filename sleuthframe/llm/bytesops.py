@@ -9,7 +9,7 @@ strong final mix; they depend on content only, so they agree between executors.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,18 @@ def byte_table(seed: int, lower: bool = False) -> np.ndarray:
     return table
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over the batches of a task, whose worker gives its memory back when the task is done."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 EXACT = byte_table(11)
 LOWER = byte_table(11, lower=True)
 

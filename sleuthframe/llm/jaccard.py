@@ -86,9 +86,12 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 def _parts(sketch: np.ndarray, rows: int) -> np.ndarray:
     """Parts that the list of a shingle is dealt over, by slot: 0 unless the slot has ``rows`` more than the usual one."""
-    counts = 2.0 ** (sketch / 8.0) - 1.0
-    above = counts - np.median(counts)
-    return np.where(above > rows, np.minimum(np.ceil(2 * above / rows), 60_000), 0).astype(np.uint16)
+    # By the sketch's 256 values: arrays of eight bytes a slot would be most of a task's memory.
+    counts = 2.0 ** (np.arange(256) / 8.0) - 1.0
+    upto = np.cumsum(np.bincount(sketch, minlength=256))
+    middle = counts[np.searchsorted(upto, [(len(sketch) - 1) // 2, len(sketch) // 2], "right")].mean()
+    above = counts - middle
+    return np.where(above > rows, np.minimum(np.ceil(2 * above / rows), 60_000), 0).astype(np.uint16)[sketch]
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -147,7 +150,7 @@ def _scan(docs: DataFrame, shingle: int) -> DataFrame:
                 n, empty = len(rows), [pa.nulls(len(rows), t) for t in (id_type, pa.binary(), pa.binary(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*empty, *[pa.nulls(n, pa.int64())] * _SIGNATURE_WORDS, pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(run, f"doc_id {kind.simpleString()}, text_key binary, key binary, n long, signature binary, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)) + ", block int, counts binary")
+    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(B.tidy(run), f"doc_id {kind.simpleString()}, text_key binary, key binary, n long, signature binary, " + ", ".join(f"s{i} long" for i in range(_SIGNATURE_WORDS)) + ", block int, counts binary")
 
 
 def _text_key() -> Column:
@@ -200,7 +203,7 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, shingle: int, threshold: tupl
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(keys, pa.binary()), pa.array(np.concatenate(places)), pa.array(np.concatenate(part)), pa.array(np.concatenate(crossed))], names=["token", "key", "np", "part", "crossed"])
 
-    return docs.select("text").mapInArrow(run, _LIST)
+    return docs.select("text").mapInArrow(B.tidy(run), _LIST)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
@@ -384,7 +387,7 @@ def _bloom_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.clear()
             yield batch.filter(pa.array(good))
 
-    return docs.select(_text_key().alias("text_key"), "text").mapInArrow(test, "text_key binary, text string")
+    return docs.select(_text_key().alias("text_key"), "text").mapInArrow(B.tidy(test), "text_key binary, text string")
 
 
 def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
@@ -397,7 +400,7 @@ def _sets(docs: DataFrame, keys: DataFrame, classes: DataFrame, shingle: int, sc
             out = [s.tobytes() for _, _, data, off in B.chunks(batch.column("text")) for s in B.shingle_sets(data, off, shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.binary())], names=["key", "shingles"])
 
-    return scratch.write(texts.mapInArrow(sets, "key binary, shingles binary"), "sets")
+    return scratch.write(texts.mapInArrow(B.tidy(sets), "key binary, shingles binary"), "sets")
 
 
 def _compared(known: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -418,7 +421,7 @@ def _compared(known: DataFrame, pairs: DataFrame) -> DataFrame:
     left = known.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     right = known.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in columns)
-    return pairs.select(columns).join(left, "a").join(right, "b").mapInArrow(compare, f"{kinds}, na long, nb long, common long")
+    return pairs.select(columns).join(left, "a").join(right, "b").mapInArrow(B.tidy(compare), f"{kinds}, na long, nb long, common long")
 
 
 def _links(common: Column, threshold: tuple[int, int]) -> Column:
@@ -527,7 +530,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
     classes = nodes.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "signature", *folds)])
     classes = scratch.write(classes.withColumn("node", _node(kind)), "classes")
     prefixes = _prefixes(docs, _sketch(scanned.filter("block is not null").select("block", "counts")), shingle, threshold, rows)
-    lists = scratch.write(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(_shared(threshold), f"{_LIST}, others array<binary>"), "lists")
+    lists = scratch.write(prefixes.repartition("token").sortWithinPartitions("token", "np", "key").mapInArrow(B.tidy(_shared(threshold)), f"{_LIST}, others array<binary>"), "lists")
     del prefixes
     free(spark)
 
@@ -542,7 +545,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = T
 
     sides = classes.join(roots.withColumnsRenamed({"node": "__n"}), F.col("node") == F.col("__n"), "left").select("key", F.coalesce("root", "node").alias("root"), *folds)
     rest = _cells(lists.drop("others"), rows, scratch).join(sides, "key").repartition("token").sortWithinPartitions("token", "np", "key")
-    pairs = rest.mapInArrow(_pairs(threshold), "a binary, b binary").distinct()
+    pairs = rest.mapInArrow(B.tidy(_pairs(threshold)), "a binary, b binary").distinct()
     pairs = scratch.write(_possible(pairs, classes, threshold), "pairs")
     free(spark)
     leaders = scratch.write(_leaders(first), "leaders")
