@@ -68,15 +68,23 @@ def read_csv_file(spark, d):
 # --- JSON -----------------------------------------------------------------------------
 
 _JSON_FILES = 16
+#: Rows of one array: the number of files follows the rows.
+_ARRAY_ROWS = 20_000
 
 
-def _json_files(spark, d) -> str:
-    """Arrays of events, one a file; keys differ between them, and one file holds an object, which gives no events."""
+def _items(spark, d) -> DataFrame:
+    """Events as JSON, with ``item``; keys differ between them."""
     e = R.events(spark, d).withColumn("at", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     one = F.to_json(F.struct(F.col("at").alias("timestamp"), F.lit("high").alias("severity"), F.col("event_type").alias("message"), F.col("seq")))
     two = F.to_json(F.struct(F.col("at").alias("created"), F.lit("low").alias("level"), F.col("event_type").alias("description"), F.col("seq")))
-    item = F.when(F.col("k") % 2 == 0, one).otherwise(two)
-    arrays = e.groupBy((F.col("seq") % _JSON_FILES).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    return e.withColumn("item", F.when(F.col("k") % 2 == 0, one).otherwise(two))
+
+
+def _json_files(spark, d) -> str:
+    """Arrays of events, one a file, and a file that holds an object, which gives no events."""
+    item = F.col("item")
+    file = (F.col("seq") % _JSON_FILES) + F.floor(F.col("seq") / (_JSON_FILES * _ARRAY_ROWS)) * (_JSON_FILES + 1)
+    arrays = _items(spark, d).groupBy(file.alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
     other = spark.range(1).select(F.lit(_JSON_FILES).cast("long").alias("file"), F.lit('{"timestamp": "x", "items": []}').alias("value"))
     path = staging.folder(spark, "json")
     arrays.union(other).write.partitionBy("file").text(path)
@@ -92,7 +100,7 @@ def read_json_files(spark, d):
     return rows.select("ts_raw", "severity", "message", F.get_json_object(F.col("data")["item"], "$.seq").cast("long").alias("seq"), "parser")
 
 
-@query(f"SELECT count(*) AS n FROM {_JSON_SQL} WHERE seq // {_JSON_FILES} < 0 UNION ALL SELECT sum(least(n, 20)) FROM (SELECT count(*) AS n FROM {R.EVENTS_SQL} GROUP BY seq % {_JSON_FILES})")
+@query(f"SELECT count(*) AS n FROM {_JSON_SQL} WHERE seq // {_JSON_FILES} < 0 UNION ALL SELECT sum(least(n, 20)) FROM (SELECT count(*) AS n FROM {R.EVENTS_SQL} GROUP BY seq % {_JSON_FILES}, seq // {_JSON_FILES * _ARRAY_ROWS})")
 def read_json_capped(spark, d):
     """The capped reading: the first items of each array; and no events of a file whose root is an object."""
     path = _json_files(spark, d)
@@ -100,6 +108,33 @@ def read_json_capped(spark, d):
     return objects.union(text.read_json(spark, path, max_items=20).agg(F.count("*")))
 
 
+@query(f"SELECT * FROM {_JSON_SQL}")
+def read_json_array(spark, d):
+    """One array of all events, written in parts and put together, read in parallel."""
+    items = _items(spark, d).select(F.concat("item", F.lit(",")).alias("value"))
+    path = _one_file(spark, items, "[", '{"items": [1]}]', "array")
+    rows = text.read_json(spark, path, split=True)
+    return rows.filter("severity <> 'info'").select("ts_raw", "severity", "message", F.get_json_object(F.col("data")["item"], "$.seq").cast("long").alias("seq"), "parser")
+
+
+def _one_file(spark: SparkSession, lines: DataFrame, head: str, tail: str, name: str) -> str:
+    """Lines as one file between two others."""
+    path, out = staging.folder(spark, name), spark.createDataFrame([(head,)], "value string")
+    out.unionByName(lines.select("value")).unionByName(spark.createDataFrame([(tail,)], "value string")).coalesce(1).write.text(path)
+    return path
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_raw, CAST(seq AS BIGINT) AS seq, 'line one of ' || event_type || chr(10) || 'said "x"; line two' || chr(10) || chr(10) || '.' AS note, 'csv' AS parser FROM """ + R.EVENTS_SQL)
+def read_csv_multiline(spark, d):
+    """Cells that hold line ends, quotes and the separator."""
+    note = F.concat(F.lit("line one of "), "event_type", F.lit('\nsaid "x"; line two\n\n.'))
+    rows = R.events(spark, d).select(F.col("seq").cast("string").alias("Record"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Event Time"), note.alias("Note"))
+    path = staging.folder(spark, "csv-cells")
+    rows.write.option("header", True).option("sep", ";").option("escape", '"').csv(path)
+    read = text.read_csv(spark, path, ";", True, multiline=True)
+    return read.select("ts_raw", F.col("data")["Record"].cast("long").alias("seq"), F.col("data")["Note"].alias("note"), "parser")
+
+
 # --- event XML ------------------------------------------------------------------------
 
 
@@ -131,17 +166,25 @@ def read_event_xml_file(spark, d):
     return _xml_columns(text.read_event_xml(spark, path))
 
 
+@query(f"SELECT * EXCLUDE (k), CAST(2 AS INTEGER) AS fields FROM {_XML_SQL}")
+def read_event_xml_pretty(spark, d):
+    """The same records inside a root element, each over many lines."""
+    pretty = F.replace("value", F.lit("><"), F.lit(">\n  <"))
+    path = _one_file(spark, _event_xml(R.events(spark, d)).select(pretty.alias("value")), '<?xml version="1.0"?>\n<Events>', "</Events>", "event-xml")
+    return _xml_columns(text.read_event_xml(spark, path))
+
+
 @query(f"SELECT * EXCLUDE (k), CAST(2 AS INTEGER) AS fields FROM (SELECT * FROM (SELECT * FROM {_XML_SQL} ORDER BY seq LIMIT 250) WHERE event_code IN (4625, 7045) ORDER BY seq LIMIT 50)")
 def read_event_xml_capped(spark, d):
     """Code filter and caps of the reader: so many events, of five times as many records looked at."""
-    one = _event_xml(R.events(spark, d)).orderBy("seq").limit(400).coalesce(1).sortWithinPartitions("seq")
+    one = _event_xml(R.events(spark, d)).coalesce(1).sortWithinPartitions("seq")
     return _xml_columns(text.read_event_xml(spark, _text(spark, one, "event-xml"), codes="4625, 7045, x", max_records=50))
 
 
 @query(f"SELECT * EXCLUDE (k), CAST(3 AS INTEGER) AS fields FROM (SELECT * FROM {_XML_SQL} ORDER BY seq LIMIT 50)")
 def read_event_xml_legacy(spark, d):
     """The legacy form: fifty events, and unnamed data elements kept under a number."""
-    one = _event_xml(R.events(spark, d)).orderBy("seq").limit(400).coalesce(1).sortWithinPartitions("seq")
+    one = _event_xml(R.events(spark, d)).coalesce(1).sortWithinPartitions("seq")
     return _xml_columns(text.read_event_xml(spark, _text(spark, one, "event-xml"), max_records=50, unnamed="data_"))
 
 

@@ -7,6 +7,7 @@ variable-length tail of shortcuts and the SQLite and EVTX containers need Python
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import itertools
 import sqlite3
@@ -22,22 +23,49 @@ from ..functions import columns as C
 from ..functions import fixed
 from .text import envelope, parse_event_xml
 
-#: Files above this size aren't loaded into a row.
-MAX_BYTES = 512 * 1024 * 1024
+#: Files above this size aren't loaded into a row, but digested by chunks of the other size.
+MAX_BYTES, CHUNK_BYTES = 256 << 20, 4 << 20
 
 
-def read_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None) -> DataFrame:
-    """(path, name, modificationTime, length, content) of all files below a folder."""
+def read_files(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, where: Column | None = None) -> DataFrame:
+    """(path, name, modificationTime, length, content) of all files below a folder, or of those that a condition on ``_metadata`` holds for."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).withColumn("name", C.base_name(F.col("path")))
+    files = reader.load(path)
+    return (files if where is None else files.filter(where)).withColumn("name", C.base_name(F.col("path")))
 
 
-def inventory(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(path, name, type, size_bytes, md5, sha1, sha256) of the files of a case, sorted by path."""
-    files = read_files(spark, path)
-    return files.select("path", "name", C.file_type(F.col("name")).alias("type"), F.col("length").alias("size_bytes"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """md5, sha1 and sha256 of files, read once in chunks; memory is one chunk whatever the size."""
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            files, where = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            sums = [hashlib.md5(usedforsecurity=False), hashlib.sha1(usedforsecurity=False), hashlib.sha256()]
+            with files.open_input_file(where) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    for s in sums:
+                        s.update(chunk)
+            out.append([s.hexdigest() for s in sums])
+        sums = [pa.array([o[i] for o in out], pa.string()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "name", "type", "size_bytes")), *sums], names=["path", "name", "type", "size_bytes", "md5", "sha1", "sha256"])
+
+
+def inventory(spark: SparkSession, path: str | Sequence[str], most: int = MAX_BYTES) -> DataFrame:
+    """(path, name, type, size_bytes, md5, sha1, sha256) of the files of a case, sorted by path.
+
+    Files of up to ``most`` bytes are digested by Spark; larger ones, disk images say, by chunks,
+    a file a task.  Their path must be one that Arrow's file systems open.
+    """
+    files = read_files(spark, path).select("path", "name", C.file_type(F.col("name")).alias("type"), F.col("length").alias("size_bytes"), "length", "content")
+    small = files.filter(F.col("length") <= most).select("path", "name", "type", "size_bytes", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
+    # The listing without content: Spark opens none of these.
+    large = files.select("path", "name", "type", "size_bytes").filter(F.col("size_bytes") > most)
+    large = large.repartition("path").mapInArrow(_digests, "path string, name string, type string, size_bytes long, md5 string, sha1 string, sha256 string")
+    return small.unionByName(large).orderBy("path")
 
 
 #: Extensions that may be added to a case.

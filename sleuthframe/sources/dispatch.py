@@ -21,21 +21,22 @@ def reader_of(name):
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Events of all files below ``path``.
 
-    Files are listed once, without their content.  Text readers take their paths; CSV files
-    are sniffed where they are read.  Binary event logs need an optional package.
+    No list of paths leaves Spark: each reader looks at the whole folder under a condition on the
+    file's name, by which Spark leaves the other files out before it reads any.  CSV files are
+    sniffed where they are read.  Binary event logs need an optional package.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", reader_of(C.base_name(F.col("path"))).alias("reader"))
-    by_reader: dict[str, list[str]] = {}
-    for row in listed.collect():
-        by_reader.setdefault(row["reader"], []).append(row["path"])
+    name = F.col("_metadata.file_name")
+    of = lambda reader: reader_of(name) == reader
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    there = {r["reader"] for r in listed.select(reader_of(name).alias("reader")).distinct().collect()}
     parts = []
-    if "log" in by_reader:
-        parts.append(text.read_log(spark, by_reader["log"]))
-    if "json" in by_reader:
-        parts.append(text.read_json(spark, by_reader["json"]))
+    if "log" in there:
+        parts.append(text.read_log(spark, path, where=of("log")))
+    if "json" in there:
+        parts.append(text.read_json(spark, path, where=of("json")))
     for reader, fn in (("csv", binary.csv_events), ("prefetch", binary.prefetch_events), ("lnk", binary.shortcut_events), ("browser", binary.history_events), ("evtx", binary.read_evtx)):
-        if reader in by_reader:
-            parts.append(fn(binary.read_files(spark, by_reader[reader])))
+        if reader in there:
+            parts.append(fn(binary.read_files(spark, path, where=of(reader))))
     out = text.envelope(spark.createDataFrame([], "x int"))
     for p in parts:
         out = out.unionByName(p)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
 from ..operators.timeline import ENVELOPE
+from .split import csv_records, json_items
 
 _SAMPLE = 8192
 
@@ -31,21 +32,37 @@ def _order() -> Column:
     return F.shiftleft(F.floor(F.col("_metadata.file_block_start") / (1 << 20)).cast("long"), 33) + row
 
 
+def split_order() -> Column:
+    """A number that grows with the place in the file, for records that ``split`` has cut: each has a byte at least."""
+    return F.col("block") + F.col("n")
+
+
 def _first_rows(rows: DataFrame, most: int) -> DataFrame:
     """The first rows of each file."""
     nth = F.row_number().over(Window.partitionBy("source_file").orderBy("seq"))
     return rows.withColumn("__n", nth).filter(F.col("__n") <= most).drop("__n")
 
 
-def _lines(spark: SparkSession, path: str | Sequence[str], most: int | None = None) -> DataFrame:
-    """(source_file, seq, value): lines; files are split over tasks.  ``most`` keeps the first lines of each file."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"), "value")
+def _source(spark: SparkSession, where: Column | None) -> DataFrameReader:
+    """A reader, of all files below a folder if only some of them are wanted."""
+    return spark.read if where is None else spark.read.option("recursiveFileLookup", True)
+
+
+def _lines(spark: SparkSession, path: str | Sequence[str], most: int | None = None, where: Column | None = None, separator: str | None = None) -> DataFrame:
+    """(source_file, seq, value): lines, or what stands between separators; files are split over tasks.
+
+    ``most`` keeps the first lines of each file; ``where`` is a condition on ``_metadata`` by which
+    Spark leaves files out before they are read.
+    """
+    reader = _source(spark, where)
+    files = (reader.option("lineSep", separator) if separator else reader).text(path)
+    rows = (files if where is None else files.filter(where)).select(F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"), "value")
     return rows if most is None else _first_rows(rows, most)
 
 
-def read_log(spark: SparkSession, path: str | Sequence[str], max_lines: int | None = None) -> DataFrame:
+def read_log(spark: SparkSession, path: str | Sequence[str], max_lines: int | None = None, where: Column | None = None) -> DataFrame:
     """Envelope of log lines: syslog fields where they parse, else the line itself; blank lines are left out."""
-    lines = _lines(spark, path, max_lines).withColumn("line", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).filter("line <> ''").withColumn("s", C.syslog(F.col("line")))
+    lines = _lines(spark, path, max_lines, where).withColumn("line", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).filter("line <> ''").withColumn("s", C.syslog(F.col("line")))
     plain = F.col("s").isNull()
     return envelope(
         lines,
@@ -85,14 +102,23 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     """Envelope of CSV rows: cells stay strings, time and severity columns are found by name.
 
     ``data`` holds the cells that a row has; short rows have fewer.  Files are split over
-    tasks; with ``multiline`` cells may hold line ends, and a file is one task.
+    tasks, with ``multiline`` too, where quoted cells may hold line ends (``split.csv_records``).
     """
     found = sniff(spark, path) if delimiter is None or header is None else (delimiter, header)
     delimiter, header = delimiter or found[0], found[1] if header is None else header
     raw = spark.read.option("sep", delimiter).option("header", header).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multiline).csv(path)
-    names = raw.columns if header else [f"col_{i}" for i in range(len(raw.columns))]
+    # The multi-line reading leaves the return of a Windows line end at the last name.
+    names = [n.rstrip("\r") for n in raw.columns] if header else [f"col_{i}" for i in range(len(raw.columns))]
     rows = raw.toDF(*[f"c{i}" for i in range(len(names))]) if names else raw
-    cells = rows.select("*", F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"))
+    if multiline:
+        records = csv_records(spark, path, delimiter)
+        if header:
+            records = records.filter("block <> 0 or n <> 0")
+        options = {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
+        parsed = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
+        cells = records.select(parsed.alias("__r"), F.col("file").alias("source_file"), split_order().alias("seq")).select("__r.*", "source_file", "seq")
+    else:
+        cells = rows.select("*", F.col("_metadata.file_path").alias("source_file"), _order().alias("seq"))
     if max_rows is not None:
         cells = _first_rows(cells, max_rows)
     at = {n: F.col(f"c{i}") for i, n in reversed(list(enumerate(names)))}
@@ -111,12 +137,29 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, heade
     )
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], max_items: int | None = None) -> DataFrame:
-    """Envelope of the items of a JSON document whose root is an array; other roots give no events."""
-    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.try_parse_json("value").alias("v"))
-    items = docs.filter(F.schema_of_variant("v").startswith("ARRAY")).select("source_file", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("seq", "item"))
-    if max_items is not None:
-        items = items.filter(F.col("seq") < max_items)
+def _larger(spark: SparkSession, path: str | Sequence[str], where: Column | None) -> bool:
+    """Whether a file is larger than a split, by the listing alone."""
+    files = _source(spark, where).format("binaryFile").load(path)
+    most = (files if where is None else files.filter(where)).agg(F.max("length")).first()[0] or 0
+    size = spark.sql("SET spark.sql.files.maxPartitionBytes").first()["value"]
+    return most > spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(size)
+
+
+def read_json(spark: SparkSession, path: str | Sequence[str], max_items: int | None = None, where: Column | None = None, split: bool | None = None) -> DataFrame:
+    """Envelope of the items of a JSON document whose root is an array; other roots give no events.
+
+    Documents no larger than a split are a row each.  Larger ones, or all with ``split``, are cut
+    into items in parallel (``split.json_items``); seq then grows with the place but is not dense.
+    """
+    if _larger(spark, path, where) if split is None else split:
+        found = json_items(spark, path, where).select(F.col("file").alias("source_file"), split_order().alias("seq"), F.try_parse_json("text").alias("item")).filter("item is not null")
+        items = found if max_items is None else _first_rows(found, max_items)
+    else:
+        docs = _source(spark, where).text(path, wholetext=True)
+        docs = (docs if where is None else docs.filter(where)).select(F.col("_metadata.file_path").alias("source_file"), F.try_parse_json("value").alias("v"))
+        items = docs.filter(F.schema_of_variant("v").startswith("ARRAY")).select("source_file", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("seq", "item"))
+        if max_items is not None:
+            items = items.filter(F.col("seq") < max_items)
     at = lambda key: F.try_variant_get("item", f"$['{key}']", "string")
     first = lambda keys: F.coalesce(*[at(k) for k in keys])
     return envelope(
@@ -174,13 +217,17 @@ def filter_codes(events: DataFrame, wanted: str | None) -> DataFrame:
     return events.filter(F.col("event_code").isin(codes)) if codes else events
 
 
-def read_event_xml(spark: SparkSession, path: str | Sequence[str], codes: str | None = None, max_records: int | None = None, unnamed: str | None = None) -> DataFrame:
-    """Envelope of a text file with one <Event> a line.
+def read_event_xml(spark: SparkSession, path: str | Sequence[str], codes: str | None = None, max_records: int | None = None, unnamed: str | None = None, where: Column | None = None) -> DataFrame:
+    """Envelope of the <Event> elements of text files, however they are laid out: one a line, over several lines, or one after the other.
 
+    Files are split at the elements' ends; of what stands before an end the last start counts.
     ``max_records`` gives the capped reading: five times as many raw records are looked at,
     before the code filter, and so many events returned.
     """
-    lines = _lines(spark, path, None if max_records is None else 5 * max_records).filter(F.col("value").contains("<Event")).withColumnRenamed("value", "xml")
+    ends = _lines(spark, path, None, where, "</Event>").withColumn("xml", F.regexp_extract("value", r"(?s)^.*(<Event[\s>].*)$", 1)).filter("xml <> ''")
+    lines = ends.select("source_file", "seq", F.concat("xml", F.lit("</Event>")).alias("xml"))
+    if max_records is not None:
+        lines = _first_rows(lines, 5 * max_records)
     events = filter_codes(parse_event_xml(lines, unnamed=unnamed), codes)
     return events if max_records is None else _first_rows(events, max_records)
 
