@@ -1,16 +1,21 @@
 """The case store: investigations, artifacts, indicators, timeline as plain Parquet tables.
 
-No ACID table format comes with Spark, so a table is a folder of immutable snapshots
-``v=<n>`` and a change writes the next one from the last: append, insert-or-ignore (anti
-join), upsert (full outer join), delete with cascade (anti join).  Child tables are
-partitioned by the hash slot of their investigation, so one case's rows are read from one
-slot and a rewrite of a case touches nothing else that has to be sorted.
+No ACID table format comes with Spark.  A table is a set of folders, dealt by the hash slot of
+the case (or of the row's own key), and a manifest for each version that lists the folders of
+each slot.  A change writes new folders and then the next manifest: appended rows are a further
+folder of their slots, changed or deleted ones a new folder of just the slots that hold
+them.  Readers keep the manifest that they started with.  Slots of many folders are put together
+by ``compact``, versions that nobody needs any more go with ``expire``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,65 +35,169 @@ SCHEMAS: dict[str, str] = {
 }
 CHILDREN = ("artifacts", "iocs", "timeline_events")
 UNIQUE = {"iocs": ("investigation_id", "type", "value"), "integration_configs": ("connector_id",), "users": ("username",)}
+#: Column whose hash gives a row's slot.
+SLOT_KEYS = {"investigations": "id", "integration_configs": "connector_id", "users": "username", "audit_log": "id"} | dict.fromkeys(CHILDREN, "investigation_id")
 SLOTS = 64
+#: Folders of a slot from which ``compact`` puts it together.
+MANY = 8
 DEFAULT_PAGE, MAX_PAGE = 50, 200
 
 
 class CaseStore:
-    """Snapshot tables under one root folder; a single writer per table."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, table: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
-
-    def read(self, table: str) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
+    """Versioned tables under one root folder; a single writer per table, any number of readers."""
+
+    def __init__(self, spark: SparkSession, root: str, slots: int = SLOTS):
+        self.spark, self.root, self.slots = spark, root.rstrip("/"), slots
+        self._jvm = spark.sparkContext._jvm
+
+    # --- files ---
+
+    def _path(self, *parts: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+
+    @property
+    def _fs(self):
+        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        path = self._path(*parts)
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
+    def versions(self, table: str) -> list[int]:
+        return sorted(int(n[:-5]) for n in self._names(table, "manifests") if n.endswith(".json"))
+
+    def manifest(self, table: str, version: int | None = None) -> dict[int, list[str]]:
+        """Folders of each slot in a version (the last one), oldest first."""
+        there = self.versions(table)
+        if not there:
+            return {}
+        stream = self._fs.open(self._path(table, "manifests", f"{there[-1] if version is None else version:012d}.json"))
+        try:
+            body = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        found = json.loads(body)
+        self.slots = found["slots"]
+        return {int(k): v for k, v in found["folders"].items()}
+
+    def _publish(self, table: str, folders: Mapping[int, list[str]]) -> None:
+        """The next manifest; it is there whole, or not at all if another writer was first."""
+        version = max(self.versions(table), default=0) + 1
+        draft, final = self._path(table, "manifests", f".{uuid.uuid4().hex}"), self._path(table, "manifests", f"{version:012d}.json")
+        out = self._fs.create(draft)
+        out.write(bytearray(json.dumps({"slots": self.slots, "folders": folders}).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError(f"another writer has changed {table}")
+
+    def _store(self, table: str, rows: DataFrame) -> dict[int, str]:
+        """Writes rows as a folder for each slot that they fall into."""
+        name = uuid.uuid4().hex
+        shaped = _fill(rows, SCHEMAS[table], self.spark).withColumn("slot", self._slot(table))
+        # One file a slot, more where a slot is large: the rebalance splits skewed ones.
+        shaped.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/{table}/data/{name}")
+        return {int(n[5:]): f"{name}/{n}" for n in self._names(table, "data", name) if n.startswith("slot=")}
+
+    def _slot(self, table: str) -> Column:
+        return F.pmod(F.hash(SLOT_KEYS[table]), F.lit(self.slots))
+
+    # --- reading ---
+
+    def _load(self, table: str, folders: Mapping[int, list[str]]) -> DataFrame:
+        paths = [f"{self.root}/{table}/data/{f}" for fs in folders.values() for f in fs]
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/v={versions[-1]}")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*paths)
+
+    def read(self, table: str, version: int | None = None, keys: Sequence | None = None) -> DataFrame:
+        """A table, at a version; with ``keys`` (of the slot's column) only their rows, from their slots."""
+        folders = self.manifest(table, version)
+        if keys is None:
+            return self._load(table, folders)
+        wanted = self._slots_of(table, self._keys(table, keys))
+        return self._load(table, {s: f for s, f in folders.items() if s in wanted}).filter(F.col(SLOT_KEYS[table]).isin(list(keys)))
+
+    def _keys(self, table: str, keys: Sequence) -> DataFrame:
+        kind = self.spark.createDataFrame([], SCHEMAS[table]).schema[SLOT_KEYS[table]].dataType.simpleString()
+        return self.spark.createDataFrame([(k,) for k in keys], f"{SLOT_KEYS[table]} {kind}")
+
+    def _slots_of(self, table: str, rows: DataFrame) -> set[int]:
+        """Slots of rows with the slot's column: numbers below ``slots``."""
+        return {r[0] for r in rows.select(self._slot(table)).distinct().collect()}
+
+    # --- changes ---
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """The next snapshot; readers see it when it is complete."""
-        version = max(self._versions(table), default=0) + 1
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMAS[table]).schema])
-        if table in CHILDREN:
-            shaped = shaped.withColumn("slot", F.pmod(F.hash("investigation_id"), F.lit(SLOTS)))
-            # One file a slot, more where a slot is large: the rebalance splits skewed ones.
-            shaped.hint("rebalance", "slot").write.partitionBy("slot").parquet(f"{self.root}/{table}/v={version}")
-        else:
-            shaped.write.parquet(f"{self.root}/{table}/v={version}")
+        """A version of just these rows."""
+        self._publish(table, {s: [f] for s, f in self._store(table, rows).items()})
 
     def append(self, table: str, rows: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(_fill(rows, SCHEMAS[table], self.spark)))
+        """Rows as further folders of their slots; nothing that is there is read or written again."""
+        folders = self.manifest(table)
+        added = self._store(table, rows)
+        self._publish(table, folders | {s: [*folders.get(s, []), f] for s, f in added.items()})
+
+    def _rewrite(self, table: str, slots: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces the rows of some slots by what ``change`` makes of them; others keep their folders."""
+        folders = self.manifest(table)
+        new = self._store(table, change(self._load(table, {s: f for s, f in folders.items() if s in slots})))
+        self._publish(table, {s: f for s, f in folders.items() if s not in slots} | {s: [f] for s, f in new.items()})
 
     def insert_or_ignore(self, table: str, rows: DataFrame, order: str) -> int:
-        """Adds rows whose unique key is new (the first by ``order`` of each); returns how many."""
-        old = self.read(table)
-        fresh = _fill(insert_or_ignore(rows, old, UNIQUE[table], order), SCHEMAS[table], self.spark)
-        count = fresh.count()
-        if count:
-            self.write(table, old.unionByName(fresh))
-        return count
+        """Adds rows whose unique key is new (the first by ``order`` of each); returns how many.  Reads only the slots that they fall into."""
+        folders = self.manifest(table)
+        wanted = self._slots_of(table, rows)
+        old = self._load(table, {s: f for s, f in folders.items() if s in wanted})
+        added = self._store(table, insert_or_ignore(rows, old, UNIQUE[table], order))
+        if not added:
+            return 0
+        self._publish(table, folders | {s: [*folders.get(s, []), f] for s, f in added.items()})
+        return self._load(table, {s: [f] for s, f in added.items()}).count()
 
     def upsert(self, table: str, rows: DataFrame) -> None:
-        """Replaces non-null columns of rows with an equal key and adds the others."""
-        self.write(table, upsert(self.read(table), _fill(rows, SCHEMAS[table], self.spark), UNIQUE.get(table, ("id",))))
+        """Replaces non-null columns of rows with an equal key and adds the others; only slots with changed rows are written."""
+        key = UNIQUE.get(table, ("id",))
+        rows = _fill(rows, SCHEMAS[table], self.spark)
+        if SLOT_KEYS[table] in key:
+            slots = self._slots_of(table, rows)
+        else:
+            # The key doesn't tell the slot: it is that of the rows that are there, or of new ones.
+            at = self.read(table).join(rows.select(*key), list(key), "left_semi")
+            slots = self._slots_of(table, at.select(SLOT_KEYS[table]).union(rows.select(SLOT_KEYS[table])))
+        self._rewrite(table, slots, lambda old: upsert(old, rows, key))
 
     def delete(self, investigation_ids: Sequence[str]) -> None:
-        """Deletes investigations with their artifacts, indicators and timeline."""
-        gone = self.spark.createDataFrame([(i,) for i in investigation_ids], "gone string")
-        self.write("investigations", without(self.read("investigations"), gone, "id"))
-        for table in CHILDREN:
-            self.write(table, without(self.read(table), gone, "investigation_id"))
+        """Deletes investigations with their artifacts, indicators and timeline; only their slots are written."""
+        for table in ("investigations", *CHILDREN):
+            gone = self._keys(table, investigation_ids)
+            if self.versions(table):
+                self._rewrite(table, self._slots_of(table, gone), lambda old, gone=gone.toDF("gone"), table=table: without(old, gone, SLOT_KEYS[table]))
+
+    # --- upkeep ---
+
+    def compact(self, table: str, many: int = MANY) -> int:
+        """Puts slots of ``many`` folders or more together; returns their number."""
+        slots = {s for s, f in self.manifest(table).items() if len(f) >= many}
+        if slots:
+            self._rewrite(table, slots, lambda old: old)
+        return len(slots)
+
+    def expire(self, table: str, keep: int = 2) -> int:
+        """Forgets all but the last ``keep`` versions and deletes the folders that these don't list; returns the number of folders.
+
+        Readers of an older version, and a write that isn't published yet, must have ended.
+        """
+        there = self.versions(table)
+        for v in there[:-keep]:
+            self._fs.delete(self._path(table, "manifests", f"{v:012d}.json"), False)
+        used = {f for v in there[-keep:] for fs in self.manifest(table, v).values() for f in fs}
+        gone = [f"{w}/{n}" for w in self._names(table, "data") for n in self._names(table, "data", w) if n.startswith("slot=") and f"{w}/{n}" not in used]
+        for f in gone:
+            self._fs.delete(self._path(table, "data", f), True)
+        for w in self._names(table, "data"):
+            if not any(n.startswith("slot=") for n in self._names(table, "data", w)):
+                self._fs.delete(self._path(table, "data", w), True)
+        return len(gone)
 
 
 def _fill(rows: DataFrame, schema: str, spark: SparkSession) -> DataFrame:
@@ -130,6 +239,61 @@ def page(rows: DataFrame, number: int = 1, size: int = DEFAULT_PAGE, order: Sequ
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+class PageIndex:
+    """Rows in a total order, dealt by range and written once, so that any page is read from one or two ranges.
+
+    ``path/rows`` holds the rows with the number of their range and their place in it, sorted, so
+    that Parquet's bounds leave out all but the row groups of a page; ``path/ranges`` holds the size of
+    each range, which summed up tells where a page starts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        ranges = spark.read.parquet(f"{self.path}/ranges").orderBy("__range").collect()
+        self.ranges = [r["__range"] for r in ranges]
+        self.ends = list(accumulate(r["n"] for r in ranges))
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str, order: Sequence[Column | str], row_group: int = 4 << 20) -> PageIndex:
+        """Writes the index; ``order`` must end in a unique column."""
+        placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        path = path.rstrip("/")
+        placed.withColumn("__range", F.spark_partition_id()).withColumn("__place", place).write.option("parquet.block.size", row_group).parquet(f"{path}/rows")
+        written = rows.sparkSession.read.parquet(f"{path}/rows")
+        written.groupBy("__range").agg(F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/ranges")
+        return cls(rows.sparkSession, path)
+
+    def page(self, number: int = 1, size: int = DEFAULT_PAGE) -> DataFrame:
+        """One page, as ``page`` gives it."""
+        number, size = max(1, number), min(max(1, size), MAX_PAGE)
+        begin, tests = (number - 1) * size, []
+        i = bisect_right(self.ends, begin)
+        while i < len(self.ends) and (first := self.ends[i - 1] if i else 0) < begin + size:
+            tests.append((F.col("__range") == self.ranges[i]) & F.col("__place").between(max(begin - first, 0), begin + size - first - 1))
+            i += 1
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        found = rows.filter(reduce(lambda a, b: a | b, tests)) if tests else rows.limit(0)
+        return found.orderBy("__range", "__place").drop("__range", "__place")
+
+
+def page_after(rows: DataFrame, last: Mapping[str, object] | None, order: Mapping[str, bool], size: int = DEFAULT_PAGE) -> DataFrame:
+    """The page after the row with the values ``last`` (none: the first page): no row before it is sorted.
+
+    ``order`` maps columns without nulls to whether they ascend; together they are unique.  The
+    bound on the leading column reaches the scan.
+    """
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, up in order.items():
+            value = F.lit(last[name])
+            beyond, equal = beyond | (equal & (F.col(name) > value if up else F.col(name) < value)), equal & (F.col(name) == value)
+        lead, up = next(iter(order.items()))
+        rows = rows.filter(F.col(lead) >= F.lit(last[lead]) if up else F.col(lead) <= F.lit(last[lead])).filter(beyond)
+    by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order.items()]
+    return rows.orderBy(*by).limit(min(max(1, size), MAX_PAGE))
+
+
 def with_child_counts(parents: DataFrame, children: Mapping[str, tuple[DataFrame, str]], key: str = "id") -> DataFrame:
     """Parents with a count of each kind of child; children are counted before the join."""
     out = parents

@@ -360,6 +360,37 @@ def investigations_page(spark, d):
     return casestore.page(R.investigations(spark, d), 2, 5000, [F.desc("number")]).select("id", "name")
 
 
+@query(f"SELECT id, name FROM {R.INVESTIGATIONS_SQL} ORDER BY number DESC LIMIT 100 OFFSET 1000")
+def investigations_deep_page(spark, d):
+    """A page far behind the first, from the index of ranges."""
+    index = casestore.PageIndex.build(R.investigations(spark, d), staging.folder(spark, "pages"), [F.desc("number")])
+    return index.page(11, 100).select("id", "name")
+
+
+@query(f"SELECT id, name FROM {R.INVESTIGATIONS_SQL} WHERE number < (SELECT max(number) FROM {R.INVESTIGATIONS_SQL}) - 50 ORDER BY number DESC LIMIT 200")
+def investigations_next_page(spark, d):
+    """The page after a row that the caller has seen."""
+    rows = R.investigations(spark, d)
+    last = rows.agg(F.max("number") - 50).first()[0]
+    return casestore.page_after(rows, {"number": last}, {"number": False}, 200).select("id", "name")
+
+
+@query(f"""SELECT id, investigation_id, filename, file_size FROM (SELECT id, investigation_id, CASE WHEN id % 10 = 0 THEN 'renamed' ELSE filename END AS filename, file_size FROM {R.ARTIFACTS_SQL}
+    UNION ALL SELECT -id - 1, investigation_id, 'copy', file_size FROM {R.ARTIFACTS_SQL} WHERE id % 7 = 0) WHERE CAST(investigation_id AS BIGINT) % 5 <> 0""")
+def case_store_changes(spark, d):
+    """Artifacts written, appended to, renamed by upsert, and gone with their deleted investigations."""
+    store = casestore.CaseStore(spark, staging.folder(spark, "cases"), slots=8)
+    art = R.artifacts(spark, d)
+    store.append("investigations", R.investigations(spark, d).select("id", "name", "status"))
+    store.append("artifacts", art)
+    store.append("artifacts", art.filter("id % 7 = 0").select((-F.col("id") - 1).alias("id"), "investigation_id", F.lit("copy").alias("filename"), "file_size"))
+    store.upsert("artifacts", art.filter("id % 10 = 0").select("id", F.lit("renamed").alias("filename")))
+    gone = art.select("investigation_id").distinct().filter("cast(investigation_id as long) % 5 = 0")
+    store.delete([r[0] for r in gone.collect()])
+    store.compact("artifacts", 2)
+    return store.read("artifacts").select("id", "investigation_id", "filename", "file_size")
+
+
 @query(f"SELECT i.id, coalesce(a.n, 0) AS artifact_count, coalesce(t.n, 0) AS large_count FROM {R.INVESTIGATIONS_SQL} i LEFT JOIN (SELECT investigation_id, count(*) AS n FROM {R.ARTIFACTS_SQL} GROUP BY 1) a ON i.id = a.investigation_id LEFT JOIN (SELECT investigation_id, count(*) AS n FROM {R.ARTIFACTS_SQL} WHERE file_size > 200000 GROUP BY 1) t ON i.id = t.investigation_id")
 def investigations_with_counts(spark, d):
     art = R.artifacts(spark, d)

@@ -76,6 +76,78 @@ def test_case_store(spark, tmp_path):
     assert store.read("investigations").count() == 2
 
 
+def folders(tmp_path, table):
+    return {str(p.relative_to(tmp_path)) for p in (tmp_path / table / "data").glob("*/slot=*")}
+
+
+def test_case_store_writes_only_slots_that_change(spark, tmp_path):
+    store = casestore.CaseStore(spark, f"file://{tmp_path}", slots=16)
+    cases = [f"case{i}" for i in range(60)]
+    rows = spark.createDataFrame([(k, c, "ip", f"10.0.0.{k}") for k, c in enumerate(cases)], "id long, investigation_id string, type string, value string")
+    store.append("iocs", rows)
+    before, old = folders(tmp_path, "iocs"), store.read("iocs")
+    one = spark.createDataFrame([(99, "case7", "ip", "1.2.3.4"), (98, "case7", "ip", "10.0.0.7")], rows.schema)
+    assert store.insert_or_ignore("iocs", one, "id") == 1
+    assert len(folders(tmp_path, "iocs") - before) == 1
+    # A reader of the version before keeps it, and one case is read from one slot.
+    assert old.count() == 60 and store.read("iocs").count() == 61 and store.read("iocs", version=1).count() == 60
+    assert sorted(r["id"] for r in store.read("iocs", keys=["case7"]).collect()) == [7, 99]
+    assert len({f.split("slot=")[1].split("/")[0] for f in store.read("iocs", keys=["case7"]).inputFiles()}) == 1
+    was = folders(tmp_path, "iocs")
+    store.upsert("iocs", spark.createDataFrame([("case7", "ip", "1.2.3.4", "high")], "investigation_id string, type string, value string, severity string"))
+    assert len(folders(tmp_path, "iocs") - was) == 1
+    assert {r["id"]: r["severity"] for r in store.read("iocs", keys=["case7"]).collect()} == {7: None, 99: "high"}
+    was = folders(tmp_path, "iocs")
+    store.delete(["case7"])
+    assert len(folders(tmp_path, "iocs") - was) <= 1 and store.read("iocs").count() == 59
+
+
+def test_case_store_compacts_and_expires(spark, tmp_path):
+    store = casestore.CaseStore(spark, f"file://{tmp_path}", slots=4)
+    for i in range(5):
+        store.append("audit_log", spark.createDataFrame([(i * 10 + k, "x") for k in range(10)], "id long, action string"))
+    assert max(len(f) for f in store.manifest("audit_log").values()) == 5 and store.compact("audit_log", 3) == 4
+    assert all(len(f) == 1 for f in store.manifest("audit_log").values())
+    assert sorted(r["id"] for r in store.read("audit_log").collect()) == list(range(50))
+    assert store.expire("audit_log", 1) > 10 and len(folders(tmp_path, "audit_log")) == 4
+    assert len(store.versions("audit_log")) == 1 and store.read("audit_log").count() == 50
+
+
+def test_case_store_notices_another_writer(spark, tmp_path):
+    one, two = (casestore.CaseStore(spark, f"file://{tmp_path}") for _ in range(2))
+    rows = spark.createDataFrame([("a", "n")], "id string, name string")
+    one.append("investigations", rows)
+    there = two.versions("investigations")
+    two.versions = lambda table: there[:-1]
+    with pytest.raises(RuntimeError):
+        two.append("investigations", rows)
+
+
+def test_deep_pages_read_a_few_rows(spark, tmp_path):
+    rows = spark.range(0, 400_000, 1, 4).select((F.col("id") * 7919 % 400_009).alias("k"), F.lit("x").alias("v"))
+    index = casestore.PageIndex.build(rows, f"{tmp_path}/i", [F.desc("k")], row_group=1 << 14)
+    want = [r["k"] for r in rows.orderBy(F.desc("k")).select("k").collect()]
+    for number, size in ((1, 40), (10_000, 40), (2_001, 100), (1_999, 200), (2_000, 200), (2_001, 200)):
+        assert [r["k"] for r in index.page(number, size).collect()] == want[(number - 1) * size : number * size]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        page = index.page(7_777, 40)
+        page.collect()
+        scan = page._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() < 4_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_pages_after_a_row(spark):
+    rows = spark.createDataFrame([(i % 7, i) for i in range(100)], "a long, b long")
+    order, last, seen = {"a": False, "b": True}, None, []
+    while page := casestore.page_after(rows, last, order, 9).collect():
+        seen += [(r["a"], r["b"]) for r in page]
+        last = page[-1].asDict()
+    assert seen == sorted(((i % 7, i) for i in range(100)), key=lambda x: (-x[0], x[1]))
+
+
 def test_pages_are_clamped(spark):
     rows = spark.range(300)
     assert casestore.page(rows, 0, 1000, ["id"]).count() == 200
