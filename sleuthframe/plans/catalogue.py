@@ -234,6 +234,19 @@ def rule_match_contains(spark, d):
     return _alerts(spark, d, table=[r for r in fixed.RULES if r[5]]).select("rule_id", "seq")
 
 
+@query(f"""SELECT rule_id, seq FROM {_rules_sql(lambda r: r[7] == 1)} UNION ALL
+    SELECT 'user-' || n, seq FROM {R.EVENTS_SQL} e, (SELECT unnest(range(20)) AS n) WHERE event_code = 1 AND event_type = 'view' AND contains(lower(command_line), lower(CASE n % 4 WHEN 0 THEN 'EncodedCommand' WHEN 1 THEN 'delete shadows' WHEN 2 THEN 'URLCACHE' ELSE 'no such word' END)) AND n % 3 <> 2
+    UNION ALL SELECT 'logon-' || (k % 12), seq FROM {R.EVENTS_SQL} WHERE event_type = 'click'""")
+def rule_match_many(spark, d):
+    """The built-in rules among thousands that users have added: filed by one criterion each."""
+    words = ("EncodedCommand", "delete shadows", "URLCACHE", "no such word")
+    user = [(f"user-{n}", "high", "execution", "T1059", (1 if n % 3 < 2 else 77,), {"command_line": words[n % 4]}, {}, 1) for n in range(20)]
+    user += [(f"logon-{n}", "low", "execution", "T1078", (4624,), {}, {"logon_type": f"0{n}"}, 1) for n in range(12)]
+    user += [(f"other-{n}", "low", "execution", "T1059", (1, 4688), {"command_line": f"tool{n}.exe /run", "image": f"x{n}"}, {}, 1) for n in range(4_000)]
+    plain = [r for r in fixed.RULES if r[7] == 1]
+    return _alerts(spark, d, table=[*plain, *user]).select("rule_id", "seq")
+
+
 @query(f"SELECT rule_id, seq FROM {_rules_sql(lambda r: r[7] > 1)}")
 def rule_threshold_global(spark, d):
     return _alerts(spark, d, table=[r for r in fixed.RULES if r[7] > 1]).select("rule_id", "seq")

@@ -50,6 +50,28 @@ def test_rules_use_an_equi_join(spark):
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
 
 
+def test_ten_thousand_rules_equal_the_plain_join(spark, monkeypatch):
+    """Rules of every kind, filed by one criterion, against the broadcast join; in several automata too."""
+    rng = random.Random(9)
+    word = lambda: rng.choice(["Power", "shell", "SHADOWS", "ü-Tool", "a", "certutil", "no-such-word"]) + rng.choice(["", "", str(rng.randint(0, 3000))])
+    table = []
+    for i in range(10_000):
+        contains = {f: word() for f in rng.sample(["command_line", "image", "service_name", "object_name"], rng.choice([0, 1, 1, 1, 2, 3]))}
+        equals = {"logon_type": rng.choice(["3", "03", "x", "10"])} if rng.random() < 0.2 else {"ticket_encryption": "0X17"} if rng.random() < 0.1 else {}
+        if not contains and not equals and rng.random() < 0.99:
+            contains = {"image": ""}
+        table.append((f"r{i}", "low", "t", "T1", tuple(rng.sample([1, 4624, 4688, 7045], rng.randint(1, 2))), contains, equals, 1))
+    rows = [(rng.choice([1, 4624, 4688, 7045, None]), {"CommandLine": rng.choice(["powershell.exe -x", "vssadmin delete shadows", "Ü-TOOL a certutil12", ""]), "Image": rng.choice(["c:\\power77\\shell", None]), "ServiceName": "PowerService", "LogonType": rng.choice(["3", "10", "x"]), "TicketEncryptionType": "0x17"}) for _ in range(60)]
+    log, rule_table = detect.normalise(events(spark, rows)), detect.rules(spark, table=table)
+    pairs = lambda **k: sorted((r["rule_id"], r["seq"]) for r in detect.match(log, rule_table, **k).select("rule_id", "seq").collect())
+    want = pairs(most=100_000)
+    assert len(want) > 1_000 and pairs() == want
+    plan = detect.match(log, rule_table)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(detect, "WORDS", 700)
+    assert pairs() == want
+
+
 def test_attack(spark):
     out = {r["event_code"]: r["attack"] for r in attack.enrich_events(events(spark, [(4625, {}), (9999, {}), (None, {})])).collect()}
     assert [a["technique"] for a in out[4625]] == ["T1110"] and out[9999] == [] and out[None] is None
