@@ -25,6 +25,18 @@ def find_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
 
 
+def ioc_candidates(text: Column) -> Column:
+    """The distinct parts of a text that may hold an indicator, joined by spaces.
+
+    No indicator holds white space, angle brackets or quotes, and these are word boundaries, so all
+    matches of a text are those of its parts.  One scan cuts it; the eight patterns then see
+    only parts with a full stop, a scheme, 32 hex digits or the letters of a CVE.
+    """
+    parts = F.array_distinct(F.split(text, "(?U)[\\s<>\"']+"))
+    likely = F.filter(parts, lambda p: p.contains(".") | p.contains("://") | (F.length(p) >= 12) & p.rlike("[a-fA-F0-9]{32}|[Cc][Vv][Ee]-"))
+    return F.array_join(likely, " ")
+
+
 def extract_iocs(text: Column, types: Iterable[str] | None = None) -> Column:
     """array<struct(type, value)> of indicators in a text, each type's distinct matches before case folding.
 

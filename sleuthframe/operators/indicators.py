@@ -14,11 +14,13 @@ from ..functions import fixed
 def extract(df: DataFrame, text: str | Column, keys: Sequence[str] = (), types: Sequence[str] | None = None, distinct: bool = True) -> DataFrame:
     """(keys, type, value, source) of every indicator in a text column.
 
-    One scan and one generator for all families.  ``distinct`` folds repeats of a (keys, type,
+    One scan for candidates, and one generator for all families, whose patterns run over the
+    candidates only (``columns.ioc_candidates``).  ``distinct`` folds repeats of a (keys, type,
     value); without it, spellings that differ in case stay apart as rows.
     """
     column = F.col(text) if isinstance(text, str) else text
-    found = df.select(*keys, F.explode(C.extract_iocs(column, types)).alias("__i")).select(*keys, "__i.type", "__i.value", F.lit(fixed.EXTRACTED).alias("source"))
+    likely = df.select(*keys, C.ioc_candidates(column).alias("__c"))
+    found = likely.select(*keys, F.explode(C.extract_iocs(F.col("__c"), types)).alias("__i")).select(*keys, "__i.type", "__i.value", F.lit(fixed.EXTRACTED).alias("source"))
     return found.distinct() if distinct else found
 
 

@@ -90,3 +90,15 @@ def test_times(spark):
 def test_import_outcome(spark):
     rows = spark.createDataFrame([("ip", "1"), ("", "1"), ("ip", " "), ("mutex", "m"), (None, "x")], "type string, value string")
     assert [r[0] for r in rows.select(C.ioc_outcome(F.col("type"), F.col("value"))).collect()] == ["valid", "missing", "missing", "bad_type", "missing"]
+
+
+def test_candidates_hold_all_indicators(spark):
+    """Texts of odd neighbours: the patterns over the candidates find what they find over the text."""
+    import random
+
+    rng = random.Random(2)
+    parts = ["8.8.8.8", "1.2.3.4.5", "evil.com", "Sub.evil-x.ru", "a@b.org", "x.y+z@mail.co.uk", "http://h", "https://a.b/c?d=e", "f" * 32, "A1" * 20, "0" * 64, "b" * 33, "CVE-2024-12345", "cve-1-1", "http", "://", "10.0.0.1", "é.com", "漢evil.net", "word", "<a href=", ">", '"', "'", " ", "\n", "\t", "\u00a0", "\u2003", "\u0085", ",", "(", ")", ".", "-", "_", "@", ";"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(5_000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    sets = lambda c: {r["i"]: {(x["type"], x["value"]) for x in r["x"]} for r in df.select("i", C.extract_iocs(c).alias("x")).collect()}
+    assert sets(C.ioc_candidates(F.col("t"))) == sets(F.col("t"))
