@@ -108,6 +108,20 @@ def read_json_capped(spark, d):
     return objects.union(text.read_json(spark, path, max_items=20).agg(F.count("*")))
 
 
+@query(f"""WITH e AS (SELECT k, user_id % 3 AS tags FROM {R.EVENTS_SQL}), n AS (SELECT CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE k % 2 = 0) AS even, count(*) FILTER (WHERE k % 2 = 1) AS odd, CAST(min(tags) AS INTEGER) AS lo, CAST(max(tags) AS INTEGER) AS hi FROM e)
+    SELECT path, CAST(depth AS INTEGER) AS depth, kind, n, CAST(least AS INTEGER) AS least, CAST(most AS INTEGER) AS most FROM (
+    SELECT '$' AS path, 0 AS depth, 'dict' AS kind, n, 3 AS least, 3 AS most FROM n UNION ALL SELECT '$.deep', 1, 'dict', n, 1, 1 FROM n UNION ALL SELECT '$.deep.a', 2, 'dict', n, 1, 1 FROM n
+    UNION ALL SELECT '$.deep.a.b', 3, 'dict', n, 1, 1 FROM n UNION ALL SELECT '$.deep.a.b.c', 4, 'dict', n, 1, 1 FROM n UNION ALL SELECT '$.deep.a.b.c.d', 5, '...', n, NULL, NULL FROM n
+    UNION ALL SELECT '$.tags', 1, 'list', n, lo, hi FROM n UNION ALL SELECT '$.value', 1, 'int', even, NULL, NULL FROM n WHERE even > 0 UNION ALL SELECT '$.value', 1, 'str', odd, NULL, NULL FROM n WHERE odd > 0)""")
+def read_json_structure(spark, d):
+    """The shape of documents whose fields differ in kind and whose lists differ in length."""
+    value = F.when(F.col("k") % 2 == 0, F.to_json(F.struct(F.col("k").alias("x")))).otherwise(F.lit('{"x":"odd"}'))
+    tags = F.array_join(F.array_repeat(F.lit('"t"'), (F.col("user_id") % 3).cast("int")), ",")
+    doc = F.concat(F.lit('{"value":'), F.regexp_extract(value, r"^..x..(.*).$", 1), F.lit(',"tags":['), tags, F.lit('],"deep":{"a":{"b":{"c":{"d":{"e":1}}}}}}'))
+    lines = spark.read.text(_text(spark, R.events(spark, d).select(doc.alias("value")), "json-lines"))
+    return text.structure(lines.select(F.try_parse_json("value").alias("v")))
+
+
 @query(f"SELECT * FROM {_JSON_SQL}")
 def read_json_array(spark, d):
     """One array of all events, written in parts and put together, read in parallel."""

@@ -185,6 +185,36 @@ def json_structure(value, depth: int = 0, most_depth: int = 5, most_keys: int =
     return type(value).__name__
 
 
+#: Names of kinds by the start of a variant's type.
+_KINDS = (("OBJECT", "dict"), ("ARRAY", "list"), ("BIGINT", "int"), ("STRING", "str"), ("BOOLEAN", "bool"), ("VOID", "NoneType"))
+
+
+def structure(docs: DataFrame, value: str = "v", most_depth: int = 5, most_keys: int = 20) -> DataFrame:
+    """(path, depth, kind, n, least, most): the shape of JSON documents, over all of them.
+
+    ``docs`` has a variant a row.  A path is met by ``n`` values of a kind, which have from ``least`` to
+    ``most`` keys or elements (null for scalars).  Objects are looked into, at most ``most_keys`` of their keys
+    in the order of names, lists are not; from ``most_depth`` on the kind is ``...``.  Each level is one
+    pass over the values of the level before, and counts are combined before they are shuffled.
+    """
+    level, found = docs.filter(F.col(value).isNotNull()).select(F.lit("$").alias("path"), F.col(value).alias("v")), None
+    for depth in range(most_depth + 1):
+        kind = F.schema_of_variant("v")
+        if depth == most_depth:
+            rows = level.select("path", F.lit("...").alias("kind"), F.lit(None).cast("int").alias("size"))
+        else:
+            name = F.coalesce(*[F.when(kind.startswith(k), n) for k, n in _KINDS], F.lit("float"))
+            typed = level.select("path", "v", name.alias("kind"))
+            fields = F.map_entries(F.variant_get("v", "$", "map<string,variant>"))
+            size = F.when(F.col("kind") == "dict", F.size(fields)).when(F.col("kind") == "list", F.size(F.variant_get("v", "$", "array<variant>")))
+            rows = typed.select("path", "kind", size.alias("size"))
+            inner = typed.filter("kind = 'dict'").select("path", F.explode(F.slice(F.array_sort(fields, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)), 1, most_keys)).alias("e"))
+            level = inner.select(F.concat("path", F.lit("."), "e.key").alias("path"), F.col("e.value").alias("v"))
+        counted = rows.groupBy("path", "kind").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).select("path", F.lit(depth).alias("depth"), "kind", "n", "least", "most")
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
 def parse_event_xml(records: DataFrame, xml: str = "xml", unnamed: str | None = None) -> DataFrame:
     """Envelope of event-log records (source_file, seq, xml).
 

@@ -142,3 +142,14 @@ def test_folder_of_evidence_is_listed_in_spark(spark, tmp_path):
     assert sorted(r["parser"] for r in found.select("parser").collect()) == ["csv", "json", "log", "log"]
     logs = text.read_log(spark, str(tmp_path), where=dispatch.reader_of(F.col("_metadata.file_name")) == "log")
     assert {r[0].rsplit("/", 1)[1] for r in logs.select("source_file").distinct().collect()} == {"b.log"}
+
+
+def test_structure_of_documents(spark):
+    docs = ['{"a": 1, "b": {"c": [1, 2], "d": null}}', '{"a": "x", "b": {"c": [], "d": true}}', "[1, 2, 3]", "1.5", "not json", None, '{"a": {"a": {"a": {"a": {"a": {"a": 1}}}}}}']
+    wide = json.dumps({"w": {f"k{i:02d}": i for i in range(30)}})
+    rows = text.structure(spark.createDataFrame([(x,) for x in [*docs, wide]], "j string").select(F.try_parse_json("j").alias("v"))).collect()
+    got = {(r["path"], r["kind"]): (r["depth"], r["n"], r["least"], r["most"]) for r in rows}
+    assert got["$", "dict"] == (0, 4, 1, 2) and got["$", "list"] == (0, 1, 3, 3) and got["$", "float"] == (0, 1, None, None)
+    assert got["$.b.c", "list"] == (2, 2, 0, 2) and got["$.b.d", "NoneType"][1] == got["$.b.d", "bool"][1] == 1 and got["$.a", "int"][1] == got["$.a", "str"][1] == 1
+    assert got["$.a.a.a.a.a", "..."] == (5, 1, None, None) and not any(r["depth"] > 5 for r in rows)
+    assert sum(r["path"].startswith("$.w.") for r in rows) == 20 and ("$.w.k20", "int") not in got and got["$.w", "dict"][2:] == (30, 30)
