@@ -137,6 +137,30 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("line"))
 
 
+def _labelled(name: str, labels: Sequence[str]) -> Column:
+    """``name{a="x",b="y"}``; backslashes, quotes and line ends of values are escaped."""
+    escaped = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    if not labels:
+        return F.lit(name)
+    return F.concat(F.lit(name + "{"), F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels]), F.lit("}"))
+
+
+def prometheus_counter(rows: DataFrame, name: str, help_text: str, labels: Sequence[str] = (), kind: str = "counter") -> DataFrame:
+    """Text lines of a Prometheus counter of rows by their labels, or of a gauge; without labels one line, 0 for no rows."""
+    counts = rows.groupBy(*labels).agg(F.count("*").alias("__n"))
+    head = rows.sparkSession.createDataFrame([(f"# HELP {name} {help_text}",), (f"# TYPE {name} {kind}",)], "line string")
+    return head.unionByName(counts.select(F.concat(_labelled(name, labels), F.lit(" "), F.col("__n").cast("string")).alias("line")))
+
+
+def session_json(iocs: DataFrame) -> DataFrame:
+    """(id, session): the session document of each case, its indicators as sorted lists under the old keys; other types are left out."""
+    old = {new: key for key, new in fixed.SESSION_KEYS.items()}
+    named = iocs.withColumn("__key", C.lookup(F.col("type"), old)).filter("__key is not null and value is not null")
+    lists = named.groupBy("investigation_id", "__key").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    cases = lists.groupBy("investigation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__key", "values")))).alias("iocs"))
+    return cases.select(F.col("investigation_id").alias("id"), F.to_json(F.struct("iocs")).alias("session"))
+
+
 def prometheus_histogram(values: DataFrame, column: str, name: str, bounds: Sequence[float] = fixed.LATENCY_BUCKETS) -> DataFrame:
     """Text lines of a Prometheus histogram."""
     from .windows import cumulative_buckets

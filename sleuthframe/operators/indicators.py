@@ -40,6 +40,12 @@ def import_accounting(rows: DataFrame, existing: DataFrame, keys: Sequence[str]
     return counts.filter("outcome <> 'valid'").unionByName(imported.select(F.lit("imported").alias("outcome"), "n")).unionByName(duplicate).filter("n > 0")
 
 
+def import_errors(rows: DataFrame, order: Sequence[str], most: int = 10) -> DataFrame:
+    """(number, error): the first errors of an import, in the order of its rows: types that don't exist."""
+    bad = classify(rows).filter("outcome = 'bad_type'").orderBy(*order).limit(most)
+    return bad.select(F.row_number().over(Window.orderBy(*order)).alias("number"), F.concat(F.lit("Type invalide: "), "type").alias("error"))
+
+
 def insert_or_ignore(rows: DataFrame, existing: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows whose key is new: of equal keys the first by ``order``, none that ``existing`` has."""
     first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("__n = 1").drop("__n")

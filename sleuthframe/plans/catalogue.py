@@ -902,3 +902,47 @@ def stream_drop_folder(spark, d):
     out = _drained(spark, stream, "dropped")
     summed = F.bit_xor(F.conv(F.left(F.md5("content"), F.lit(8)), 16, 10).cast("long"))
     return out.groupBy("case_name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), summed.alias("content"))
+
+
+# --- further exports and checks ---------------------------------------------------------
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS number, 'Type invalide: ' || type AS error FROM (SELECT doc_id, 'kind' || (doc_id % 3) AS type FROM documents WHERE doc_id % 3 <> 0 ORDER BY doc_id LIMIT 10)")
+def ioc_import_errors(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, F.lit("ip")).otherwise(F.concat(F.lit("kind"), (F.col("doc_id") % 3).cast("string")))
+    rows = R.table(spark, d, "documents").select("doc_id", kind.alias("type"), F.lit("x").alias("value"))
+    return indicators.import_errors(rows, ["doc_id"])
+
+
+@query(f"""SELECT '# HELP events_total Events by type' AS line UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT 'events_total{{event_type="' || event_type || '",odd="\\\\' || (user_id % 2) || '"}} ' || count(*) FROM events GROUP BY event_type, user_id % 2
+    UNION ALL SELECT '# HELP investigations_active Active cases' UNION ALL SELECT '# TYPE investigations_active gauge' UNION ALL SELECT 'investigations_active ' || count(*) FROM {R.INVESTIGATIONS_SQL} WHERE status = 'active'""")
+def prometheus_counters(spark, d):
+    rows = R.events(spark, d).withColumn("odd", F.concat(F.lit("\\"), (F.col("user_id") % 2).cast("string")))
+    counter = export.prometheus_counter(rows, "events_total", "Events by type", ["event_type", "odd"])
+    active = R.investigations(spark, d).filter("status = 'active'")
+    return counter.unionByName(export.prometheus_counter(active, "investigations_active", "Active cases", kind="gauge"))
+
+
+@query("SELECT DISTINCT 'c' || (o_custkey % 50) AS investigation_id, CASE o_orderkey % 2 WHEN 0 THEN 'ip' ELSE 'domain' END AS type, 'v' || (o_orderkey % 400) || '\"' AS value FROM orders")
+def session_documents(spark, d):
+    """Indicators written as session documents and migrated back."""
+    o = R.table(spark, d, "orders")
+    rows = o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("investigation_id"), F.when(F.col("o_orderkey") % 2 == 0, "ip").otherwise("domain").alias("type"), F.concat(F.lit("v"), (F.col("o_orderkey") % 400).cast("string"), F.lit('"')).alias("value"))
+    written = export.session_json(rows)
+    read = written.select("id", F.from_json("session", "iocs map<string,array<string>>")["iocs"].alias("iocs"))
+    return casestore.migrate_sessions(read).select("investigation_id", "type", "value")
+
+
+@query("""SELECT '{"seq":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS line FROM events""")
+def json_log_lines(spark, d):
+    return export.json_lines(R.events(spark, d).select("seq", "event_type", "user_id"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AS valid FROM documents")
+def uuid_checks(spark, d):
+    """Identifiers of three forms, one of which is a UUID."""
+    h = F.md5(F.col("doc_id").cast("string"))
+    part = lambda a, n: F.substring(h, a, n)
+    good = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
+    forms = F.when(F.col("doc_id") % 3 == 0, F.upper(good)).when(F.col("doc_id") % 3 == 1, h).otherwise(F.concat(good, F.lit("\n")))
+    return R.table(spark, d, "documents").select("doc_id", C.is_uuid(forms).alias("valid"))

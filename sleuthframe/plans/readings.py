@@ -235,3 +235,55 @@ def read_inventory(spark, d):
 @query(f"SELECT count(*) AS files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS size_bytes FROM {_FILE_SQL}")
 def read_folder_size(spark, d):
     return stats.folder_size(binary.inventory(spark, _nation_files(spark, d)))
+
+
+# --- binary evidence --------------------------------------------------------------------
+
+_hex = lambda c: F.hex(F.encode(c, "UTF-16LE"))
+_number = lambda n, size: F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(size)])
+
+
+@query("SELECT n_name || '.EXE' AS executable, upper(lpad(hex(n_nationkey * 7 + 1), 8, '0')) AS hash, CAST(n_nationkey + 3 AS BIGINT) AS run_count FROM nation WHERE n_nationkey % 5 <> 4")
+def read_prefetch(spark, d):
+    """Prefetch files of two versions; some are compressed or no such file and are left out."""
+    n, key = R.table(spark, d, "nation"), F.col("n_nationkey").cast("long")
+    new = key % 2 == 1
+    head = F.concat(F.when(new, _number(F.lit(26).cast("long"), 4)).otherwise(_number(F.lit(17).cast("long"), 4)), F.lit("53434341"), F.lit("00" * 8), F.rpad(_hex(F.concat("n_name", F.lit(".EXE"))), 120, "0"), _number(key * 7 + 1, 4))
+    body = F.concat(F.rpad(head, 2 * 0x98, "0"), F.when(new, F.lit("")).otherwise(_number(key + 3, 4)))
+    content = F.unhex(F.when(key % 10 == 4, F.lit("4D414D04" + "00" * 60)).when(key % 10 == 9, F.lit("00" * 90)).otherwise(F.when(new, F.concat(F.rpad(body, 2 * 0xD0, "0"), _number(key + 3, 4))).otherwise(body)))
+    events = binary.prefetch_events(n.select("n_name", content.alias("content"), F.col("n_name").alias("path")))
+    return events.select(F.col("process").alias("executable"), F.col("data")["hash"].alias("hash"), F.col("data")["run_count"].cast("long").alias("run_count"))
+
+
+@query("SELECT 'C:\\tools\\' || n_name || '.exe' AS target_path, CASE WHEN n_nationkey % 3 = 0 THEN 'powershell -Enc x' ELSE '/run ' || n_nationkey END AS arguments, CASE WHEN n_nationkey % 3 = 0 THEN 'high' ELSE 'low' END AS severity FROM nation WHERE n_nationkey % 7 <> 6")
+def read_shortcuts(spark, d):
+    """Shortcuts with a path and arguments, some of them suspicious; others of a wrong class are left out."""
+    n, key = R.table(spark, d, "nation"), F.col("n_nationkey").cast("long")
+    string = lambda c: F.concat(_number(F.length(c).cast("long"), 2), _hex(c))
+    target = F.concat(F.lit("C:\\tools\\"), "n_name", F.lit(".exe"))
+    arguments = F.when(key % 3 == 0, F.lit("powershell -Enc x")).otherwise(F.concat(F.lit("/run "), key.cast("string")))
+    clsid = F.when(key % 7 == 6, F.lit("00" * 16)).otherwise(F.lit(fixed.LNK_CLSID))
+    content = F.unhex(F.concat(F.lit("4C000000"), clsid, F.lit("A8000000"), F.lit("00" * 52), string(target), string(arguments)))
+    events = binary.shortcut_events(n.select(content.alias("content"), F.col("n_name").alias("path")))
+    return events.select(F.col("data")["target_path"].alias("target_path"), F.col("data")["arguments"].alias("arguments"), "severity")
+
+
+@query(f"SELECT event_type AS kind, CAST(3 - CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS cells, count(*) AS n FROM {R.EVENTS_SQL} GROUP BY 1, 2")
+def read_tool_output(spark, d):
+    """CSV files of an external tool: empty cells are left out."""
+    e = R.events(spark, d)
+    path = staging.folder(spark, "tool")
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TimeCreated"), F.col("event_type").alias("Kind"), F.when(F.col("k") % 2 == 0, F.col("user_id").cast("string")).alias("User"))
+    rows.write.option("header", True).csv(path)
+    read = text.read_tool_output(spark, path)
+    return read.groupBy(F.col("data")["Kind"].alias("kind"), F.size("data").alias("cells")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'd_' || doc_id || '.log' AS original_filename, '20240102_030405_d_' || doc_id || '.log' AS filename, CAST(octet_length(encode(text)) AS BIGINT) AS file_size, md5(text) AS file_hash_md5, sha256(text) AS file_hash_sha256, 'log' AS file_type FROM documents WHERE doc_id % 2 = 0")
+def artifact_ingest(spark, d):
+    """Uploads: files of allowed kinds under unique names, with their digests."""
+    docs, even = R.table(spark, d, "documents"), F.col("doc_id") % 2 == 0
+    name = F.concat(F.when(even, F.lit("d ")).otherwise(F.lit("e")), F.col("doc_id").cast("string"), F.when(even, F.lit(".log")).otherwise(F.lit(".exe")))
+    files = docs.select(F.concat(F.lit("/up/"), name).alias("path"), name.alias("name"), F.octet_length("text").cast("long").alias("length"), F.col("text").cast("binary").alias("content"))
+    rows = binary.ingest(files, "case", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return rows.select(F.replace("original_filename", F.lit(" "), F.lit("_")).alias("original_filename"), "filename", "file_size", "file_hash_md5", "file_hash_sha256", "file_type")
