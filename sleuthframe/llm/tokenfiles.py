@@ -43,7 +43,7 @@ END = 2
 #: Bytes of a row group and of a page before compression.
 ROW_GROUP, PAGE = 32 << 20, 128 << 10
 #: Bytes of text worked on at once, distinct pieces after which the older half is forgotten, and characters of the longest one remembered.
-CHUNK, CACHED, CACHED_BYTES = 8 << 20, 300_000, 48
+CHUNK, CACHED, CACHED_BYTES = 4 << 20, 250_000, 48
 
 _VISIBLE = np.ones(256, bool)
 _VISIBLE[:33] = _VISIBLE[127] = False
@@ -151,10 +151,15 @@ class Encoder:
         each = size[index]
         total = np.concatenate(([0], np.cumsum(each)))
         first = np.searchsorted(starts, off)
-        text = np.repeat(np.arange(len(off) - 1), np.diff(first))
         out = np.full(total[-1] + len(off) - 1, end, np.int32)
-        steps = np.arange(total[-1])
-        out[steps + np.repeat(text, each)] = flat[steps + np.repeat((np.cumsum(size) - size)[index] - total[:-1], each)]
+        # Places fit 32 bits in a chunk, and are most of its memory.
+        kind = np.int32 if len(out) < 1 << 31 else np.int64
+        text = np.repeat(np.arange(len(off) - 1, dtype=kind), np.diff(first))
+        place = np.arange(total[-1], dtype=kind)
+        source = np.repeat(((np.cumsum(size) - size)[index] - total[:-1]).astype(kind), each)
+        source += place
+        place += np.repeat(text, each)
+        out[place] = flat[source]
         return out, np.diff(total[first]) + 1
 
 
