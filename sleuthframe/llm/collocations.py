@@ -38,7 +38,7 @@ from .durable import Scratch, free
 LANG_OF_NONE = "und"
 CUTS = "[.,;:!?\\x0A-\\x0D]+"
 #: Bytes of pieces combined at once, and what duckdb may hold of a bucket before it spills.
-CHUNK, BUCKET_MEMORY = 8 << 20, "256MB"
+CHUNK, BUCKET_MEMORY = 4 << 20, "128MB"
 #: Buckets for each shuffle partition of the session: several are one task, and a bucket is never two.
 BUCKETS = 4
 #: Bits of the filter for each phrase, places that a phrase has in it, and its most bits (32 MB).
