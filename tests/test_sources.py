@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sleuthframe.operators import indicators
 from sleuthframe.sources import binary, dispatch, text
-from sleuthframe.streaming import live
 
 
 def test_log(spark, tmp_path):
