@@ -12,8 +12,8 @@ from . import frames as R
 from .catalogue import _severity_sql, query
 
 
-def _text(spark: SparkSession, lines: DataFrame, name: str) -> str:
-    path = staging.folder(spark, name)
+def _text(spark: SparkSession, lines: DataFrame, name: str, path: str | None = None) -> str:
+    path = path or staging.folder(spark, name)
     lines.select("value").write.text(path)
     return path
 
@@ -21,12 +21,12 @@ def _text(spark: SparkSession, lines: DataFrame, name: str) -> str:
 # --- logs -----------------------------------------------------------------------------
 
 
-def _log_file(spark, d) -> str:
+def _log_file(spark, d, path: str | None = None) -> str:
     """Log lines, every third with blanks around it, and blank lines between."""
     lines = R.log_lines(spark, d)
     padded = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("  \t"), "line", F.lit("  "))).otherwise(F.col("line"))
     blank = lines.filter("seq % 7 = 0").select(F.lit("   ").alias("value"))
-    return _text(spark, lines.select(padded.alias("value")).union(blank), "log")
+    return _text(spark, lines.select(padded.alias("value")).union(blank), "log", path)
 
 
 _SYSLOG = fixed.SYSLOG
@@ -47,11 +47,11 @@ def read_log_file(spark, d):
 _LEVELS = ("CRIT", "Warning", "high", "weird")
 
 
-def _csv_file(spark, d) -> str:
+def _csv_file(spark, d, path: str | None = None) -> str:
     """Events with a time and a level column, semicolons, quotes and empty cells."""
     e = R.events(spark, d)
     level = F.element_at(F.array(*map(F.lit, _LEVELS)), (F.col("user_id") % 4 + 1).cast("int"))
-    path = staging.folder(spark, "csv")
+    path = path or staging.folder(spark, "csv")
     rows = e.select(F.col("seq").cast("string").alias("Record"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Event Time"), level.alias("Level"), F.concat(F.lit('say "'), "event_type", F.lit('"; then')).alias("Note"), F.when(F.col("k") % 2 == 0, F.col("user_id").cast("string")).alias("User"), F.lit("z").alias("Sixth"))
     rows.write.option("header", True).option("sep", ";").option("escape", '"').option("nullValue", None).csv(path)
     return path
@@ -209,9 +209,9 @@ def read_event_xml_legacy(spark, d):
 def read_mixed_folder(spark, d):
     """A folder of logs, CSV and JSON: each file by the reader of its extension."""
     root = staging.folder(spark, "evidence")
-    spark.read.text(_log_file(spark, d)).write.text(f"{root}/logs")
-    spark.read.text(_csv_file(spark, d)).write.option("compression", "none").text(f"{root}/tables")
-    staging.rename(spark, f"{root}/tables", ".txt", ".csv")
+    _log_file(spark, d, f"{root}/logs")
+    # As written: lines that are read and written again are dealt anew, which leaves files without a header, or with two.
+    _csv_file(spark, d, f"{root}/tables")
     spark.read.text(_json_files(spark, d), wholetext=True).select(F.rtrim("value").alias("value")).repartition(_JSON_FILES).write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
     staging.rename(spark, f"{root}/arrays", ".txt", ".json")
     return dispatch.read_evidence(spark, root).groupBy("parser", "severity").agg(F.count("*").alias("n"))
