@@ -126,7 +126,8 @@ def url_host(url: Column) -> Column:
 
 def url_id(url: Column) -> Column:
     """URL-safe base64 without padding."""
-    return F.rtrim(F.translate(F.base64(F.encode(url, "UTF-8")), "+/", "-_"), F.lit("="))
+    # Spark may part base64 into lines of 76 characters.
+    return F.translate(F.base64(F.encode(url, "UTF-8")), "+/=\r\n", "-_")
 
 
 def webkit_time(micros: Column) -> Column:

@@ -66,6 +66,12 @@ def test_url_functions(spark):
     assert one(spark, C.url_id(F.col("t")), t=url) == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
 
 
+@pytest.mark.parametrize("size", [0, 57, 58, 59, 60, 1000])
+def test_ids_of_long_urls_are_one_line(spark, size):
+    url = ("https://example.com/?" + "\u00ff>?" * 400)[:size]
+    assert one(spark, C.url_id(F.col("t")), t=url) == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
+
+
 def test_stix_pattern(spark):
     rows = spark.createDataFrame([("ip", "1.1.1.1"), ("hash_sha1", "ab"), ("url", "http://x/'"), ("mutex", "m")], "type string, value string")
     assert [r[0] for r in rows.select(C.stix_pattern(F.col("type"), F.col("value"))).collect()] == ["[ipv4-addr:value = '1.1.1.1']", "[file:hashes.'SHA-1' = 'ab']", "[url:value = 'http://x/\\'']", None]
