@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -82,12 +82,16 @@ def _items(spark, d) -> DataFrame:
 
 def _json_files(spark, d) -> str:
     """Arrays of events, one a file, and a file that holds an object, which gives no events."""
-    item = F.col("item")
     file = (F.col("seq") % _JSON_FILES) + F.floor(F.col("seq") / (_JSON_FILES * _ARRAY_ROWS)) * (_JSON_FILES + 1)
-    arrays = _items(spark, d).groupBy(file.alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    # A line an item: no array is a row.
+    order = Window.partitionBy("file").orderBy("seq")
+    first, last = F.row_number().over(order) == 1, F.lead("seq").over(order).isNull()
+    line = F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), "item", F.when(last, F.lit("]")).otherwise(F.lit("")))
+    arrays = _items(spark, d).withColumn("file", file).select("file", line.alias("value"))
     other = spark.range(1).select(F.lit(_JSON_FILES).cast("long").alias("file"), F.lit('{"timestamp": "x", "items": []}').alias("value"))
     path = staging.folder(spark, "json")
-    arrays.union(other).write.partitionBy("file").text(path)
+    arrays.write.partitionBy("file").text(path)
+    other.write.mode("append").partitionBy("file").text(path)
     return path
 
 
@@ -212,7 +216,7 @@ def read_mixed_folder(spark, d):
     _log_file(spark, d, f"{root}/logs")
     # As written: lines that are read and written again are dealt anew, which leaves files without a header, or with two.
     _csv_file(spark, d, f"{root}/tables")
-    spark.read.text(_json_files(spark, d), wholetext=True).select(F.rtrim("value").alias("value")).repartition(_JSON_FILES).write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
+    spark.read.text(_json_files(spark, d), wholetext=True).select(F.rtrim("value").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/arrays")
     staging.rename(spark, f"{root}/arrays", ".txt", ".json")
     return dispatch.read_evidence(spark, root).groupBy("parser", "severity").agg(F.count("*").alias("n"))
 

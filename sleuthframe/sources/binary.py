@@ -6,10 +6,7 @@ variable-length tail of shortcuts and the SQLite and EVTX containers need Python
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
-import itertools
 import sqlite3
 import tempfile
 from collections.abc import Iterator, Sequence
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from . import csvfiles
 from .text import envelope, parse_event_xml
 
 #: Files above this size aren't loaded into a row, but digested by chunks of the other size.
@@ -97,40 +95,26 @@ def ingest(files: DataFrame, investigation_id: str, at: Column, uploaded_by: int
 def csv_events(files: DataFrame) -> DataFrame:
     """Envelope of many CSV files, each with its own dialect and header, sniffed where the file is read.
 
-    For folders of mixed evidence; ``text.read_csv`` splits one large file of known shape.
+    ``read_csv_files`` splits the large ones of a folder, ``text.read_csv`` files of one known shape.
     Ragged rows keep the cells that have a header; without a header cells are col_0, col_1, ...
     """
-    names = ("source_file", "seq", "ts_raw", "level", "data")
-
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
-        body = content.decode("utf-8", "replace")
-        try:
-            dialect = csv.Sniffer().sniff(body[:8192], delimiters=",;\t|")
-        except csv.Error:
-            dialect = csv.excel
-        try:
-            headed = csv.Sniffer().has_header(body[:8192])
-        except csv.Error:
-            headed = True
-        reader = csv.reader(io.StringIO(body, newline=""), dialect)
-        header = next(reader, []) if headed else None
-        find = lambda words: next((i for i, h in enumerate(header or []) if any(w in h.lower() for w in words)), None)
-        time, level = (find(fixed.TIME_WORDS), find(fixed.SEVERITY_COLUMN_WORDS)) if headed else (0, None)
-        for n, row in enumerate(reader):
-            cells = dict(zip(header, row)) if headed else {f"col_{i}": v for i, v in enumerate(row)}  # noqa: B905
-            at = lambda i: row[i] if i is not None and i < len(row) else None  # noqa: B023, E731
-            yield path, n, at(time) or "", at(level) or "info", list(cells.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                found = rows(path, content.as_py())
-                while part := list(itertools.islice(found, 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=list(names))
+        files = ((p, c) for batch in batches for p, c in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True))
+        yield from csvfiles.event_batches(e for path, content in files for e in csvfiles.whole_events(path, content.as_py()))
+
+    return _csv_envelope(files.select("path", "content").mapInArrow(run, csvfiles.EVENT))
+
+
+def _csv_envelope(rows: DataFrame) -> DataFrame:
+    return envelope(rows, source_file=F.col("source_file"), seq=F.col("seq"), ts_raw=F.col("ts_raw"), severity=C.csv_severity(F.col("level")), message=C.key_values(F.col("data")), data=F.col("data"), parser=F.lit("csv"))
+
 
-    parsed = files.select("path", "content").mapInArrow(run, "source_file string, seq long, ts_raw string, level string, data map<string,string>")
-    return envelope(parsed, source_file=F.col("source_file"), seq=F.col("seq"), ts_raw=F.col("ts_raw"), severity=C.csv_severity(F.col("level")), message=C.key_values(F.col("data")), data=F.col("data"), parser=F.lit("csv"))
+def read_csv_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``csv_events`` of the files below a folder whose names have a pattern; large ones are split, their seq is not dense."""
+    whole = csv_events(read_files(spark, path, pattern, F.col("_metadata.file_size") <= csvfiles.WHOLE_BYTES))
+    large = csvfiles.split_events(spark, path, pattern)
+    return whole if large is None else whole.unionByName(_csv_envelope(large))
 
 
 def prefetch(files: DataFrame) -> DataFrame:

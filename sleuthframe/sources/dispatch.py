@@ -11,6 +11,8 @@ from . import binary, text
 #: Readers by extension; every other file is read as text lines.
 READERS = {".csv": "csv", ".json": "json", ".pf": "prefetch", ".lnk": "lnk", ".sqlite": "browser", ".db": "browser", ".evtx": "evtx"}
 _HISTORY_NAMES = ("history", "places.sqlite")
+#: The names whose reader is csv.
+_CSV_NAMES = "*[!.].[cC][sS][vV]"
 
 
 def reader_of(name):
@@ -21,9 +23,10 @@ def reader_of(name):
 def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     """Events of all files below ``path``.
 
-    No list of paths leaves Spark: each reader looks at the whole folder under a condition on the
+    No list of paths leaves Spark but for large CSV files: each reader looks at the whole folder under a condition on the
     file's name, by which Spark leaves the other files out before it reads any.  CSV files are
-    sniffed where they are read.  Binary event logs need an optional package.
+    sniffed where they are read; large ones are split, and their shapes pass through the driver.
+    Binary event logs need an optional package.
     """
     name = F.col("_metadata.file_name")
     of = lambda reader: reader_of(name) == reader
@@ -34,7 +37,9 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
         parts.append(text.read_log(spark, path, where=of("log")))
     if "json" in there:
         parts.append(text.read_json(spark, path, where=of("json")))
-    for reader, fn in (("csv", binary.csv_events), ("prefetch", binary.prefetch_events), ("lnk", binary.shortcut_events), ("browser", binary.history_events), ("evtx", binary.read_evtx)):
+    if "csv" in there:
+        parts.append(binary.read_csv_files(spark, path, _CSV_NAMES))
+    for reader, fn in (("prefetch", binary.prefetch_events), ("lnk", binary.shortcut_events), ("browser", binary.history_events), ("evtx", binary.read_evtx)):
         if reader in there:
             parts.append(fn(binary.read_files(spark, path, where=of(reader))))
     out = text.envelope(spark.createDataFrame([], "x int"))

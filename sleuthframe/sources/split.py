@@ -29,9 +29,9 @@ _DEPTH[[ord("{"), ord("[")]] = 1
 _DEPTH[[ord("}"), ord("]")]] = -1
 
 
-def _splits(spark: SparkSession, path: str | Sequence[str], separator: str, where: Column | None) -> DataFrame:
+def _splits(spark: SparkSession, path: str | Sequence[str], separator: str, where: Column | None, pattern: str = "*") -> DataFrame:
     """(file, block, value): the pieces between separators, in order in each task; block is where their split starts."""
-    reader = spark.read.option("lineSep", separator)
+    reader = spark.read.option("lineSep", separator).option("pathGlobFilter", pattern)
     rows = reader.text(path) if where is None else reader.option("recursiveFileLookup", True).text(path).filter(where)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
@@ -178,9 +178,8 @@ def _piece_rows(key: tuple[str, int], n: int, texts: list[bytes], opens: list[bo
     return pa.RecordBatch.from_arrays(columns, names=["file", "block", "n", "text", "open", "closed"])
 
 
-def _put_together(pieces: DataFrame, between: str = "") -> DataFrame:
-    """(file, block, n, text): whole records, and those over several splits from their pieces; at the place where they start."""
-    whole = pieces.filter("not open and closed").select("file", "block", "n", "text")
+def merged(edges: DataFrame, between: str = "") -> DataFrame:
+    """(file, block, n, text): records over several splits from their pieces; at the place where they start."""
 
     def merge(table: pa.Table) -> pa.Table:
         out, parts = [], []
@@ -197,8 +196,13 @@ def _put_together(pieces: DataFrame, between: str = "") -> DataFrame:
         file = table.column("file")[0].as_py()
         return pa.table({"file": pa.array([file] * len(out), pa.string()), "block": pa.array([o[0] for o in out], pa.int64()), "n": pa.array([o[1] for o in out], pa.int64()), "text": pa.array([o[2] for o in out], pa.string())})
 
-    edges = pieces.filter("open or not closed")
-    return whole.unionByName(edges.groupBy("file").applyInArrow(merge, "file string, block long, n long, text string"))
+    return edges.groupBy("file").applyInArrow(merge, "file string, block long, n long, text string")
+
+
+def _put_together(pieces: DataFrame, between: str = "") -> DataFrame:
+    """(file, block, n, text): whole records, and those over several splits."""
+    whole = pieces.filter("not open and closed").select("file", "block", "n", "text")
+    return whole.unionByName(merged(pieces.filter("open or not closed"), between))
 
 
 def json_items(spark: SparkSession, path: str | Sequence[str], where: Column | None = None) -> DataFrame:
@@ -234,31 +238,41 @@ def line_state(line: str, separator: str, inside: bool) -> bool:
         at += inside
 
 
+def _rule(separator: str) -> tuple[str, Callable[[str, bool], bool]]:
+    """The quote, and the state after a line."""
+    # A line that is entered outside may start with a quoted cell.
+    return '"', lambda line, inside: line_state(line[1:], separator, True) if not inside and line.startswith('"') else line_state(line, separator, inside)
+
+
 def _line_states(values: pa.Array, separator: str) -> tuple[np.ndarray, np.ndarray]:
+    return _states_after(values, *_rule(separator))
+
+
+def _states_after(values: pa.Array, quote: str, after: Callable[[str, bool], bool]) -> tuple[np.ndarray, np.ndarray]:
     """The state after each line, entered outside and inside a quoted cell."""
     n = len(values)
     out = np.zeros((2, n), bool)
     out[1] = True
-    for i in np.flatnonzero(pc.match_substring(values, '"').to_numpy(zero_copy_only=False)).tolist():
-        line = values[i].as_py()
-        # A line that is entered outside may start with a quoted cell.
-        out[0, i] = line_state(line[1:], separator, True) if line.startswith('"') else line_state(line, separator, False)
-        out[1, i] = line_state(line, separator, True)
+    at = np.flatnonzero(pc.match_substring(values, quote).to_numpy(zero_copy_only=False))
+    lines = values.take(pa.array(at)).to_pylist()
+    for k, entered in enumerate((False, True)):
+        out[k, at] = [after(line, entered) for line in lines]
     return out[0], out[1]
 
 
-def _csv_maps(separator: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[list] = []
-        for file, block, values in _by_split(batches):
-            if not rows or rows[-1][:2] != [file, block]:
-                rows.append([file, block, False, True])
-            outside, inside = _line_states(values, separator)
-            for k in (2, 3):
-                rows[-1][k] = _walk(outside, inside, rows[-1][k])[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["file", "block", "out", "in"])
+STATE_MAPS = "file string, block long, out boolean, in boolean"
 
-    return run
+
+def state_maps(batches: Iterator[pa.RecordBatch], rule: Callable[[str], tuple[str, Callable[[str, bool], bool]]]) -> Iterator[pa.RecordBatch]:
+    """``STATE_MAPS`` rows: the state that a split is left with, entered outside or inside a quoted cell; the rule of a file is its quote and the state after a line."""
+    rows: list[list] = []
+    for file, block, values in _by_split(batches):
+        if not rows or rows[-1][:2] != [file, block]:
+            rows.append([file, block, False, True])
+        outside, inside = _states_after(values, *rule(file))
+        for k in (2, 3):
+            rows[-1][k] = _walk(outside, inside, rows[-1][k])[-1]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.int64(), pa.bool_(), pa.bool_()), strict=True)], names=["file", "block", "out", "in"])
 
 
 def _walk(outside: np.ndarray, inside: np.ndarray, state: bool) -> np.ndarray:
@@ -306,7 +320,7 @@ def _csv_records(separator: str, entries: dict[tuple[str, int], bool]) -> Callab
 def csv_records(spark: SparkSession, path: str | Sequence[str], separator: str, where: Column | None = None) -> DataFrame:
     """(file, block, n, text): records of CSV files whose quoted cells may hold line ends, in the order of (block, n)."""
     splits = _splits(spark, path, "\n", where)
-    maps = splits.mapInArrow(_csv_maps(separator), "file string, block long, out boolean, in boolean").collect()
+    maps = splits.mapInArrow(lambda batches: state_maps(batches, lambda file: _rule(separator)), STATE_MAPS).collect()
     entries: dict[tuple[str, int], bool] = {}
     for file, rows in _chains(maps):
         state = False
